@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,11 +84,12 @@ def cutoffs(
             open_targets[label] = (g, at / BINS, 1.0 / BINS, rank, inside)
             result[label] = Cutoff(n, g)
 
+    coarse = sorted({int(low * BINS) for _, low, *_ in open_targets.values()})
+    # one reference to the draw: a filter repeats the hash expression for every reference it makes
+    near = rows.where(F.floor(F.col("s") * BINS).cast("int").isin(coarse)) if coarse else rows
     while any(inside > FINE_ROWS and width > 2.0**-48 for _, _, width, _, inside in open_targets.values()):
-        fine = _labelled(rows, open_targets)
-        low = _per_label({k: v[1] for k, v in open_targets.items()})
-        scale = _per_label({k: BINS / v[2] for k, v in open_targets.items()})
-        counts = fine.groupBy("label", F.floor((F.col("s") - low) * scale).cast("int").alias("bin")).count().collect()
+        bin_no = F.floor((F.col("s") - F.col("t.low")) / F.col("t.width") * BINS).cast("int")
+        counts = _targeted(near, open_targets).groupBy("t.label", bin_no.alias("bin")).count().collect()
         for label, (g, lo, width, rank, _) in list(open_targets.items()):
             bins = {r["bin"]: r["count"] for r in counts if r["label"] == str(label)}
             at, rank, inside = _locate(bins, rank)
@@ -97,12 +97,12 @@ def cutoffs(
 
     if open_targets:
         key_names = [f"k{i}" for i in range(len(key_cols))]
-        order = Window.partitionBy("label").orderBy("d", *key_names)
+        order = Window.partitionBy("t.label").orderBy("d", *key_names)
         last = (
-            _labelled(rows, open_targets)
-            .withColumns({"r": F.row_number().over(order), "tied": F.lead("d").over(order) == F.col("d")})
-            .where(F.col("r") == _per_label({k: v[3] for k, v in open_targets.items()}))
-            .select("label", "d", F.coalesce("tied", F.lit(False)).alias("tied"), *key_names)
+            _targeted(near, open_targets)
+            .withColumns({"r": F.row_number().over(order), "tied": F.coalesce(F.lead("d").over(order) == F.col("d"), F.lit(False))})
+            .where(F.col("r") == F.col("t.rank"))
+            .select("t.label", "d", "tied", *key_names)
             .collect()
         )
         by_label = {r["label"]: r for r in last}
@@ -134,20 +134,13 @@ def _locate(bins: dict, n: int) -> tuple[int, int, int]:
     raise ValueError("rank beyond the histogram")
 
 
-def _labelled(rows: DataFrame, targets: dict) -> DataFrame:
-    """Rows of each target's interval, tagged with the target (intervals of two targets may coincide)."""
-    tags = []
-    for label, (g, low, width, *_) in targets.items():
-        inside = F.col("g").eqNullSafe(F.lit(g)) & (F.col("s") >= low) & (F.col("s") < low + width)
-        tags.append(F.when(inside, F.lit(str(label))))
-    tagged = F.filter(F.array(*tags), lambda x: x.isNotNull())
-    some = reduce(lambda a, b: a | b, [t.isNotNull() for t in tags])
-    return rows.where(some).withColumn("label", F.explode(tagged))
-
-
-def _per_label(values: dict) -> Column:
-    expr = None
-    for label, value in values.items():
-        hit = F.col("label") == str(label)
-        expr = F.when(hit, F.lit(value)) if expr is None else expr.when(hit, F.lit(value))
-    return expr
+def _targeted(rows: DataFrame, targets: dict) -> DataFrame:
+    """Rows inside a target's interval, once per target ``t`` (intervals of two targets may coincide)."""
+    group_type = rows.schema["g"].dataType
+    listed = F.array(*[
+        F.struct(F.lit(str(label)).alias("label"), F.lit(g).cast(group_type).alias("g"), F.lit(low).alias("low"),
+                 F.lit(width).alias("width"), F.lit(rank).alias("rank"))
+        for label, (g, low, width, rank, _) in targets.items()])
+    group, s = F.col("g"), F.col("s")
+    hits = F.filter(listed, lambda t: t["g"].eqNullSafe(group) & (s >= t["low"]) & (s < t["low"] + t["width"]))
+    return rows.withColumn("t", F.explode(hits))

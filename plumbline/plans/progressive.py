@@ -35,20 +35,37 @@ def nested_samples(t: AuditTable, sizes: Callable[[int], Sequence[tuple]], label
     totals, cuts = cutoffs(seeded, draw, t.key_cols, wanted, group=F.col("seed"))
     n = max(totals.values(), default=0)
     drawn = seeded.withColumn("row_draw", draw)
-    tags = []
+    ends, tags = [], []
     for s in seeds:
         for i, item in enumerate(listed):
+            cut = cuts[s, i]
             label = F.struct(*[F.lit(v).alias(name) for name, v in zip(names, item)])
-            tags.append(F.when(cuts[s, i].keeps(F.col("row_draw"), t.key_cols, F.col("seed")), label))
-    largest = {s: max((cuts[s, i] for i in range(len(listed))), key=lambda c: c.size) for s in seeds}
-    some = F.lit(False)
-    for s in seeds:
-        some = some | largest[s].keeps(F.col("row_draw"), t.key_cols, F.col("seed"))
-    rows = drawn.where(some).withColumn("label", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())))
+            if cut.tied:  # equal draws at the end of the sample: the key decides
+                tags.append(F.when(cut.keeps(F.col("row_draw"), t.key_cols, F.col("seed")), label))
+            elif cut.size > 0:
+                end = float("inf") if cut.everything else cut.draw
+                ends.append(F.struct(F.lit(int(s)).alias("seed"), F.lit(end).alias("end"), label.alias("label")))
+    last = {s: max((float("inf") if c.everything else c.draw for (of, _), c in cuts.items() if of == s and c.size > 0), default=-1.0)
+            for s in seeds}
+    # one reference to the draw, as a filter repeats the hash expression for every reference
+    furthest = F.element_at(F.create_map(*[x for s, end in last.items() for x in (F.lit(int(s)), F.lit(end))]), F.col("seed"))
+    seed, row_draw = F.col("seed"), F.col("row_draw")
+    held = F.array().cast(f"array<struct<{', '.join(_field(part) for part in labels.split(','))}>>")
+    if ends:
+        inside = F.filter(F.array(*ends), lambda e: (e["seed"] == seed) & (row_draw <= e["end"]))
+        held = F.transform(inside, lambda e: e["label"])
+    if tags:
+        held = F.concat(held, F.filter(F.array(*tags), lambda x: x.isNotNull()))
+    rows = drawn.where(row_draw <= furthest).withColumn("label", F.explode(held))
     emitted = sum(c.size for c in cuts.values())
     return rows.select("seed", *[F.col(f"label.{name}").alias(name) for name in names], *t.measured), n, emitted
 
 
+def _field(part: str) -> str:
+    name, kind = part.split()
+    return f"{name}: {kind}"
+
+
 def progressive_curve(t: AuditTable, budgets: Sequence[float], seeds: Sequence[int] = (42,), truth: DataFrame | None = None,
                       algorithm: str = "md5") -> DataFrame:
     """One profile per (seed, budget) of nested uniform samples, with errors against ``truth`` if given."""
