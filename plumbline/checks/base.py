@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inject
 from ..operators.profile import INDICATORS
-from ..operators.storage import materialise
+from ..operators.storage import materialise, spread
 from ..operators.table import AuditTable, audit
 
 
@@ -146,7 +146,7 @@ def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
 def dirty_lines(spark: SparkSession, folder: str, rules=LINE_RULES) -> AuditTable:
     """lineitem with missing cells, shifted outliers and repeated rows."""
     def damaged():
-        clean = load(spark, folder, "lineitem")
+        clean = spread(load(spark, folder, "lineitem"))
         dirty = inject.inject_missing(clean, MISSING_RATE, LINE_KEY, MEASURED, SEED, mode="bernoulli")
         return inject.inject_outliers(dirty, OUTLIER_RATE, LINE_KEY, NUMBERS, SEED, clean=clean)
 

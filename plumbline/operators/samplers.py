@@ -146,14 +146,14 @@ def cluster(t: AuditTable, budget: float, seed=42, order_cols: Sequence[str] = (
     block_draw = draws.uniform("block", "block")
     _, cut = smallest(blocks, block_draw, ["block"], lambda _: chosen)
     df = df.withColumn("block", F.floor(F.col("ordinal") / block).cast("bigint"))
-    df = df.where(cut.keeps(block_draw, ["block"]))
+    df = materialise(df.where(cut.keeps(block_draw, ["block"])), "blocks")
     row_draw = draws.uniform("row", *t.key_cols)
     in_blocks, thin = smallest(df, row_draw, t.key_cols, lambda rows: min(target, rows))
     if in_blocks == 0:  # only possible when the last blocks are empty (N <= 81)
         one = _by_draw(t, "cluster", lambda _: 1, seed)
         return Sample(one.table, n, one.n_sampled, "cluster")
     kept = df.where(thin.keeps(row_draw, t.key_cols))
-    return Sample(t.with_rows(kept, thin.size), n, thin.size, "cluster")
+    return Sample(t.with_rows(kept, thin.size), n, thin.size, "cluster", kept=True)
 
 
 def importance(t: AuditTable, budget: float, seed=42, clip: float | None = 0.95) -> Sample:

@@ -44,3 +44,12 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     if table is None:
         return spark.createDataFrame([], schema)
     return spark.createDataFrame(table).to(StructType.fromDDL(schema))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain file scan over all cores if it comes in fewer pieces (small tables, or one unsplittable file).
+
+    A table of many files has more pieces than cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
