@@ -23,14 +23,15 @@ def priority_of_constant_weights(spark, folder):
     """Known weights instead of fitted ones, as the correlation ablation uses, over fitted affinities."""
     t = dirty_lines(spark, folder)
     edges = dependency.constant_weights(t, 0.3)
-    return rounded(dependency.column_priority(t, edges, dependency.error_affinity(t, ERROR)), ["priority"])
+    return rounded(dependency.column_priority(t, edges, dependency.error_affinity(t, _is_error())), ["priority"])
 
 
-ERROR = F.col("l_discount").isNull() | (F.col("l_discount") > 0.05)
+def _is_error():
+    return F.col("l_discount").isNull() | (F.col("l_discount") > 0.05)
 
 
 def error_affinity(spark, folder):
-    return rounded(dependency.error_affinity(dirty_lines(spark, folder), ERROR), ["affinity"])
+    return rounded(dependency.error_affinity(dirty_lines(spark, folder), _is_error()), ["affinity"])
 
 
 def neighbourhood_weights(spark, folder):

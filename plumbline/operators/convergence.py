@@ -54,7 +54,8 @@ def raftery_lewis(chain: DataFrame, q: float = 0.025, r: float = 0.005, s: float
     c = c.withColumn("factor", F.col("need") * pq / F.greatest(pq, F.lit(1e-9)))
     required = F.greatest((F.col("factor") * F.col("need")).cast("bigint"), F.lit(SHORT_CHAIN).cast("bigint"))
     decay = F.ln(F.abs(1 - F.col("ab")) + 1e-9)
-    burn = F.greatest((F.ln(F.lit(r) / F.nullif("p", F.lit(0.0))) / F.nullif(decay, F.lit(0.0))).cast("bigint"), F.lit(0).cast("bigint"))
+    steps = F.ln(F.lit(r) / F.nullif("p", F.lit(0.0))) / F.nullif(decay, F.lit(0.0))
+    burn = F.when(steps.isNotNull(), F.greatest(steps.cast("bigint"), F.lit(0).cast("bigint")))  # greatest() skips NULL
     short, constant = F.col("n_current") < SHORT_CHAIN, F.col("ab") == 0
     result = c.withColumns({
         "n_required": F.when(short, F.lit(100)).when(constant, F.col("n_current")).otherwise(required).cast("bigint"),
