@@ -58,7 +58,7 @@ def _by_draw(t: AuditTable, method: str, size, seed) -> Sample:
     return Sample(t.with_rows(t.df.where(cut.keeps(draw, t.key_cols)), cut.size), n, cut.size, method)
 
 
-# sizes as functions of the row count; the reference sizes for these methods are exact
+# sizes as functions of the row count
 def uniform_size(n: int, budget: float) -> int:
     return max(1, int(n * budget))
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
-from ..functions.draws import Draws
 from ..operators import inject
 from ..operators.table import AuditTable, audit
 
