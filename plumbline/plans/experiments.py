@@ -69,6 +69,9 @@ def run_grid(tables: Mapping[str, AuditTable], methods: Sequence[str], budgets:
     """
     spark = next(iter(tables.values())).df.sparkSession
     grid = condition_grid(spark, dataset=list(tables), method=list(methods), budget=list(budgets), seed=list(seeds))
+    # a full scan has one budget, so it is one condition per seed and is found again on resume
+    full = F.when(F.col("method") == "exhaustive", as_budget(F.lit(1.0))).otherwise(F.col("budget"))
+    grid = grid.withColumn("budget", full).distinct()
     done = read_results(spark, path)
     todo = grid if done is None else remaining(grid, done)
     shared: dict[str, tuple] = {}

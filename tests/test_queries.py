@@ -66,6 +66,7 @@ def test_grid_is_resumed(spark, folder, tmp_path):
     assert first.count() == 2
     again = experiments.run_grid({t.name: t}, ["random_uniform", "exhaustive"], [0.1], [1, 2], path)
     assert again.count() == 4
+    assert experiments.run_grid({t.name: t}, ["random_uniform", "exhaustive"], [0.1], [1, 2], path).count() == 4
     assert again.where("method = 'exhaustive' and rel_err_mean > 0").count() == 0
 
 
