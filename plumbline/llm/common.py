@@ -68,18 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of them."""
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers[size]
+POWERS = np.multiply.accumulate(np.array([1] + [BASE] * 4095, np.uint64))
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,10 +77,12 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.n
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
         return begin, end, np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
+    first = np.zeros(len(data), np.int64)
+    first[begin] = begin
+    within = (np.arange(len(data)) - np.maximum.accumulate(first)) & 4095
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-    return begin, end, mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    np.cumsum(BYTE_VALUES[data] * POWERS[within], out=total[1:])
+    return begin, end, mix(total[end] - total[begin] + (end - begin).astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, packing
+from plumbline.llm import decontaminate, langid, licenses, packing, quality
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,9 +31,39 @@ def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_texts(_table(spark, folder, "documents"), tokenizer_path())
 
 
+def held_out(id_col: str = "doc_id") -> F.Column:
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    net = quality.train(docs, _table(spark, folder, "labels"))
+    scored = quality.score(docs, net)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_table(spark, folder, "documents"))
+    base, labels = F.filter("spans", lambda s: s["exact"]), lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+                        F.coalesce(F.array_max(F.transform("spans", lambda s: s["likeness"])), F.lit(0.0)).alias("score"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, tokenizer_path("piece_bpe_32k.model"))
+    found = langid.identify(docs.drop("lang"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
+    "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
+    "op10_language": op10_language,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
