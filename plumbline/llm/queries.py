@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, licenses, packing, quality
+from plumbline.llm import chat, decontaminate, langid, licenses, packing, pii, quality
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -51,6 +53,31 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
                         F.coalesce(F.array_max(F.transform("spans", lambda s: s["likeness"])), F.lit(0.0)).alias("score"))
 
 
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    given = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], given.schema)
+    trees = chat.as_trees(given.unionByName(added))
+    made = chat.format_trees(trees, tree="tree", message="message", parent="parent", role="role", text="text", score="score")
+
+    def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for conv, whole, loss in zip(*(batch[c].to_pylist() for c in ("tree", "formatted", "loss")), strict=True):
+                turns = chat.read_turns(whole)
+                learnt = "".join(chat.unescape(whole[x["start"] : x["end"]]) for x in loss)
+                rows.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(whole)))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [batch.schema.field("tree").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return made.mapInArrow(read_back, f"conv_id {given.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, tokenizer_path("piece_bpe_32k.model"))
@@ -63,12 +90,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
+    "op7_chat": op7_chat,
+    "op8_pii": op8_pii,
     "op10_language": op10_language,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _escaped(column: str) -> str:
+    return rf"regexp_replace(replace({column}, '\', '\\'), '(<(/?s>)|\[(/?INST\]|ASST\]|/?ROLE\]|TEXT\]))', '\1_', 'g')"
+
+
 SQL: dict[str, str] = {
     "op1_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -84,4 +117,13 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op7_chat": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length({_escaped("text")}) AS n_text, length({_escaped("role")}) AS n_role FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(n_text + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 12 ELSE n_role + 23 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
