@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, langid, licenses, packing, pii, quality
+from plumbline.llm import chat, decontaminate, hnsw, langid, licenses, packing, pii, quality
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -78,6 +78,11 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return hnsw.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, tokenizer_path("piece_bpe_32k.model"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
+    "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
 }
 
