@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.operators.storage import materialise
 
@@ -42,11 +43,11 @@ def texts_of(batch: pa.RecordBatch, text_col: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def map_slices(df: DataFrame, text_col: str, handle: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, text_col: str, handle: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One result batch per slice of rows; for functions that need no state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text_col):
+        for piece in slices(batches, text_col, slice_bytes):
             made = handle(piece)
             if made is not None and made.num_rows:
                 yield made
@@ -98,3 +99,58 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the folder all executors share and reads it back: cuts lineage, survives lost executors."""
     return materialise(df, name)
+
+
+BITS = 23
+
+
+def id_place(id_col: str) -> Column:
+    """The place of an id in a bitmap of 2^BITS bits."""
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << BITS))
+
+
+def bitmap(ids: DataFrame, id_col: str) -> np.ndarray:
+    """A bitmap of the ids, built by Spark; always 1 MB. It may hold an id by chance, so an exact join follows its use."""
+    bits = np.zeros(1 << BITS >> 3, np.uint8)
+    rows = (ids.select((id_place(id_col) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")))
+    for bucket, part in rows.toLocalIterator():
+        at = (bucket - 1) * len(part)
+        bits[at : at + len(part)] = np.frombuffer(bytes(part), np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return ((bits[places >> 3] >> (places & 7)) & 1).astype(bool)
+
+
+def rows_of(table: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of a table whose id is among the ids: the bitmap passes by most others before anything is shuffled."""
+    bits, names = bitmap(ids, id_col), table.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits, np.asarray(batch["__place"])))).select(names)
+
+    few = table.withColumn("__place", id_place(id_col)).mapInArrow(run, table.schema)
+    return few.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of the links (a, b); root is the smallest node that can be reached.
+
+    Alternates large-star and small-star steps (Kiveris et al. 2014). Every round writes its links to the shared folder.
+    """
+    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        edges = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "links")
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        edges = keep(edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

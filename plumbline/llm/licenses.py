@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import ASCII_WORDS, ascii_words, gram_hashes, keep, map_slices, slices, texts_of, word_hashes
+from plumbline.llm.common import ASCII_WORDS, ascii_words, bitmap, gram_hashes, id_place, in_bitmap, keep, map_slices, slices, texts_of, word_hashes
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,6 @@ NOTICES = (
 SIZES = (2, 3)  # words in a gram: templates of two words are found by pairs, all others by threes
 BLOCK = 4096  # words of a document in one row of hashes
 MOST_LIBRARY_WORDS = 100_000
-BITS = 23
 
 
 def _hashes(raw: bytes) -> np.ndarray:
@@ -149,23 +148,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     docs = docs.select(id_col, text_col)
     found = candidates(docs, templates, id_col=id_col, text_col=text_col, least_votes=least_votes)
     spans = found.groupBy(id_col).agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << BITS))
     spans = keep(spans, "license-spans")
-    bits = np.zeros(1 << BITS >> 3, np.uint8)
-    for bucket, part in (spans.select((place + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
-                         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).toLocalIterator()):
-        at = (bucket - 1) * len(part)
-        bits[at : at + len(part)] = np.frombuffer(bytes(part), np.uint8)
+    bits = bitmap(spans, id_col)
     wanted = [ascii_words(t.text.encode()) for t in templates]
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Word counts of all texts; the text itself only where the bitmap has the id."""
-        raws, h = texts_of(batch, text_col), np.asarray(batch["h"])
-        marked = (bits[h >> 3] >> (h & 7)) & 1
+        raws, marked = texts_of(batch, text_col), in_bitmap(bits, np.asarray(batch["place"]))
         counts = [len(ascii_words(r)) for r in raws]
         return pa.RecordBatch.from_arrays([batch[id_col], pa.array(counts, pa.int64()), pa.array([r if m else None for r, m in zip(raws, marked, strict=True)], pa.binary())], [id_col, "n_words", "held"])
 
-    picked = map_slices(docs.withColumn("h", place), text_col, pick, T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("held", T.BinaryType())]))
+    picked = map_slices(docs.withColumn("place", id_place(id_col)), text_col, pick, T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("held", T.BinaryType())]))
     span_type = pa.list_(pa.struct([("label", pa.string()), ("exact", pa.bool_()), ("first", pa.int64()), ("end", pa.int64()), ("likeness", pa.float64())]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
