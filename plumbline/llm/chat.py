@@ -91,16 +91,15 @@ def best_paths(messages: DataFrame, *, tree: str, message: str, parent: str, sco
              .groupBy(F.col(tree).alias("tree"), F.col(message).alias("id")).agg(F.min(F.struct(F.col(parent).alias("up"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"))).alias("n"))
              .select("tree", "id", "n.up", "n.score"))
     known = nodes.select("tree", F.col("id").alias("up"), F.lit(True).alias("there"))
-    jumps = [keep(nodes.join(known, ["tree", "up"], "left").select("tree", "id", F.when(F.col("there"), F.col("up")).alias("up"), F.lit(1).cast("long").alias("n"), "score"), "reply-jumps")]
-    last = jumps[0]
-    most = last.count()
-    while not last.where(F.col("up").isNotNull()).isEmpty() and (1 << len(jumps) - 1) <= most:
-        further = last.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("score").alias("score2"))
-        last = keep(last.join(further, ["tree", "up"], "left").select(
-            "tree", "id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")), "reply-jumps")
-        jumps.append(last)
-    whole = last.where(F.col("up").isNull())
-    inner = jumps[0].where(F.col("up").isNotNull()).select("tree", F.col("up").alias("id")).distinct()
+    # A message whose pointer has passed the root is finished; only the others are joined again.
+    step = keep(nodes.join(known, ["tree", "up"], "left").select("tree", "id", F.when(F.col("there"), F.col("up")).alias("up"), F.lit(1).cast("long").alias("n"), "score"), "reply-jumps")
+    whole, jumps, most = step.where(F.col("up").isNull()), [step.where(F.col("up").isNotNull())], step.count()
+    while not jumps[-1].isEmpty() and (1 << len(jumps) - 1) <= most:
+        further = jumps[-1].unionByName(whole).select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("score").alias("score2"))
+        step = keep(jumps[-1].join(further, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("score") + F.col("score2")).alias("score")), "reply-jumps")
+        whole = whole.unionByName(step.where(F.col("up").isNull()))
+        jumps.append(step.where(F.col("up").isNotNull()))
+    inner = jumps[0].select("tree", F.col("up").alias("id")).distinct()
     leaves = whole.join(inner, ["tree", "id"], "left_anti").withColumn("mean", F.col("score") / F.col("n"))
     if branches == 1:
         chosen = leaves.groupBy("tree").agg(F.min(F.struct(-F.col("mean"), -F.col("n"), "id", "n")).alias("best")).select("tree", F.col("best.id").alias("leaf"), F.col("best.n").alias("n"))
@@ -108,9 +107,8 @@ def best_paths(messages: DataFrame, *, tree: str, message: str, parent: str, sco
         order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n"), "id")
         chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("tree", F.col("id").alias("leaf"), "n")
     path = chosen.select("tree", "leaf", F.col("leaf").alias("id"), (F.col("n") - 1).alias("place"))
-    for k in range(len(jumps) - 2, -1, -1):
-        step = jumps[k].where(F.col("up").isNotNull()).select("tree", "id", "up", "n")
-        path = keep(path.unionByName(path.join(step, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("place") - F.col("n")).alias("place"))), "reply-paths")
+    for k in range(len(jumps) - 1, -1, -1):
+        path = keep(path.unionByName(path.join(jumps[k].select("tree", "id", "up", "n"), ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("place") - F.col("n")).alias("place"))), "reply-paths")
     return path.select("tree", "leaf", "place", F.col("id").alias("message"))
 
 
