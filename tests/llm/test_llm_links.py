@@ -1,0 +1,194 @@
+"""Jaccard join, neighbours, reply trees, personal data, pipeline."""
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from plumbline.llm import chat, hnsw, jaccard, pii
+from plumbline.llm.common import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# ---- classes -------------------------------------------------------------------------------------------------------
+
+def brute_classes(texts):
+    sets = {}
+    for key, text in texts.items():
+        w = WORD.findall((text or "").lower())
+        sets[key] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k)) for k in texts}
+
+
+def test_classes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(4)
+    line = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(n)]
+    texts, key, passage = {}, 0, line(60)
+    for base in (line(80), line(12), passage + line(20), line(200)):
+        for _ in range(14):  # chains of edits, so classes hang together by steps
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = "new" + str(rng.randrange(99))
+            if rng.random() < 0.4:
+                base = own
+            texts[key] = " ".join(own)
+            key += 1
+    for _ in range(10):
+        texts[key] = " ".join(passage + line(rng.randint(0, 40)))
+        key += 1
+    for text in ("", None, "a b", "A\tB", "a b c d e", "a b c d e f", "  ", "a b"):
+        texts[key] = text
+        key += 1
+    docs = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, n_shingles int")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()}
+    assert got == brute_classes(texts)
+    assert jaccard.classes(docs.limit(0)).count() == 0
+    odd = jaccard.classes(spark.createDataFrame([(5, "x y z"), (5, "x y z"), (None, "x y z"), (7, "x y z")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id if r.doc_id else None) for r in odd)[1:] == [(5, 5), (5, 5), (7, 5)]
+
+
+def test_components_follow_long_chains(spark):
+    links = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 200: 100, 150: 100}
+
+
+# ---- neighbours ----------------------------------------------------------------------------------------------------
+
+def test_neighbours_recall_order_and_defined_cases(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 12)) * rng.uniform(0.5, 2, (900, 1))
+    x[300:420] = x[5]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    bad = [(1000, None, 0), (1001, [0.0] * 12, 0), (1002, [float("nan")] + [1.0] * 11, 0), (1003, [None] + [1.0] * 11, 0), (None, [1.0] * 12, 0), (1004, [float("inf")] * 12, 0), (1005, [], 0)]
+    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, score int")
+    got = {}
+    for r in hnsw.search(table, table.where("vec_id % 20 = 0"), shard_rows=200).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 900, 20))
+    found = 0
+    for q, own in got.items():
+        own.sort()
+        score = x @ x[q]
+        best = [k for k in np.lexsort((np.arange(900), -score)) if k != q][:20]
+        assert [r for r, _, _ in own] == list(range(1, 21)) and np.allclose([s for _, _, s in own], score[[v for _, v, _ in own]])
+        assert [(-s, v) for _, v, s in own] == sorted((-s, v) for _, v, s in own)
+        found += len({v for _, v, _ in own} & set(best))
+    assert found >= 0.9 * 20 * len(got)
+    few = hnsw.search(table.where("vec_id < 3"), table.where("vec_id = 0")).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2] and hnsw.search(table.limit(0), table).count() == 0
+
+
+# ---- chat ----------------------------------------------------------------------------------------------------------
+
+PARTS = ["<s>", "</s>", "[INST]", "[/INST]", "[ASST]", "[ROLE]", "[TEXT]", "[/ROLE]", "\\", "<", "/", "s>", "[", "]", " ", "\n", "a", "é", "", "[/INST", "</s"]
+TURN = st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", ""]), st.lists(st.sampled_from(PARTS), max_size=4).map("".join).filter(lambda r: r not in ("user", "assistant"))),
+                 st.lists(st.sampled_from(PARTS), max_size=8).map("".join))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TURN, max_size=5))
+def test_every_conversation_can_be_read_back(turns):
+    whole, loss = chat.format_turns(turns)
+    assert chat.read_turns(whole) == turns
+    assert [chat.unescape(whole[a:b]) for a, b in loss] == [t for r, t in turns if r == "assistant"]
+
+
+def test_best_branch_of_reply_trees(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "weak", 0.1), ("t", 3, 1, "assistant", "good", 0.9), ("t", 4, 3, "user", "more", 0.5), ("t", 5, 4, "assistant", "end", 0.9),
+            ("t", 5, 4, "assistant", "end", 0.9), ("u", 1, 77, None, None, None), ("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "y", 1.0), (None, 1, None, "user", "z", 1.0)]
+    rows += [("long", k, k - 1 if k else None, "user", str(k), 0.0) for k in range(300)]
+    table = spark.createDataFrame(rows, "tree string, id long, up long, role string, text string, score double")
+    names = {"tree": "tree", "message": "id", "parent": "up", "role": "role", "text": "text", "score": "score"}
+    got = {r.tree: r for r in chat.format_trees(table, **names).collect()}
+    assert set(got) == {"t", "u", "long"}  # a cycle has no path
+    assert [t for _, t in chat.read_turns(got["t"].formatted)] == ["q", "good", "more", "end"] and chat.read_turns(got["u"].formatted) == [("", "")]
+    assert [t for _, t in chat.read_turns(got["long"].formatted)] == [str(k) for k in range(300)]
+    two = chat.format_trees(table.where("tree = 't'"), **names, branches=2).collect()
+    assert sorted(r.leaf for r in two) == [2, 5] and chat.format_trees(table.limit(0), **names).count() == 0
+
+
+# ---- personal data -------------------------------------------------------------------------------------------------
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, digits[::-1]))) % 10 == 0
+
+
+def test_surrogates_keep_type_format_and_identity(spark):
+    texts = ["Mail Ann.Lee9@Mail.example.org or ann.lee9@mail.example.org, not bob@mail.example.org.", "Card 4111 1111 1111 1111, 4111-1111-1111-1111, 4111111111111111; no card: 1234567890123456.",
+             "Hosts 10.20.30.40 and 10.20.30.41. Version 1.2.3 stays, 999.1.1.1 too.", "Call +1 (017) 555-7713 or +1 (017) 555-7714!", 'token = "9b8c45435718dcc700c184a7e303cdc64c6a8f7f"',
+             "Frau Erika Muster met Herr Max Muster; Frau Erika Muster left.", "господин Иван Петров", "nothing at all 12 345 a@b", "", None, "SSN 078-05-1120", "x" * 200_000 + " a.b@c.example.com"]
+    docs = spark.createDataFrame([(k, t, "kept", 3) for k, t in enumerate(texts)], "doc_id long, text string, kinds string, n_chars long")
+    table = pii.replace(docs, key="k1")
+    plan = table._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {r.doc_id: r for r in table.collect()}
+    a = re.findall(r"\S+@\S+[a-z]", got[0].text)
+    assert len(a) == 3 and a[0].lower() == a[1] != a[2] and all(x.endswith(".org") for x in a) and "lee9" not in got[0].text.lower()
+    cards = re.findall(r"4\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", got[1].text)
+    assert len(cards) == 3 and len({re.sub(r"\D", "", c) for c in cards}) == 1 and luhn(re.sub(r"\D", "", cards[0])) and [c[4] in " -" for c in cards] == [True, True, False]
+    assert "1111" not in got[1].text.split(";")[0] and "1234567890123456" in got[1].text
+    hosts = re.findall(r"(?:\d+\.){3}\d+", got[2].text)
+    assert "10.20.30.40" not in got[2].text and hosts[0] != hosts[1] and "1.2.3 stays, 999.1.1.1 too." in got[2].text
+    assert re.fullmatch(r"Call \+1 \(\d{3}\) \d{3}-\d{4} or \+1 \(\d{3}\) \d{3}-\d{4}!", got[3].text) and "7713" not in got[3].text
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[4].text) and got[4].text != texts[4]
+    names = re.fullmatch(r"Frau (\w+ \w+) met Herr (\w+ \w+); Frau (\w+ \w+) left.", got[5].text)
+    assert names[1] == names[3] and names[1].split()[0] in pii.FIRST["female", "latin"] and names[2].split()[0] in pii.FIRST["male", "latin"]
+    assert got[6].text.split()[1] in pii.FIRST["male", "cyrillic"] and "Петров" not in got[6].text
+    assert [got[k].text for k in (7, 8, 9)] == texts[7:10] and re.fullmatch(r"SSN \d{3}-\d{2}-\d{4}", got[10].text) and got[10].text != texts[10]
+    assert got[11].text.startswith("x" * 200_000) and "a.b@c" not in got[11].text
+    assert {r.n_chars for r in got.values()} == {3} and got[1].kinds == "card"
+    assert pii.replace(docs.limit(0)).count() == 0
+
+
+def test_surrogates_never_collide(spark):
+    names = [f"Herr {chr(65 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(20) for b in range(5) for c in range(3)]
+    out = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect()]
+    assert len(set(out)) == len(names) and not set(out) & set(names)
+
+
+# ---- pipeline ------------------------------------------------------------------------------------------------------
+
+def test_pipeline_stages_keep_columns_and_take_effect(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names, kept = [n for n, _ in corpus_pipeline.STAGES], docs
+    assert names == ["quality_classifier", "near_duplicates", "benchmark_decontamination", "private_data", "packing"]
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, folder)
+    assert near.columns == docs.columns
+    want = brute_classes({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+    assert {r.doc_id for r in near.select("doc_id").collect()} == {k for k, (_, root) in want.items() if k == root}
+    clean = corpus_pipeline.decontamination_stage(spark, near, folder)
+    assert clean.columns == docs.columns and clean.count() <= near.count()
+    private = corpus_pipeline.private_data_stage(spark, clean, folder)
+    assert private.columns == docs.columns and private.count() == clean.count() and not private.exceptAll(clean).isEmpty()
+    assert private.where(F.length("text") != F.col("n_chars")).isEmpty() == docs.where(F.length("text") != F.col("n_chars")).isEmpty()
+    pieces = corpus_pipeline.run(spark, folder)
+    assert pieces.select("doc_id").distinct().count() <= kept.count() and pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_chat_digest_of_the_added_conversation(spark, folder):
+    from plumbline.llm.queries import op7_chat
+
+    row = op7_chat(spark, folder).where("conv_id = -1").first()
+    text = "</s>[INST] ok [/INST]"
+    assert row.n_turns == 2 and row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert pytest is not None
