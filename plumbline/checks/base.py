@@ -90,7 +90,7 @@ def flag_sql(src: str, measured, numeric, rules=(), group=(), keep: str = "s.*")
     join = ""
     if numeric:
         fence = fence_sql(src, numeric, "profile", g)
-        on = " AND ".join(f"s.{c} = f.{c}" for c in g)
+        on = " AND ".join(f"s.{c} IS NOT DISTINCT FROM f.{c}" for c in g)
         join = f" JOIN ({fence}) f ON {on}" if g else f" CROSS JOIN ({fence}) f"
     same = ", ".join(f"s.{c}" for c in [*g, *measured])
     return (f"SELECT {keep}, {nulls} AS null_cells, count(*) OVER (PARTITION BY {same}) > 1 AS is_duplicate, "

@@ -142,6 +142,17 @@ def append_and_read_back(spark, folder):
     return rounded(results.read_results(spark, path), ["rel_err_mean", "time_condition_s"]).select(*rows.columns)
 
 
+def replace_in_place(spark, folder):
+    """Stored results of one method replaced where they lie, twice, and read back."""
+    path = f"{shared_folder(spark)}/replaced-{parameter_key(folder=folder, app=spark.sparkContext.applicationId)}"
+    old = _results(spark, folder).select("dataset", "method", "budget", "seed", "rel_err_mean")
+    new = old.where("method = 'F' and seed <= 3").withColumn("rel_err_mean", F.lit(0.5))
+    results.write_results(old, path)
+    for _ in range(2):
+        results.replace_results(new, path, "F")
+    return rounded(results.read_results(spark, path), ["rel_err_mean"]).select(*old.columns)
+
+
 def report_rows(spark, folder):
     """Half-even rounding to report digits."""
     part = load(spark, folder, "part").select("p_partkey", (F.col("p_size") / 16).alias("time_total_s"), (F.col("p_size") / 32).alias("acceptance_rate"))
@@ -225,6 +236,7 @@ CHECKS = {
                              "LEFT JOIN results ON CAST(seed AS VARCHAR) = label GROUP BY 1, 2"),
     "slowest_condition": Check(slowest_condition, R + "SELECT dataset, method, budget, seed, round(time_condition_s, 3) AS max_time_condition_s, round((SELECT avg(time_condition_s) FROM results), 3) AS mean_time_condition_s FROM results ORDER BY time_condition_s DESC LIMIT 1"),
     "replace_merge": Check(replace_merge, R + "SELECT dataset, method, budget, seed, round(rel_err_mean, 6) AS rel_err_mean FROM results WHERE method <> 'F' UNION ALL SELECT dataset, method, budget, seed, 0.5 FROM results WHERE method = 'F' AND seed <= 3"),
+    "replace_in_place": Check(replace_in_place, R + "SELECT dataset, method, budget, seed, round(rel_err_mean, 6) AS rel_err_mean FROM results WHERE method <> 'F' UNION ALL SELECT dataset, method, budget, seed, 0.5 FROM results WHERE method = 'F' AND seed <= 3"),
     "append_merge": Check(append_merge, R + "SELECT dataset, method, budget, seed FROM results"),
     "append_and_read_back": Check(append_and_read_back, R + "SELECT dataset, method, budget, seed, round(rel_err_mean, 6) AS rel_err_mean, round(time_condition_s, 6) AS time_condition_s FROM results"),
     "report_rows": Check(report_rows, "SELECT p_partkey, round_even(p_size / 16.0::DOUBLE, 3) AS time_total_s, round_even(p_size / 32.0::DOUBLE, 4) AS acceptance_rate FROM part"),

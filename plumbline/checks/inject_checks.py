@@ -42,6 +42,12 @@ def inject_many_duplicates(spark, folder):
     return inject.inject_duplicates(_customers(spark, folder), 1.2, CUSTOMERS, SEED).groupBy(*CUSTOMERS).agg(F.count(F.lit(1)).alias("n"))
 
 
+def inject_hundreds_of_copies(spark, folder):
+    """Every supplier is drawn about three hundred times."""
+    suppliers = load(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    return inject.inject_duplicates(suppliers, 300, ["s_suppkey"], SEED).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 def inject_duplicates_clean(spark, folder):
     """Copies of clean rows appended to a table with missing cells."""
     clean = _customers(spark, folder)
@@ -96,6 +102,12 @@ CHECKS = {
     "inject_missing": Check(inject_missing, missing_sql("orders", ORDERS, ORDER_COLUMNS, 0.05, SEED)),
     "inject_missing_hits": Check(inject_missing_hits, missing_sql("orders", ORDERS, ["o_custkey", "o_totalprice"], -math.expm1(-0.05), SEED, ["o_orderstatus", "o_orderpriority"])),
     "inject_duplicates": Check(inject_duplicates, _copies),
+    "inject_hundreds_of_copies": Check(inject_hundreds_of_copies, f"""
+WITH gaps AS (SELECT s_suppkey, j, -ln(CAST('0x' || substr(md5(concat_ws('|', '{SEED}', 'copy' || j, CAST(s_suppkey AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE
+              + 1.1102230246251565e-16::DOUBLE) AS gap FROM supplier CROSS JOIN range(1, 600) r(j)),
+arrivals AS (SELECT s_suppkey, j, sum(gap) OVER (PARTITION BY s_suppkey ORDER BY j) AS arrival FROM gaps),
+numbered AS (SELECT s_suppkey, row_number() OVER (ORDER BY arrival, s_suppkey, j) AS rn FROM arrivals)
+SELECT s_suppkey, 1 + count(*) FILTER (rn <= 300 * (SELECT count(*) FROM supplier)) AS n FROM numbered GROUP BY s_suppkey"""),
     "inject_many_duplicates": Check(inject_many_duplicates, f"SELECT c_custkey, CAST(count(*) AS BIGINT) AS n FROM ({_many}) t GROUP BY c_custkey"),
     "inject_duplicates_clean": Check(inject_duplicates_clean, f"WITH holes AS ({missing_sql('customer', CUSTOMERS, CUSTOMER_COLUMNS, 0.1, SEED)}) "
                                      + copies_sql("holes", "customer", CUSTOMERS, CUSTOMER_COLUMNS, 0.05, SEED)),

@@ -18,7 +18,7 @@ def _documents(spark, folder, rules=None, columns=TEXT):
 
 
 def _rates(t, *wanted, **options):
-    return rounded(profile_table(t, **options)).select(*wanted, "sample_size")
+    return rounded(profile_table(t, indicators=wanted, **options), wanted).select(*wanted, "sample_size")
 
 
 def _pick(sql, *wanted):
@@ -101,8 +101,7 @@ def profile_in_long_form(spark, folder):
 def profile_per_group(spark, folder):
     t = dirty_lines(spark, folder)
     rest = [c for c in MEASURED if c != "l_linestatus"]
-    df = t.df.where(F.col("l_linestatus").isNotNull())
-    return rounded(profile(df, rest, LINE_RULES, group=["l_linestatus"]))
+    return rounded(profile(t.df, rest, LINE_RULES, group=["l_linestatus"]))
 
 
 def relative_error_of_rows(spark, folder):
@@ -173,7 +172,7 @@ CHECKS = {
     "profile_long": Check(profile_in_long_form, f"WITH {DIRTY_CTE}, p AS ({_dirty_profile}) " + " UNION ALL ".join(
         f"SELECT '{i}' AS indicator, {i} AS value, sample_size FROM p" for i in INDICATORS)),
     "profile_per_group": Check(profile_per_group, D + profile_sql(
-        "(SELECT * FROM dirty_lines WHERE l_linestatus IS NOT NULL)", _rest, NUMBERS, LINE_RULES, ["l_linestatus"])),
+        "dirty_lines", _rest, NUMBERS, LINE_RULES, ["l_linestatus"])),
     "relative_error": Check(relative_error_of_rows, D + "SELECT " + ", ".join(
         [f"round({e}, 6) AS rel_err_{i}" for i, e in _errors.items()]
         + [f"round(({' + '.join(_errors.values())}) / 4, 6) AS rel_err_mean", f"round(({' + '.join(_gaps)}) / 4, 6) AS rel_err_abs_mean"])

@@ -36,7 +36,7 @@ class Draws:
         if self.algorithm not in ("md5", "xxhash64"):
             raise ValueError(f"unknown draw algorithm {self.algorithm!r}")
 
-    def uniform(self, tag: str, *keys: str | Column, half: int = 0) -> Column:
+    def uniform(self, tag: str | Column, *keys: str | Column, half: int = 0) -> Column:
         """Uniform on [0, 1) with 52 bits.  ``half=1`` is a second, independent draw from the same hash."""
         seed = self.seed if isinstance(self.seed, Column) else F.lit(str(self.seed))
         parts = [seed.cast("string"), F.lit(tag), *[_text(k) for k in keys]]
@@ -46,7 +46,7 @@ class Draws:
         digest = F.md5(F.concat_ws("|", *parts))
         return F.conv(F.substring(digest, 1 + 13 * half, 13), 16, 10).cast("bigint") / F.lit(TWO52)
 
-    def exponential(self, tag: str, *keys: str | Column) -> Column:
+    def exponential(self, tag: str | Column, *keys: str | Column) -> Column:
         return -F.ln(self.uniform(tag, *keys) + F.lit(HALF_STEP))
 
     def normal(self, tag: str, *keys: str | Column) -> Column:

@@ -61,7 +61,7 @@ def inject_duplicates(df: DataFrame, rate: float, key_cols: Sequence[str], seed=
     horizon = (m + 12 * math.sqrt(m) + 40) / n  # the m-th arrival is earlier, save for odds below 1e-14
     deepest = _poisson_depth(horizon, n)
     draws = _draws(seed)
-    gaps = F.array(*[draws.exponential(f"copy{j}", *key_cols) for j in range(1, deepest + 1)])
+    gaps = F.transform(F.sequence(F.lit(1), F.lit(deepest)), lambda j: draws.exponential(F.concat(F.lit("copy"), j.cast("string")), *key_cols))
     first = draws.exponential("copy1", *key_cols)
     arrived = source.where(first <= horizon).withColumn("gaps", gaps).withColumn(
         COPY_NO, F.explode(F.sequence(F.lit(1), F.lit(deepest))))
@@ -74,15 +74,12 @@ def inject_duplicates(df: DataFrame, rate: float, key_cols: Sequence[str], seed=
 
 
 def _poisson_depth(mean: float, n: int) -> int:
-    """Copies per row that no row exceeds, save for odds below 1e-12 over the whole table."""
-    term, below, k = math.exp(-mean), math.exp(-mean), 0
-    while n * max(1.0 - below, term * mean / (k + 1)) > 1e-12 and k < 200:
-        k += 1
-        term *= mean / k
-        below += term
-        if term * n < 1e-13 and k > mean:
-            break
-    return max(k, 1)
+    """Copies per row that no row exceeds, save for odds below 1e-12 over the whole table (a Chernoff bound)."""
+    log_odds = math.log(1e12 * max(n, 1))
+    k = max(1, math.ceil(mean))
+    while k * math.log(k / mean) - k + mean < log_odds:
+        k += max(1, k // 64)
+    return k
 
 
 def inject_outliers(df: DataFrame, rate: float, key_cols: Sequence[str], columns: Sequence[str] | None = None,

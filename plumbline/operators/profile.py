@@ -1,7 +1,7 @@
 """Quality profile: missing, duplicate, outlier and inconsistency rates, plain, weighted or per group.
 
-Plan of one profile: a small statistics row (fences) is broadcast; every row is then reduced to a few integers and
-grouped by its 128-bit content hash, which yields the missing, outlier and duplicate sums at once; with one
+Only the indicators asked for are computed.  Plan of a full profile: a small statistics row (fences) is broadcast; every
+row is then reduced to a few integers and grouped by its 128-bit content hash, which yields the missing, outlier and duplicate sums at once; with one
 determinant the hash groups are grouped again by determinant for the dependency check.  One scan, no join, and both
 groupings combine map-side, so a hot row or a hot determinant costs no more than any other.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, numeric_columns
+from ..functions.columns import as_double, nan_to_null, numeric_columns
 from .quantiles import ONE_TASK_ROWS, in_one_task, quantile_table
 from .table import AuditTable, FdRule, fd_rules, row_hashes
 
@@ -65,9 +65,15 @@ def fences(df: DataFrame, columns: Sequence[str], rule: str = "profile", group:
 
 
 def _attach(df: DataFrame, small: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Join a table of one row per group (one row without groups)."""
-    small = F.broadcast(small)
-    return df.join(small, list(group)) if group else df.crossJoin(small)
+    """Join a table of one row per group (one row without groups); a NULL group is a group like any other.
+
+    The number of groups has no bound here, so Spark chooses the join by the size it sees.
+    """
+    if not group:
+        return df.crossJoin(F.broadcast(small))
+    names = {g: f"group_{i}" for i, g in enumerate(group)}
+    same = reduce(lambda a, b: a & b, [F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in names.items()])
+    return df.join(small.withColumnsRenamed(names), same).drop(*names.values())
 
 
 def outside(columns: Sequence[str]) -> list[Column]:
@@ -95,16 +101,19 @@ def profile(
     rows: int | None = None,
     z: float = 3.0,
     exact_rows: bool = False,
+    indicators: Sequence[str] = INDICATORS,
 ) -> DataFrame:
-    """The four rates and ``sample_size`` of ``df``, in one row, or in one row per ``group``.
+    """The rates asked for and ``sample_size`` of ``df``, in one row, or in one row per ``group``.
 
     ``weight`` makes them weighted means; fences stay unweighted.  ``exact_rows`` groups by the columns themselves
-    instead of their hash.  Float columns must have NaN as NULL (:func:`~plumbline.operators.table.audit` does it).
+    instead of their hash.  NaN counts as missing.  Only what ``indicators`` need is computed: missing and outlier
+    rates shuffle no row.
     """
-    group = list(group)
+    df, group, wanted = nan_to_null(df), list(group), [i for i in INDICATORS if i in set(indicators)]
     measured = [c for c in df.columns if c not in group and c != weight] if measured is None else list(measured)
+    rules = rules if INCONSISTENCY in wanted else ()
     usable = tuple(r for r in fd_rules(rules) if {*r.determinant, r.dependent} <= set(measured))
-    numeric = numeric_columns(df, measured)
+    numeric = numeric_columns(df, measured) if OUTLIER in wanted else []
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("double")
 
     rowwise = df
@@ -121,22 +130,32 @@ def profile(
 
     h1, h2 = row_hashes(df, measured)
     identity = {f"id_{i}": F.col(f"`{c}`") for i, c in enumerate(measured)} if exact_rows else {"id_1": h1, "id_2": h2}
+    if DUPLICATE not in wanted:
+        identity = {}
     one = usable if len(determinants) == 1 else ()
-    det = {f"det_{i}": F.col(f"`{c}`") for i, c in enumerate(determinants[0])} if one else {}
-    dep = {f"dep_{i}": F.col(f"`{r.dependent}`") for i, r in enumerate(one)}
+    det, dep = {}, {}
+    if one and exact_rows:
+        det = {f"det_{i}": F.col(f"`{c}`") for i, c in enumerate(determinants[0])} | {"det_known": _known(determinants[0])}
+        dep = {f"dep_{i}": F.col(f"`{r.dependent}`") for i, r in enumerate(one)}
+    elif one:  # long texts stay out of the shuffles: determinants and dependents travel as hashes
+        d1, d2 = row_hashes(df, determinants[0])
+        det = {"det_1": d1, "det_2": d2, "det_known": _known(determinants[0])}
+        dep = {f"dep_{i}": _dependent(df, r) for i, r in enumerate(one)}
     reduced = rowwise.select(
         *group, *[c.alias(a) for a, c in {**identity, **det, **dep}.items()], w.alias("w"),
         count_nulls(measured).alias("nulls"), any_of(outside(numeric)).cast("int").alias("out"), broken.alias("broken"))
-    contents = reduced.groupBy(*group, *identity, *det, *dep).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("nulls")).alias("nulls"),
-        F.sum(F.col("w") * F.col("out")).alias("out"), F.sum(F.col("w") * F.col("broken")).alias("broken"))
+    weighed = {c: F.col("w") * F.col(c) for c in ("nulls", "out", "broken")}
+    if identity or det:
+        contents = reduced.groupBy(*group, *identity, *det, *dep).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), *[F.sum(c).alias(name) for name, c in weighed.items()])
+    else:
+        contents = reduced.withColumns({**weighed, "n": F.lit(1).cast("bigint")})
     sums = [F.sum(c).alias(c) for c in ("n", "w", "nulls", "out")]
     repeated = F.sum(F.when(F.col("n") > 1, F.col("w"))).alias("repeated")
     if one:
         clash = any_of(F.min(d) != F.max(d) for d in dep)
-        known = reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in det])
         contents = contents.groupBy(*group, *det).agg(*sums, repeated, F.coalesce(clash, F.lit(False)).alias("clash"))
-        contents = contents.withColumn("broken", F.when(F.col("clash") & known, F.col("w")))
+        contents = contents.withColumn("broken", F.when(F.col("clash") & F.col("det_known"), F.col("w")))
         totals = [*sums, F.sum("repeated").alias("repeated"), F.sum("broken").alias("broken")]
     else:
         totals = [*sums, repeated, F.sum("broken").alias("broken")]
@@ -147,10 +166,8 @@ def profile(
     def rate(numerator: str, per: int = 1) -> Column:
         return F.coalesce(F.col(numerator).cast("double") / F.nullif(weight_sum * F.lit(per), F.lit(0)), F.lit(0.0))
 
-    return total.select(
-        *group, rate("nulls", max(len(measured), 1)).alias(MISSING), rate("repeated").alias(DUPLICATE),
-        rate("out").alias(OUTLIER), rate("broken").alias(INCONSISTENCY),
-        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("sample_size"))
+    rates = {MISSING: rate("nulls", max(len(measured), 1)), DUPLICATE: rate("repeated"), OUTLIER: rate("out"), INCONSISTENCY: rate("broken")}
+    return total.select(*group, *[rates[i].alias(i) for i in wanted], F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("sample_size"))
 
 
 def profile_table(t: AuditTable, weight: str | None = None, n_records: int | None = None, **options) -> DataFrame:
@@ -162,45 +179,54 @@ def profile_table(t: AuditTable, weight: str | None = None, n_records: int | Non
 
 # ---- skew-safe marking ---------------------------------------------------------------------------------------------
 
-def mark_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str, total: int) -> DataFrame:
-    """Flag the rows of ``df`` whose ``on`` columns occur in ``keys(on..., n)``, ``n`` being their row count in df.
+def _known(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
 
-    Heavy keys (more than 1/HEAVY_SHARE of the rows, so fewer than HEAVY_SHARE of them) are broadcast, and their rows
-    are spread over all tasks of the shuffle join that serves the rest, by a salt that finds no partner there.
-    """
-    on = list(on)
-    names = [f"key_{i}" for i in range(len(on))]
-    keys = keys.select(*[F.col(c).alias(n) for c, n in zip(on, names)], "n")
-    heavy = keys.where(F.col("n") * HEAVY_SHARE > total).select(*names, F.lit(True).alias("heavy"))
-    light = keys.where(F.col("n") * HEAVY_SHARE <= total).select(*names, F.lit(0).cast("bigint").alias("salt"), F.lit(True).alias("light"))
 
-    def same(extra: Column | None = None) -> Column:
-        match = reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(on, names)])
-        return match if extra is None else match & extra
+def _dependent(df: DataFrame, rule: FdRule) -> Column:
+    """Hash of the dependent value; null if it is null."""
+    return F.when(F.col(f"`{rule.dependent}`").isNotNull(), row_hashes(df, [rule.dependent])[0])
 
-    first = df.join(F.broadcast(heavy), same(), "left").drop(*names)
-    content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64(*content), F.lit(1024)) + 1).otherwise(F.lit(0))
-    first = first.withColumn("row_salt", salt.cast("bigint"))
-    second = first.join(light, same(F.col("row_salt") == F.col("salt")), "left").drop(*names, "salt", "row_salt")
-    found = F.coalesce(F.col("heavy"), F.lit(False)) | F.coalesce(F.col("light"), F.lit(False))
-    return second.withColumn(flag, found).drop("heavy", "light")
 
+def mark_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str, total: int, group: Sequence[str] = (),
+              known: Column | None = None) -> DataFrame:
+    """Flag the rows of ``df`` whose key is marked in ``keys(group..., on..., n, marked)``: every key and its row count.
 
-def violating_keys(df: DataFrame, rules: Sequence[FdRule], group: Sequence[str] = ()) -> DataFrame:
-    """Determinant values with more than one dependent value, and their row count ``n``.  Null determinants are skipped."""
-    det = list(rules[0].determinant)
-    clash = any_of(F.min(f"`{r.dependent}`") != F.max(f"`{r.dependent}`") for r in rules)
-    known = reduce(lambda a, b: a & b, [F.col(f"`{d}`").isNotNull() for d in det])
-    grouped = df.where(known).groupBy(*group, *det).agg(F.count(F.lit(1)).alias("n"), clash.alias("clash"))
-    return grouped.where("clash").drop("clash")
+    Heavy keys, marked or not (more than 1/HEAVY_SHARE of the rows, so fewer than HEAVY_SHARE of them), are broadcast.
+    Their rows, and rows whose key is not ``known``, take a salt that finds no partner in the shuffle join of the
+    rest, so they spread over all its tasks.  The salt of the keys must not be a literal: the optimizer would fold it.
+    """
+    names = {c: f"key_{i}" for i, c in enumerate([*group, *on])}
+    keys = keys.withColumnsRenamed(names)
+    heavy_key = F.col("n") * HEAVY_SHARE > total
+    heavy = keys.where(heavy_key).select(*names.values(), F.col("marked").alias("heavy_mark"))
+    light = keys.where(~heavy_key & F.col("marked")).select(*names.values(), F.least(F.col("n"), F.lit(0)).cast("bigint").alias("salt"), "marked")
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(n)) if c in group else F.col(f"`{c}`") == F.col(n) for c, n in names.items()])
+    first = df.join(F.broadcast(heavy), same, "left").drop(*names.values())
+    content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    alone = F.col("heavy_mark").isNotNull() if known is None else F.col("heavy_mark").isNotNull() | ~known
+    first = first.withColumn("row_salt", F.when(alone, F.pmod(F.xxhash64(*content), F.lit(1024)) + 1).otherwise(F.lit(0)).cast("bigint"))
+    second = first.join(light, same & (F.col("row_salt") == F.col("salt")), "left").drop(*names.values(), "salt", "row_salt")
+    found = F.coalesce(F.col("heavy_mark"), F.lit(False)) | F.coalesce(F.col("marked"), F.lit(False))
+    return second.withColumn(flag, found if known is None else found & known).drop("heavy_mark", "marked")
 
 
 def mark_violations(df: DataFrame, rules, flag: str, group: Sequence[str] = (), rows: int | None = None) -> DataFrame:
-    """Flag every row whose determinant is violating, rows with a null dependent included (rules share a determinant)."""
+    """Flag every row whose determinant is violating, rows with a null dependent included (rules share a determinant).
+
+    Null determinants break no rule.  Determinants are compared by a 128-bit hash.
+    """
     rules = fd_rules(rules)
     total = df.count() if rows is None else rows
-    return mark_keys(df, violating_keys(df, rules, group), [*group, *rules[0].determinant], flag, total)
+    det = list(rules[0].determinant)
+    h1, h2 = row_hashes(df, det)
+    on = ["det_h1", "det_h2"]
+    hashed = df.withColumns({"det_h1": h1, "det_h2": h2, "det_known": _known(det)})
+    dependents = {f"dep_{i}": _dependent(df, r) for i, r in enumerate(rules)}
+    clash = F.coalesce(any_of(F.min(d) != F.max(d) for d in dependents), F.lit(False))
+    keys = hashed.where("det_known").select(*group, *on, *[c.alias(d) for d, c in dependents.items()]).groupBy(*group, *on).agg(
+        F.count(F.lit(1)).alias("n"), clash.alias("marked"))
+    return mark_keys(hashed, keys, on, flag, total, group, F.col("det_known")).drop(*on, "det_known")
 
 
 def mark_duplicates(df: DataFrame, measured: Sequence[str], flag: str = "is_duplicate", rows: int | None = None) -> DataFrame:
@@ -208,8 +234,8 @@ def mark_duplicates(df: DataFrame, measured: Sequence[str], flag: str = "is_dupl
     total = df.count() if rows is None else rows
     h1, h2 = row_hashes(df, measured)
     hashed = df.withColumn("row_id_1", h1).withColumn("row_id_2", h2)
-    repeated = hashed.groupBy("row_id_1", "row_id_2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return mark_keys(hashed, repeated, ["row_id_1", "row_id_2"], flag, total).drop("row_id_1", "row_id_2")
+    keys = hashed.groupBy("row_id_1", "row_id_2").agg(F.count(F.lit(1)).alias("n")).withColumn("marked", F.col("n") > 1)
+    return mark_keys(hashed, keys, ["row_id_1", "row_id_2"], flag, total).drop("row_id_1", "row_id_2")
 
 
 def row_flags(t: AuditTable, z: float = 3.0) -> DataFrame:

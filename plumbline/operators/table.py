@@ -49,6 +49,7 @@ class AuditTable:
     rules: tuple[FdRule, ...] = ()
     name: str = "unknown"
     known_rows: int | None = field(default=None, compare=False)
+    origin: str = ""  # what the rows are, beyond the name: source, cap, seed, or that they were derived
 
     @cached_property
     def rows(self) -> int:
@@ -62,8 +63,8 @@ class AuditTable:
     def categorical(self) -> list[str]:
         return categorical_columns(self.df, self.measured)
 
-    def with_rows(self, df: DataFrame, known_rows: int | None = None) -> AuditTable:
-        return replace(self, df=df, known_rows=known_rows)
+    def with_rows(self, df: DataFrame, known_rows: int | None = None, origin: str | None = None) -> AuditTable:
+        return replace(self, df=df, known_rows=known_rows, origin=f"{self.origin}/derived" if origin is None else origin)
 
 
 def audit(

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def run_condition(t: AuditTable, method: str, budget: float, seed: int, truth: D
     row = _as_result(estimate, t.name)
     return row.withColumns({
         "method": F.lit(method), "budget": F.lit(float(budget)), "seed": F.lit(int(seed)),
-        "converged": F.lit(method == "exhaustive"), "n_candidates": F.lit(sample.n_sampled).cast("bigint"),
+        "converged": F.lit(method == "exhaustive"),
         "n_steps": F.lit(sample.n_steps), "acceptance_rate": F.lit(float(sample.acceptance_rate)),
         "time_total_s": F.lit(done - begin), "time_search_s": F.lit(drawn - begin), "time_eval_s": F.lit(done - drawn),
         "time_condition_s": F.lit(done - begin)})
@@ -76,13 +77,14 @@ def run_grid(tables: Mapping[str, AuditTable], methods: Sequence[str], budgets:
     todo = grid if done is None else remaining(grid, done)
     shared: dict[str, tuple] = {}
     for c in todo.orderBy("dataset", "budget", "method", "seed").toLocalIterator():  # a list of runs, not data
-        t = tables[c["dataset"]]
-        if t.name not in shared:
-            truth = (truths or {}).get(t.name)
+        key = c["dataset"]
+        t = replace(tables[key], name=key)  # the grid, its results and the shared tables all go by the name given here
+        if key not in shared:
+            truth = (truths or {}).get(key)
             truth = materialise(profile_table(t), "truth") if truth is None else truth
             edges = materialise(pairwise_weights(t), "edges") if set(methods) & set(GUIDED) else None
-            shared[t.name] = (truth, edges)
-        truth, edges = shared[t.name]
+            shared[key] = (truth, edges)
+        truth, edges = shared[key]
         parameters: dict = {"batch_size": batch_size} if c["method"] in CHAINS else {}
         if c["method"] in GUIDED:
             parameters["edges"] = edges

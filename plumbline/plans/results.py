@@ -1,14 +1,16 @@
 """The results table: one row per finished condition, appended batch by batch, merged, resumed and reported."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.profile import INDICATORS
-from ..sources.cache import path_exists
+from ..sources.cache import delete_path, move_path, path_exists
 
+# fixed values: the columns of the results table
 CONDITION = ("dataset", "method", "budget", "seed")
 ERRORS = tuple(f"rel_err_{i}" for i in INDICATORS) + ("rel_err_mean", "rel_err_abs_mean")
 
@@ -66,6 +68,25 @@ def replace_merge(old: DataFrame, new: DataFrame, method: str) -> DataFrame:
     return old.where(~F.col("method").eqNullSafe(F.lit(method))).unionByName(new, allowMissingColumns=True)
 
 
+def replace_results(rows: DataFrame, path: str, method: str) -> None:
+    """Replace the rows of one method in the stored results.
+
+    The merged table is written to a folder beside ``path`` and takes its place when it is complete, so the earlier
+    results are there, whole, whatever fails before that.
+    """
+    spark = rows.sparkSession
+    old = read_results(spark, path)
+    merged = rows if old is None else replace_merge(old, rows, method)
+    fresh, spare = f"{path.rstrip('/')}-new-{uuid.uuid4().hex[:12]}", f"{path.rstrip('/')}-old-{uuid.uuid4().hex[:12]}"
+    write_results(merged, fresh)
+    if old is not None:
+        move_path(spark, path, spare)
+    move_path(spark, fresh, path)
+    if old is not None:
+        delete_path(spark, spare)
+    spark.catalog.refreshByPath(path)
+
+
 # ---- reports -------------------------------------------------------------------------------------------------------
 
 def report_row(df: DataFrame) -> DataFrame:

@@ -15,8 +15,24 @@ __all__ = ["cached_table", "materialise", "parameter_key", "path_exists", "read_
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if the path exists in whatever file system it names."""
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    files, path = _file_system(spark, source)
+    if not files.rename(path, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
 
 
 def parameter_key(**parameters) -> str:
@@ -43,10 +59,13 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def truth_profile(t: AuditTable, root: str, force: bool = False, **parameters) -> DataFrame:
-    """Full-scan profile, computed once per table name, rules, columns and parameters, and kept as JSON."""
+    """Full-scan profile, computed once per table, rules, columns and parameters, and kept as JSON.
+
+    A table is its name and its origin: a capped or derived table never gets the truth of the whole one.
+    """
     spark = t.df.sparkSession
     rules = [[list(r.determinant), r.dependent] for r in t.rules]
-    key = parameter_key(table=t.name, rules=rules, columns=t.measured, **parameters)
+    key = parameter_key(table=t.name, origin=t.origin, rules=rules, columns=t.measured, **parameters)
     path = f"{root.rstrip('/')}/{t.name}-truth-{key}"
     if force or not path_exists(spark, f"{path}/_SUCCESS"):
         profile_table(t).coalesce(1).write.mode("overwrite").json(path)

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +36,9 @@ class Catalog:
         entry = self.datasets[name]
         path = first_existing(spark, entry.paths)
         t = audit(entry.reader(spark, path), entry.key_cols, rules=entry.rules, name=name)
+        t = replace(t, origin=path)
         if n_records is not None:
-            return fixed_size(t, n_records, seed).table, None
+            return replace(fixed_size(t, n_records, seed).table, origin=f"{path}/{n_records} rows/seed {seed}"), None
         truth = None
         if entry.truth_path and path_exists(spark, entry.truth_path):
             truth = read_truth(spark, entry.truth_path)
