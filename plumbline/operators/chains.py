@@ -9,16 +9,19 @@ A chain is sequential, but one step needs only the size and the score sum of the
 3. chunks are reduced to (rows, defect cells) - one grouped count, the only pass that shuffles, N / batch_size rows;
 4. steps are listed with the pivot each one draws, and folded in order: accept the proposal with probability
    min(1, exp(lam (proposed - current))), else take the step's forced chunk;
-5. the sample is the rows of the taken chunks (a broadcast semi join on chunk numbers), trimmed to the budget.
+5. the sample is the rows of the taken chunks (a semi join on chunk numbers), trimmed to the budget.
 
 Steps 1-5 read a narrow table (key, defect cells, draws) that is written once.
 
-If the pool's chunks run out first, the untouched rows are hashed again and the chain goes on.  ``max_steps`` bounds
-the step table: beyond it the batch grows with the table, so step 4 stays small at any size.
+If the pool's chunks run out first, the untouched rows are hashed again and the chain goes on.  The batch size is
+what the caller says at any table size.  A chain is sequential in its steps, so steps are folded in segments of fixed
+length that lie in storage: from one segment to the next go the defects, the rows and the acceptances so far, and the
+decisions are written per segment and joined to the rows by Spark.
 """
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -32,12 +35,12 @@ from .quantiles import quantile_table
 from .samplers import WEIGHT, Sample, with_inverse_weights
 from .score import EPSILON, CellRules, ScoreCounts, score_counts
 from .selection import smallest, weight_spread
-from .storage import materialise, small_table
+from .storage import materialise, shared_folder, small_table
 from .table import AuditTable
 
 UNIFORM, FORCED = "uniform", "forced"
 FORCED_SHARE = 0.2  # a forced batch is a quarter of a proposal: 1/4 : 1
-MAX_STEPS = 20_000
+SEGMENT = 4096  # steps folded at a time
 DECISIONS = "stream string, chunk bigint"
 
 
@@ -147,7 +150,7 @@ class ChainState:
 
 
 def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Proposals, rules: CellRules,
-           lam: float | None, batch_size: int, uniform_weights: bool = False, max_steps: int = MAX_STEPS,
+           lam: float | None, batch_size: int, uniform_weights: bool = False, segment: int = SEGMENT,
            algorithm: str = "md5") -> Sample:
     draws = Draws(seed, algorithm)
     cells = max(len(rules.columns), 1)
@@ -160,7 +163,6 @@ def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Prop
         proposals.stream.alias("home"), draws.uniform("row", *keys).alias("row_draw")), "chain")
     n, cut = smallest(narrow, F.col("start"), keys, lambda rows: min(batch_size, rows), spread=weight_spread)
     goal = min(n, max(batch_size, int(n * budget)))
-    batch = max(batch_size, math.ceil(goal / max_steps))
     in_start = cut.keeps(F.col("start"), keys)
     first = narrow.where(in_start).agg(F.coalesce(F.sum("defects"), F.lit(0)).alias("d"), F.count(F.lit(1)).alias("n")).first()
     state = ChainState(first["d"], first["n"])
@@ -168,12 +170,11 @@ def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Prop
     pool, left, taken = narrow.where(~in_start), n - state.rows, [narrow.where(in_start)]
     round_no = 0
     while state.rows < goal and left > 0:
-        placed, decisions, used = _round(pool, left, keys, proposals, draws, lam, batch, goal, cells, state, round_no)
-        chosen = F.broadcast(decisions)
-        taken.append(placed.join(chosen, ["stream", "chunk"], "left_semi").select(*narrow.columns))
+        placed, decisions, used = _round(pool, left, keys, proposals, draws, lam, batch_size, goal, cells, state, round_no, segment)
+        taken.append(placed.join(decisions, ["stream", "chunk"], "left_semi").select(*narrow.columns))
         left -= used
         if state.rows < goal and left > 0:
-            pool = materialise(placed.join(chosen, ["stream", "chunk"], "left_anti").select(*narrow.columns), "pool")
+            pool = materialise(placed.join(decisions, ["stream", "chunk"], "left_anti").select(*narrow.columns), "pool")
         round_no += 1
 
     picked = taken[0]
@@ -193,16 +194,14 @@ def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Prop
     return Sample(t.with_rows(rows, total), n, total, method, WEIGHT, state.steps, state.accepted / max(state.steps, 1), kept=True)
 
 
-def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, state, round_no):
+def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, state, round_no, segment):
     """One pass over the pool: place rows, reduce chunks, list steps, fold.  Returns the placed pool, the taken chunks,
     and how many rows they hold; updates ``state``."""
     spark = pool.sparkSession
     forced_size = max(1, batch // 4)
     tag = f"pool{round_no}"
-    if left <= batch:  # the rest is one proposal
-        placed = pool.withColumns({"stream": F.lit(UNIFORM), "chunk": F.lit(0).cast("bigint")})
-        state.steps, state.accepted, state.rows = state.steps + 1, state.accepted + 1, state.rows + left
-        return placed, small_table(spark, [(UNIFORM, 0)], DECISIONS), left
+    if left <= batch:
+        return _last_batch(pool, left, key_cols, draws, lam, forced_size, cells, state, round_no)
 
     streamed = pool.withColumns({"u_chunk": draws.uniform(tag, *key_cols, half=1), "stream": F.when(
         draws.uniform(tag, *key_cols) < FORCED_SHARE, F.lit(FORCED)).otherwise(F.col("home"))})
@@ -213,30 +212,55 @@ def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, stat
 
     n_steps = min(math.ceil((goal - state.rows) / forced_size), sum(c for s, c in chunks.items() if s != FORCED) or 1,
                   chunks.get(FORCED, 1))
-    steps = _steps(spark, n_steps, proposals.chances, chunks, draws, round_no)
+    steps = _steps(spark, n_steps, proposals.chances, chunks, draws, round_no, segment)
     batches = placed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("size"), F.sum("defects").alias("defects"))
     batches = batches.where(F.col("chunk") < n_steps)
     offered = batches.select(F.col("stream").alias("offer"), F.col("chunk").alias("visit"), F.col("size").alias("p_size"), F.col("defects").alias("p_defects"))
     spare = batches.where(F.col("stream") == FORCED).select(F.col("chunk").alias("step"), F.col("size").alias("f_size"), F.col("defects").alias("f_defects"))
     table = steps.join(offered, ["offer", "visit"], "left").join(spare, "step", "left").na.fill(0, ["p_size", "p_defects", "f_size", "f_defects"])
-    folded = _fold(table, state, goal, lam, cells)
-    taken = [(s, c) for s, c, size, _, _ in folded if size > 0]
-    used = sum(size for _, _, size, _, _ in folded)
-    state.steps += len(folded)
-    state.accepted += sum(accepted for *_, accepted in folded)
-    state.rows += used
-    state.defects += sum(defects for _, _, _, defects, _ in folded)
+    begin = (state.rows, state.steps)
+    decisions = _segments(table, n_steps, segment, state, goal, lam, cells)
+    used = state.rows - begin[0]
+    taken = decisions.where("size > 0").select("stream", "chunk")
     if used == 0:  # nothing but empty chunks were looked at: take one proposal chunk
         s, c = placed.where(F.col("stream") != FORCED).select("stream", "chunk").orderBy("stream", "chunk").first() or (FORCED, 0)
         row = placed.where((F.col("stream") == s) & (F.col("chunk") == c)).agg(F.count(F.lit(1)).alias("n"), F.sum("defects").alias("d")).first()
-        taken, used = [(s, c)], row["n"]
+        taken, used = small_table(spark, [(s, c)], DECISIONS), row["n"]
         state.steps, state.accepted = state.steps + 1, state.accepted + 1
         state.rows, state.defects = state.rows + row["n"], state.defects + row["d"]
-    return placed, small_table(spark, taken, DECISIONS), used
+    return placed, taken, used
 
 
-def _steps(spark, n_steps: int, chances, chunks: dict, draws: Draws, round_no: int) -> DataFrame:
-    """(step, offer, visit): the stream each step proposes from and how often it was visited before.
+def _last_batch(pool, left, key_cols, draws, lam, forced_size, cells, state, round_no):
+    """The rest of the pool is one proposal, accepted like any other; if not, a forced batch of it is taken."""
+    spark = pool.sparkSession
+    row = pool.agg(F.sum("defects").alias("d")).first()
+    u = spark.range(1).select(draws.uniform(f"accept{round_no}", "id").alias("u")).first()["u"]
+    rise = (row["d"] / left - state.defects / max(state.rows, 1)) / cells
+    accept = lam is None or state.rows == 0 or math.log(u + 1e-12) < lam * rise
+    stream = pool.withColumns({"stream": F.lit(UNIFORM), "chunk": F.lit(0).cast("bigint")})
+    used, defects = left, row["d"]
+    if not accept and forced_size < left:
+        _, cut = smallest(pool, draws.uniform(f"pool{round_no}", *key_cols), key_cols, lambda _: forced_size)
+        kept = cut.keeps(draws.uniform(f"pool{round_no}", *key_cols), key_cols)
+        stream = materialise(pool.withColumns({"stream": F.lit(UNIFORM), "chunk": F.when(kept, F.lit(0)).otherwise(F.lit(1)).cast("bigint")}), "last")
+        got = stream.where("chunk = 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("defects"), F.lit(0)).alias("d")).first()
+        used, defects = got["n"], got["d"]
+    state.steps, state.accepted, state.rows, state.defects = state.steps + 1, state.accepted + int(accept), state.rows + used, state.defects + defects
+    return stream, small_table(spark, [(UNIFORM, 0)], DECISIONS), used
+
+
+def _numbered(steps: DataFrame, name: str, by: str) -> DataFrame:
+    """Adds how many steps before this one have the same ``by``: counts of earlier segments, and a window inside one."""
+    counts = steps.groupBy("segment", by).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(
+        Window.partitionBy(by).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = Window.partitionBy("segment", by).orderBy("step")
+    return steps.join(before, ["segment", by]).withColumn(name, (F.col("before") + F.row_number().over(inside) - 1).cast("bigint")).drop("before")
+
+
+def _steps(spark, n_steps: int, chances, chunks: dict, draws: Draws, round_no: int, segment: int) -> DataFrame:
+    """(step, segment, offer, visit, u): the stream each step proposes from and how often it was visited before.
 
     A stream that has no chunk left falls back to the uniform stream, whose visits are numbered in step order too.
     """
@@ -245,21 +269,40 @@ def _steps(spark, n_steps: int, chances, chunks: dict, draws: Draws, round_no: i
     for s, p in reversed(chances):
         running -= p
         pivot = F.when(u < F.lit(running + p), F.lit(s)).otherwise(pivot)
-    steps = spark.range(n_steps).withColumnRenamed("id", "step").withColumn("pivot", pivot)
+    steps = spark.range(n_steps).withColumnRenamed("id", "step").withColumns({"pivot": pivot, "segment": F.floor(F.col("step") / segment).cast("bigint")})
     limit = F.coalesce(F.element_at(F.create_map(*[x for s, c in sorted(chunks.items()) for x in (F.lit(s), F.lit(c))]), F.col("pivot")), F.lit(0))
-    in_order = Window.partitionBy("pivot").orderBy("step")
-    steps = steps.withColumn("turn", F.row_number().over(in_order) - 1)
+    steps = _numbered(steps, "turn", "pivot")
     steps = steps.withColumn("offer", F.when(F.col("turn") < limit, F.col("pivot")).otherwise(F.lit(UNIFORM)))
-    again = Window.partitionBy("offer").orderBy("step")
-    return steps.withColumn("visit", (F.row_number().over(again) - 1).cast("bigint")).withColumn(
-        "u", draws.uniform(f"accept{round_no}", "step")).select("step", "offer", "visit", "u")
+    return _numbered(steps, "visit", "offer").withColumn("u", draws.uniform(f"accept{round_no}", "step")).select("step", "segment", "offer", "visit", "u")
 
 
-def _fold(table: DataFrame, state: ChainState, goal: int, lam: float | None, cells: int) -> list[tuple]:
-    """Run the steps in order and list (stream, chunk, size, defects, accepted) of those used.
+def _segments(table: DataFrame, n_steps: int, segment: int, state: ChainState, goal: int, lam: float | None, cells: int) -> DataFrame:
+    """Fold the steps, segment after segment, until the goal is reached; updates ``state``.
 
-    The fold is one ``aggregate`` over the ordered steps (at most 4 max_steps of them, as each one adds at least
-    ``batch / 4`` rows); its state is the running score sum, the row count and the decision per step.
+    Returns the decisions (step, stream, chunk, size, defects, accepted) of the steps used.
+    """
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    table.repartition("segment").write.partitionBy("segment").parquet(f"{path}/listed")
+    for k in range(-(-n_steps // segment)):
+        if state.rows >= goal:
+            break
+        part = spark.read.schema(table.drop("segment").schema).parquet(f"{path}/listed/segment={k}")
+        _fold(part, state, goal, lam, cells).write.parquet(f"{path}/decided/segment={k}")
+        row = spark.read.parquet(f"{path}/decided/segment={k}").agg(
+            F.count(F.lit(1)).alias("steps"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "defects")],
+            F.coalesce(F.sum(F.col("accepted").cast("bigint")), F.lit(0)).alias("accepted")).first()
+        state.steps, state.rows = state.steps + row["steps"], state.rows + row["size"]
+        state.accepted, state.defects = state.accepted + row["accepted"], state.defects + row["defects"]
+    schema = "step bigint, stream string, chunk bigint, size bigint, defects bigint, accepted boolean"
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/decided")
+
+
+def _fold(table: DataFrame, state: ChainState, goal: int, lam: float | None, cells: int) -> DataFrame:
+    """Run the steps of one segment in order; the decisions of those used.
+
+    The fold is one ``aggregate`` over the ordered steps of a segment; its state is the running score sum, the row
+    count and the decision per step.
     """
     columns = ["step", "offer", "visit", "u", "p_size", "p_defects", "f_size", "f_defects"]
     listed = table.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("steps"))
@@ -275,7 +318,11 @@ def _fold(table: DataFrame, state: ChainState, goal: int, lam: float | None, cel
                          F.array_append(now["decided"], accept).alias("decided"))
         return F.when(now["size"] >= goal, now).otherwise(after)
 
-    row = listed.select("steps", F.aggregate("steps", begin, step)["decided"].alias("decided")).first()
-    return [(s["offer"], s["visit"], s["p_size"], s["p_defects"], True) if accepted
-            else (FORCED, s["step"], s["f_size"], s["f_defects"], False)
-            for s, accepted in zip(row["steps"], row["decided"])]
+    decided = listed.select("steps", F.aggregate("steps", begin, step)["decided"].alias("decided"))
+    used = decided.select(F.posexplode("decided").alias("place", "accepted"), "steps").withColumn("s", F.get("steps", F.col("place")))
+
+    def either(yes, no):
+        return F.when(F.col("accepted"), yes).otherwise(no)
+
+    return used.select("s.step", either(F.col("s.offer"), F.lit(FORCED)).alias("stream"), either(F.col("s.visit"), F.col("s.step")).cast("bigint").alias("chunk"),
+                       either(F.col("s.p_size"), F.col("s.f_size")).cast("bigint").alias("size"), either(F.col("s.p_defects"), F.col("s.f_defects")).cast("bigint").alias("defects"), "accepted")

@@ -1,12 +1,15 @@
 """Edge rules of the indicators on small hand-worked tables."""
 import math
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import audit, profile_table
 from plumbline.operators.convergence import all_converged, raftery_lewis, wald_interval
 from plumbline.operators.dependency import pairwise_weights
-from plumbline.operators.profile import profile, row_flags
+from plumbline.operators.inject import inject_duplicates
+from plumbline.operators.profile import mark_violations, profile, row_flags
 from plumbline.operators.score import error_proxy
 
 
@@ -94,3 +97,45 @@ def test_chains(spark):
     assert found["stuck"]["burn_in"] is None
     only_short = raftery_lewis(spark.createDataFrame(rows[60:70], "indicator string, step long, value double"))
     assert all_converged(only_short).first()["all_converged"] is False
+
+
+def test_null_groups_stay(spark):
+    rows = [(g, float(k % 7), "x") for k, g in enumerate(["a", "b", None, None] * 10)]
+    df = spark.createDataFrame(rows, "g string, v double, t string")
+    got = {r["g"]: r["sample_size"] for r in profile(df, ["v", "t"], group=["g"]).collect()}
+    assert got == {"a": 10, "b": 10, None: 20}
+    assert mark_violations(df, {"t": "v"}, "broken", ["g"]).where("broken").count() == 40
+
+
+def test_one_indicator_needs_no_shuffle_of_rows(spark):
+    df = spark.createDataFrame([(1.0, "a", "p"), (None, "a", "q"), (math.nan, "b", "r")], "v double, t string, u string")
+    one = profile(df, rules={"t": "u"}, indicators=["missing_rate"])
+    assert one.columns == ["missing_rate", "sample_size"] and one.first()["missing_rate"] == pytest.approx(2 / 9)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    whole = profile(df, rules={"t": "u"})._jdf.queryExecution().executedPlan().toString()
+    assert not any(re.search(r"hashpartitioning\((t|u)#", line) for line in whole.split("\n"))
+
+
+@pytest.mark.parametrize("kind", ["violating", "clean", "null"])
+def test_a_hot_determinant_spreads(spark, kind):
+    """Half of the rows have one determinant; no partition of the join holds more than twice its share."""
+    hot = "CAST(NULL AS STRING)" if kind == "null" else "'hot'"
+    dependent = "id % 2" if kind == "violating" else "0"
+    df = spark.sql(f"SELECT id, CASE WHEN id % 2 = 0 THEN {hot} ELSE CAST(id AS STRING) END AS d, CASE WHEN id % 2 = 0 THEN {dependent.replace('id', 'id div 2')} ELSE 0 END AS v FROM range(40000)")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "16", "-1")):
+            spark.conf.set(k, v)
+        marked = mark_violations(df, {"d": "v"}, "broken")
+        sizes = [r["n"] for r in marked.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert marked.where("broken").count() == (20_000 if kind == "violating" else 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes) <= 2 * 40_000 / 16 and len(sizes) == 16
+
+
+def test_many_copies_of_one_row(spark):
+    copies = inject_duplicates(spark.createDataFrame([(1, "x")], "k int, v string"), 0, ["k"], copies=500)
+    assert copies.count() == 501 and copies.select("copy_no").distinct().count() == 501

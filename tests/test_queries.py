@@ -4,6 +4,7 @@ import math
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
+from pyspark.sql import functions as F
 
 from plumbline import audit, profile_table
 from plumbline.checks import all_checks
@@ -17,7 +18,8 @@ CHECKS = all_checks()
 SMALL = ["quality_profile", "quality_profile_dirty", "quality_profile_weighted", "row_flags", "error_proxy", "row_copies", "global_ordinal",
          "sample_uniform", "sample_importance", "sample_cluster", "sample_strat_column", "sample_mh", "sample_dag",
          "inject_duplicates", "inject_fd_per_key", "column_priority", "raftery_lewis", "generate_sensors", "ingest_log_lines", "clean_log",
-         "progressive_curve", "accuracy_conditions", "resume_grid", "replace_merge"]
+         "progressive_curve", "accuracy_conditions", "resume_grid", "replace_merge", "replace_in_place", "inject_hundreds_of_copies",
+         "profile_per_group", "missing_rate"]
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +103,31 @@ def test_catalog(spark, folder):
 def test_half_even_report(spark):
     df = results.report_row(spark.createDataFrame([(0.0625, 0.00125)], "time_total_s double, acceptance_rate double"))
     assert tuple(df.first()) == (0.062, 0.0012)
+
+
+def test_a_capped_table_has_its_own_truth(spark, folder, tmp_path):
+    tables = catalog.folder_catalog(folder, {"events": {"key_cols": ("event_id",)}})
+    whole = cache.truth_profile(tables.load(spark, "events")[0], str(tmp_path))
+    part = cache.truth_profile(tables.load(spark, "events", n_records=100)[0], str(tmp_path))
+    assert (whole.first()["sample_size"], part.first()["sample_size"]) == (1000, 100)
+
+
+def test_tables_of_one_name_are_told_apart(spark, folder, tmp_path):
+    t = dirty_lines(spark, folder)
+    half = t.with_rows(t.df.where("l_linenumber = 1"))
+    path = str(tmp_path / "grid")
+    found = experiments.run_grid({"all": t, "first": half}, ["exhaustive"], [1.0], [1], path)
+    assert {r["dataset"]: r["n_sampled"] for r in found.collect()} == {"all": t.rows, "first": half.rows}
+    assert found.where("rel_err_mean > 0").isEmpty()
+    assert experiments.run_grid({"all": t, "first": half}, ["exhaustive"], [1.0], [1], path).count() == 2
+
+
+def test_a_failed_replacement_keeps_the_results(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("d", "a", 1.0), ("d", "b", 2.0)], "dataset string, method string, rel_err_mean double")
+    results.write_results(rows, path)
+    with pytest.raises(Exception):
+        results.replace_results(rows.withColumn("rel_err_mean", F.raise_error(F.lit("no")).cast("double")), path, "a")
+    assert results.read_results(spark, path).count() == 2
+    results.replace_results(rows.where("method = 'a'").withColumn("rel_err_mean", F.lit(5.0)), path, "a")
+    assert sorted((r["method"], r["rel_err_mean"]) for r in results.read_results(spark, path).collect()) == [("a", 5.0), ("b", 2.0)]

@@ -1,6 +1,7 @@
 """Sizes, identity, nesting and stability of samples; statistics over many seeds."""
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,10 +42,37 @@ def test_chain_takes_everything_over_several_rounds(table):
     assert sample.df.select(*table.key_cols).exceptAll(table.df.select(*table.key_cols)).count() == 0
 
 
-def test_growing_batches_bound_the_steps(table):
-    sample = chains.metropolis_hastings(table, 0.5, batch_size=10, max_steps=20)
-    assert sample.n_sampled == int(table.rows * 0.5)
-    assert sample.n_steps <= 4 * 20 + 4
+def test_segments_do_not_change_a_chain(table):
+    """The batch is as given, however many steps that takes, and the segment length has no say."""
+    runs = [chains.metropolis_hastings(table, 0.5, batch_size=10, segment=n) for n in (7, 4096)]
+    keys = [r.df.select(*table.key_cols) for r in runs]
+    assert keys[0].exceptAll(keys[1]).isEmpty() and runs[0].n_sampled == runs[1].n_sampled == int(table.rows * 0.5)
+    assert runs[0].n_steps == runs[1].n_steps > 7 and runs[0].acceptance_rate == runs[1].acceptance_rate
+    other = chains.metropolis_hastings(table, 0.5, batch_size=40, segment=7)
+    assert other.n_steps < runs[0].n_steps and not other.df.select(*table.key_cols).exceptAll(keys[0]).isEmpty()
+
+
+def test_chain_behaves_like_a_plain_sequential_one(table):
+    """Acceptance and mean score against a chain that draws batches one after the other from one pool."""
+    scores = np.array([r["score"] for r in error_proxy(table).select("score").collect()])
+    goal, batch, accepted, means = int(len(scores) * 0.3), 50, [], []
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        weight = (scores + 1e-6) / (scores + 1e-6).sum()
+        taken = rng.choice(len(scores), batch, replace=False, p=weight)
+        pool = rng.permutation(np.setdiff1d(np.arange(len(scores)), taken))
+        total, n, steps, yes = scores[taken].sum(), batch, 0, 0
+        while n < goal and len(pool):
+            offer = pool[:batch]
+            ok = np.log(rng.random() + 1e-12) < 2.0 * (scores[offer].mean() - total / n)
+            used = offer if ok else pool[: batch // 4]
+            total, n, steps, yes, pool = total + scores[used].sum(), n + len(used), steps + 1, yes + ok, rng.permutation(pool[len(used):])
+        accepted.append(yes / steps)
+        means.append(total / n)
+    ours = [chains.metropolis_hastings(table, 0.3, seed=s, batch_size=batch) for s in (1, 2, 3)]
+    assert abs(np.mean([o.acceptance_rate for o in ours]) - np.mean(accepted)) < 0.08
+    mine = [error_proxy(table).join(o.df.select(*table.key_cols), list(table.key_cols), "left_semi").agg({"score": "avg"}).first()[0] for o in ours]
+    assert abs(np.mean(mine) - np.mean(means)) < 0.15 * np.mean(means)
 
 
 def test_nesting_and_full_budget(table):
