@@ -125,32 +125,32 @@ def in_bitmap(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def rows_of(table: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of a table whose id is among the ids: the bitmap passes by most others before anything is shuffled."""
+    """The rows of a table whose id is among the ids, and a few others that share a place in the bitmap; nothing is shuffled."""
     bits, names = bitmap(ids, id_col), table.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(bits, np.asarray(batch["__place"])))).select(names)
 
-    few = table.withColumn("__place", id_place(id_col)).mapInArrow(run, table.schema)
-    return few.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    return table.withColumn("__place", id_place(id_col)).mapInArrow(run, table.schema)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014). Every round writes its links to the shared folder.
+    Alternates large-star and small-star steps (Kiveris et al. 2014) until every node but the roots has one link, to a
+    root. Every step writes its links to the shared folder.
     """
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "links")
+        edges = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"), "links")
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = keep(edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)").isEmpty()

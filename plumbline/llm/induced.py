@@ -13,18 +13,26 @@ from __future__ import annotations
 
 import heapq
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 
-MEMORY, INNER = 2_000_000, 1_000_000
+MEMORY, INNER = 8_000_000, 1_000_000
+#: Arrays of up to so many bytes stay in memory; queue runs never do.
+SMALL = 64_000_000
 
 
 def on_disk(folder: str, name: str, n: int, dtype) -> np.ndarray:
     """A new array in a file of the folder."""
     if not n:
         return np.zeros(0, dtype)
-    return np.memmap(os.path.join(folder, f"{name}-{len(os.listdir(folder))}"), dtype, "w+", shape=(n,))
+    return np.memmap(os.path.join(folder, f"{name}-{uuid.uuid4().hex}"), dtype, "w+", shape=(n,))
+
+
+def array(folder: str, name: str, n: int, dtype) -> np.ndarray:
+    """A new array of zeros: in memory if it is small, else in a file of the folder."""
+    return np.zeros(n, dtype) if n * np.dtype(dtype).itemsize <= SMALL else on_disk(folder, name, n, dtype)
 
 
 class DiskQueue:
@@ -70,6 +78,10 @@ class DiskQueue:
         own = self.held.pop(key, [])
         self.size -= sum(len(p) for p, _ in own)
         parts += own
+        for places, rows, values in self.runs:
+            if not places:  # all taken: the files can go
+                os.unlink(rows.filename)
+                os.unlink(values.filename)
         self.runs = [r for r in self.runs if r[0]]
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.uint8)
@@ -180,8 +192,8 @@ def sweeps(text: np.ndarray, seeds: np.ndarray, folder: str, bound: int = 0, mem
     queue = DiskQueue(folder, memory, descending=False)
     sweep = _Sweep(text, queue, bound, up=True)
     queue.put(text[n - 1 :].astype(np.int64), np.array([n - 1]), np.zeros(1, np.uint8))
-    falling, count = on_disk(folder, "falling", n, np.int64), 0
-    falling_common = on_disk(folder, "falling", n, np.uint8)
+    falling, count = array(folder, "falling", n, np.int64), 0
+    falling_common = array(folder, "falling", n, np.uint8)
     falling_range: dict[int, tuple[int, int]] = {}
     waiting = sorted(seed_range, reverse=True)
     while True:
@@ -256,14 +268,14 @@ def seeds_in_order(text: np.ndarray, folder: str, memory: int = MEMORY, inner: i
     starts = run_starts(text)
     if len(starts) < 2:
         return starts
-    is_start = np.zeros(len(text), bool)
+    is_start = array(folder, "starts", len(text), bool)
     is_start[starts] = True
     chars = text[starts]
     rough = starts[np.argsort(chars, kind="stable")]
     found = [p[is_start[p]][::-1] for p, _ in sweeps(text, rough, folder, 0, memory)]
     order = np.concatenate(found)[::-1]
     # A substring ends with the next start; equal neighbours have equal length and content.
-    number = np.zeros(len(text), np.int64)
+    number = array(folder, "numbers", len(text), np.int64)
     number[starts] = np.arange(len(starts))
     ends = np.append(starts[1:], len(text) - 1)
     size = (ends - starts)[number[order]]
@@ -280,7 +292,7 @@ def seeds_in_order(text: np.ndarray, folder: str, memory: int = MEMORY, inner: i
     after_last = np.flatnonzero(order == starts[-1])[0] + 1
     if after_last < len(new):
         new[after_last] = True
-    names = on_disk(folder, "names", len(starts), np.int64)
+    names = array(folder, "names", len(starts), np.int64)
     names[number[order]] = np.cumsum(new) - 1
     if new.all():
         return order

@@ -2,12 +2,13 @@
 
 Every window of `length` bytes has an anchor: its leftmost smallest k-gram by hash. Equal windows have equal anchors, so
 only documents that meet at an anchor can share a window. Runs of windows with one anchor are segments. Equal segments
-are folded: the first document keeps, all others give. Where one anchor has different segments (at the borders of what is
-shared) their windows are compared by suffix sorting: shards of whole anchors are written to scratch files of the task,
-sorted with disk-backed queues, and windows whose common-prefix values reach `length` are one class with one first
-document. The hash only brings together; no window is removed that was not found equal.
+(by anchor and digest, 100 bits) are folded: the first document keeps, all others give. Where documents have different
+segments at one anchor (at the borders of what they share) the windows of these segments are compared by suffix sorting:
+shards of whole anchors lie in scratch files of the task, are sorted with disk-backed queues, and windows whose
+common-prefix values reach `length` are one class with one first document.
 
-Copies of whole texts are folded before all this.
+Anchors and digests travel packed by part, ten bytes a segment. Of equal segments in one task only the first document's
+goes on, so a passage that every document has costs one entry a task.
 """
 
 from __future__ import annotations
@@ -18,18 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import induced, meeting
-from plumbline.llm.common import BASE, BYTE_VALUES, keep, map_slices, mix, texts_of
+from plumbline.llm.common import BASE, BYTE_VALUES, INVERSE, keep, map_slices, mix, slices, texts_of
 
-GRAM = 20
+GRAM = 16
 #: Bytes looked at together; also the longest stretch of one text in which positions are compared.
 STRETCH = 1 << 20
 #: Bytes of segments in one shard: sorted in memory up to here, from scratch files beyond.
-SHARD = 6_000_000
+SHARD = 3_000_000
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -57,8 +59,22 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def segments(raws: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, first window, windows, anchor hash) of all runs of windows with one anchor, in several batches."""
+def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """40-bit digests of byte ranges."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[data] * UP[: len(data)], out=total[1:])
+    return mix(((total[end] - total[begin]) * DOWN[begin]) ^ (end - begin).astype(np.uint64)) >> np.uint64(24)
+
+
+UP = np.multiply.accumulate(np.array([1] + [BASE] * (2 * STRETCH), np.uint64))
+DOWN = np.multiply.accumulate(np.array([1] + [INVERSE] * (2 * STRETCH), np.uint64))
+
+
+def segments(raws: list[bytes], length: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, first window, windows, token, digest) of all runs of windows with one anchor, in several batches.
+
+    The token stands for the anchor, see meeting.place().
+    """
     pieces = [(k, at, raw[at : at + STRETCH + length - 1]) for k, raw in enumerate(raws) for at in range(0, max(0, len(raw) - length + 1), STRETCH)]
     at = 0
     while at < len(pieces):
@@ -79,56 +95,127 @@ def segments(raws: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         window = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         own = anchor[begin[owner] + window]
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])]))
-        who = owner[first]
-        yield np.array([p[0] for p in part])[who], window[first] + np.array([p[1] for p in part])[who], np.diff(np.append(first, len(own))), hashes[own[first]]
+        who, count = owner[first], np.diff(np.append(first, len(own)))
+        place = begin[who] + window[first]
+        yield (np.array([p[0] for p in part])[who], window[first] + np.array([p[1] for p in part])[who], count,
+               meeting.place(hashes[own[first]], parts), _spans(data, place, place + count + length - 1).astype(np.int64))
 
 
-def _anchors(raws: list[bytes | None], length: int) -> list[np.ndarray]:
-    found: list[list[np.ndarray]] = [[] for _ in raws]
-    for who, _, _, keys in segments([r or b"" for r in raws], length):
-        cuts = np.flatnonzero(np.diff(who)) + 1
-        for number, part in zip(who[np.concatenate([[0], cuts])], np.split(keys, cuts), strict=True):
-            found[number].append(part)
-    return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in found]
+def _key(token: np.ndarray, digest: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """One value for (segment, text number), to look up many texts' segments at once."""
+    return mix(mix(token.astype(np.uint64)) ^ (digest.astype(np.uint64) << np.uint64(20)) ^ mix(who.astype(np.uint64) + np.uint64(7)))
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
-    """(id, packed text), so that texts travel small."""
+def _pairs(blobs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, token, digest) of the packed pairs of each text."""
+    flat = [np.frombuffer(b"".join(own), "<i8").reshape(-1, 2) for own in blobs]
+    who = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    both = np.concatenate(flat) if flat else np.zeros((0, 2), np.int64)
+    return who, both[:, 0], both[:, 1]
 
-    def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def _five(values: np.ndarray) -> bytes:
+    return (values & 0xFFFFFFFF).astype("<u4").tobytes() + (values >> 32).astype(np.uint8).tobytes()
+
+
+def _unfive(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4", n).astype(np.int64) | (np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64) << 32)
+
+
+def _by_id(kind: int, ids: np.ndarray, tokens: np.ndarray, digests: np.ndarray) -> list[tuple[int, int, bytes]]:
+    order = np.argsort(ids, kind="stable")
+    ids, both = ids[order], np.stack([tokens[order], digests[order]], axis=1).astype("<i8")
+    cuts = np.flatnonzero(np.diff(ids)) + 1
+    return [(kind, int(i[0]), b.tobytes()) for i, b in zip(np.split(ids, cuts), np.split(both, cuts), strict=True)] if len(ids) else []
+
+
+EQUAL, BORDER = 0, 1
+
+
+def _met(docs: DataFrame, length: int, parts: int) -> DataFrame:
+    """(kind, id, pairs): packed (token, digest) of segments that an earlier document has (EQUAL), and of the first
+    document's segments at anchors where documents differ (BORDER)."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
         press = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([batch["id"], pa.array([press.compress(r) for r in texts_of(batch, "text")], pa.binary())], ["id", "packed"])
 
-    return map_slices(docs, "text", handle, "id long, packed binary")
+        def out() -> pa.RecordBatch:
+            token, digest, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((ids, digest, token))
+            token, digest, ids = token[order], digest[order], ids[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])])
+            owner = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            given = ids > owner
+            rows = [(-1 - i % 997, b"", b"", b"", i, pairs) for _, i, pairs in _by_id(EQUAL, ids[given], token[given], digest[given])]
+            token, digest, ids = token[new], digest[new], ids[new]
+            part = token >> 40
+            order = np.lexsort((ids, part))
+            token, digest, ids, part = token[order], digest[order], ids[order], part[order]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for p, t, d, i in zip(np.split(part, cuts), np.split(token, cuts), np.split(digest, cuts), np.split(ids, cuts), strict=True):
+                rows.append((int(p[0]), _five(t & ((1 << 40) - 1)), _five(d), press.compress(np.diff(i, prepend=0).astype("<i8").tobytes()), None, None))
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "tokens", "digests", "ids", "id", "pairs"])
+
+        count = 0
+        for piece in slices(batches, "text", STRETCH):
+            ids, raws = [], []
+            for key, raw in zip(piece["id"].to_pylist(), texts_of(piece, "text"), strict=True):
+                sign = xxhash.xxh3_128_digest(raw)
+                if len(raw) >= length and seen.get(sign, key + 1) > key:
+                    seen[sign] = key
+                    ids.append(key)
+                    raws.append(raw)
+            names = np.array(ids, np.int64)
+            for who, _, _, token, digest in segments(raws, length, parts):
+                held.append((token, digest, names[who]))
+                count += len(who)
+            if count >= 2_000_000:
+                yield out()
+                count = 0
+        if held:
+            yield out()
+
+    def meet(table: pa.Table) -> pa.Table:
+        if table["part"][0].as_py() < 0:
+            return pa.table([pa.array([EQUAL] * table.num_rows, pa.int32()), table["id"], table["pairs"]], ["kind", "id", "pairs"])
+        parts_ = []
+        for t, d, z in zip(*(table[c].to_pylist() for c in ("tokens", "digests", "ids")), strict=True):
+            i = np.cumsum(np.frombuffer(zstandard.decompress(z), "<i8"))
+            parts_.append((_unfive(t, len(i)), _unfive(d, len(i)), i))
+        token, digest, ids = (np.concatenate(c) for c in zip(*parts_, strict=True))
+        token = token | (table["part"][0].as_py() << 40)
+        order = np.lexsort((ids, digest, token))
+        token, digest, ids = token[order], digest[order], ids[order]
+        anchor = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(anchor, len(token)))
+        several = np.repeat(np.minimum.reduceat(ids, anchor) < np.maximum.reduceat(ids, anchor), sizes)
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])])
+        differ = several & np.repeat(np.add.reduceat(new.astype(np.int64), anchor) > 1, sizes)
+        given, border = ids > ids[np.flatnonzero(new)[np.cumsum(new) - 1]], new & differ
+        rows = _by_id(EQUAL, ids[given], token[given], digest[given]) + _by_id(BORDER, ids[border], token[border], digest[border])
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.int64(), pa.binary()], strict=True)], ["kind", "id", "pairs"])
+
+    packed = docs.mapInArrow(collect, "part int, tokens binary, digests binary, ids binary, id long, pairs binary")
+    return packed.groupBy("part").applyInArrow(meet, "kind int, id long, pairs binary")
 
 
-def _found_segments(texts: DataFrame, length: int, parts: int) -> DataFrame:
-    """(token, segment, id, first, windows) of the segments whose anchor is among the row's shared tokens."""
+def _compressed(docs: DataFrame) -> DataFrame:
+    """(id, packed text), so that texts travel small."""
 
-    def handle(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        raws, ids = [zstandard.decompress(p) for p in batch["packed"].to_pylist()], np.asarray(batch["id"])
-        flat, sizes = np.asarray(batch["tokens"].flatten()), np.asarray(pa.compute.list_value_length(batch["tokens"]))
-        wanted = np.stack([np.repeat(np.arange(len(raws)), sizes), flat], axis=1)
-        wanted = np.sort(mix(wanted[:, 1].astype(np.uint64)) ^ mix(wanted[:, 0].astype(np.uint64) + np.uint64(7)))
-        out = []
-        for who, first, windows, keys in segments(raws, length):
-            tokens = meeting.place(keys, parts)
-            asked = mix(tokens.astype(np.uint64)) ^ mix(who.astype(np.uint64) + np.uint64(7))
-            at = np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)
-            mine = np.flatnonzero(wanted[at] == asked)
-            # Two halves of a 64-bit digest of the segment's bytes; the anchor's 60 bits stand beside it.
-            digest = [int.from_bytes(hashlib.blake2b(raws[w][f : f + n + length - 1], digest_size=8).digest(), "little", signed=True)
-                      for w, f, n in zip(who[mine].tolist(), first[mine].tolist(), windows[mine].tolist(), strict=True)]
-            out.append((tokens[mine], np.array(digest, np.int64), ids[who[mine]], first[mine], windows[mine]))
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["token", "segment", "id", "first", "windows"])
+    def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=3)
+        return pa.RecordBatch.from_arrays([batch["id"], pa.array([press.compress(r) for r in texts_of(batch, "text")], pa.binary())], ["id", "packed"])
 
-    return map_slices(texts, "packed", handle, "token long, segment long, id long, first long, windows long", 1_000_000)
+    return map_slices(docs, "text", handle, "id long, packed binary")
 
 
 def _sorted_shards(pieces: DataFrame, length: int, memory: int, inner: int) -> DataFrame:
-    """Suffix-sorts each partition's segments. (token, segment, ranges): windows that an earlier document has, by segment."""
+    """Suffix-sorts each partition's segments. (id, token, digest, ranges): windows of a segment that an earlier document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
@@ -139,33 +226,32 @@ def _sorted_shards(pieces: DataFrame, length: int, memory: int, inner: int) -> D
                         file.write(raw + b"\xff")
                         sizes.append(len(raw) + 1)
                     docs.append(np.asarray(batch["id"]))
-                    names.append(np.stack([np.asarray(batch["token"]), np.asarray(batch["segment"])], axis=1))
+                    names.append(np.stack([np.asarray(batch["token"]), np.asarray(batch["digest"])], axis=1))
             if not sizes:
                 return
             text, size = np.memmap(f"{folder}/text", np.uint8, "r"), np.array(sizes)
             doc, name = np.concatenate(docs), np.concatenate(names)
             end = np.cumsum(size)
-            earliest = induced.on_disk(folder, "earliest", len(text), np.int64)
+            earliest = induced.array(folder, "earliest", len(text), np.int64)
             for positions, common in induced.suffixes(text, folder, length, memory, inner):
                 new = np.flatnonzero(common < length)
                 who = np.searchsorted(end, positions, "right")
                 low = np.minimum.reduceat(doc[who], new)
                 earliest[positions] = np.repeat(low, np.diff(np.append(new, len(positions))))
-            tokens, segs, ranges, at = [], [], [], 0
+            rows, at = [], 0
             for k, n in enumerate(size):
                 windows = n - length
                 taken = np.diff((earliest[at : at + windows] < doc[k]).astype(np.int8), prepend=0, append=0)
                 at += n
                 begin, stop = np.flatnonzero(taken == 1), np.flatnonzero(taken == -1)
                 if len(begin):
-                    tokens.append(name[k, 0])
-                    segs.append(name[k, 1])
-                    ranges.append([{"low": int(a), "high": int(b)} for a, b in zip(begin, stop, strict=True)])
-                if len(tokens) >= 20_000 or (k == len(size) - 1 and tokens):
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(segs, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], ["token", "segment", "ranges"])
-                    tokens, segs, ranges = [], [], []
+                    rows.append((int(doc[k]), int(name[k, 0]), int(name[k, 1]), [{"low": int(a), "high": int(b)} for a, b in zip(begin, stop, strict=True)]))
+                if len(rows) >= 20_000 or (k == len(size) - 1 and rows):
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "token", "digest", "ranges"])
+                    rows = []
 
-    return pieces.mapInArrow(run, "token long, segment long, ranges array<struct<low: long, high: long>>")
+    return pieces.mapInArrow(run, "id long, token long, digest long, ranges array<struct<low: long, high: long>>")
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_kept: bool = False, shard_bytes: int = SHARD,
@@ -180,48 +266,48 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     sized = F.octet_length("text").cast("long")
     facts = keep(given.select("id", sized.alias("n_bytes"), F.unhex(F.md5("text")).alias("sign"), F.sha2("text", 256).alias("whole_sha256")), "text-facts")
     reps = keep(facts.where("id is not null").groupBy("sign", "n_bytes").agg(F.min("id").alias("rep")), "distinct-texts")
-    owner = facts.where("id is not null").select("id", "sign", "n_bytes").distinct().join(reps, ["sign", "n_bytes"]).select("id", "rep")
-    total = reps.agg(F.sum("n_bytes")).first()[0] or 0
-    parts = meeting.parts_for(total // 12)
-    shared = meeting.shared_keys(meeting.pack_keys(given.where("id is not null"), lambda raws: _anchors(raws, length), parts))
-    met = keep(shared.join(owner, "id").select("token", F.col("rep").alias("id")).distinct(), "shared-anchors")
-    several = met.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("token")
-    tokens = met.join(several, "token").groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    parts = meeting.parts_for((reps.agg(F.sum("n_bytes")).first()[0] or 0) // 12)
+    met = keep(_met(given.where("id is not null"), length, parts), "met-segments").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     packed = _compressed(given.where("id is not null"))
-    occurrences = keep(_found_segments(packed.join(tokens, "id").dropDuplicates(["id"]), length, parts), "segments")
-
-    folded = keep(occurrences.groupBy("token", "segment").agg(F.min(F.struct("id", "first", "windows")).alias("f")).select("token", "segment", "f.*"), "distinct-segments")
-    differing = folded.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    border = keep(folded.join(differing, "token"), "border-segments")
-    listed = border.groupBy("id").agg(F.collect_list(F.struct("token", "segment", "first", "windows")).alias("cut"))
+    border = met.where(F.col("kind") == BORDER).groupBy("id").agg(F.collect_list("pairs").alias("pairs"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = ([], [], [], [])
-        for key, z, own in zip(batch["id"].to_pylist(), batch["packed"].to_pylist(), batch["cut"].to_pylist(), strict=True):
-            raw = zstandard.decompress(z)
-            for c in own:
-                for column, value in zip(columns, (c["token"], c["segment"], key, raw[c["first"] : c["first"] + c["windows"] + length - 1]), strict=True):
-                    column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["token", "segment", "id", "bytes"])
-
-    amount = border.agg(F.sum(F.col("windows") + length)).first()[0] or 0
-    pieces = map_slices(packed.join(listed, "id").dropDuplicates(["id"]), "packed", cut, "token long, segment long, id long, bytes binary", 1_000_000)
-    ranges = keep(_sorted_shards(pieces.repartition(max(1, -(-int(amount) // shard_bytes)), "token"), length, memory, inner), "border-ranges")
-
-    resolved = folded.select("token", "segment", F.col("id").alias("owner")).join(ranges, ["token", "segment"], "left")
-    taken = (occurrences.join(resolved, ["token", "segment"])
-             .select("id", "first", F.when(F.col("id") > F.col("owner"), F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("windows").alias("high")))).otherwise(F.col("ranges")).alias("r"))
-             .select("id", "first", F.explode("r").alias("r")).select("id", (F.col("first") + F.col("r.low")).alias("low"), (F.col("first") + F.col("r.high")).alias("high"))
-             .groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("windows")))
+        raws, ids = [zstandard.decompress(p) for p in batch["packed"].to_pylist()], batch["id"].to_pylist()
+        who, token, digest = _pairs(batch["pairs"].to_pylist())
+        wanted, rows = set(_key(token, digest, who).tolist()), []
+        for text, first, windows, token, digest in segments(raws, length, parts):
+            for k, key in enumerate(_key(token, digest, text).tolist()):
+                if key in wanted:
+                    wanted.discard(key)  # a segment that stands twice in a text is sorted once
+                    t, f = int(text[k]), int(first[k])
+                    rows.append((int(token[k]), int(digest[k]), ids[t], raws[t][f : f + int(windows[k]) + length - 1]))
+        kinds = [pa.int64()] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)], ["token", "digest", "id", "bytes"])
+
+    amount = met.where(F.col("kind") == BORDER).agg(F.sum(F.length("pairs"))).first()[0] or 0
+    shards = max(1, -(-int(amount) // 16 * (length + 20) // shard_bytes))
+    pieces = map_slices(packed.join(border, "id").dropDuplicates(["id"]), "packed", cut, "token long, digest long, id long, bytes binary", 1_000_000)
+    ranges = keep(_sorted_shards(pieces.repartition(shards, "token"), length, memory, inner), "border-ranges")
+    equal = met.where(F.col("kind") == EQUAL).groupBy("id").agg(F.collect_list("pairs").alias("pairs"))
+    partly = ranges.groupBy("id").agg(F.collect_list(F.struct("token", "digest", "ranges")).alias("parts"))
+    taken = equal.join(partly, "id", "full")
     span = "array<struct<start: long, end: long>>"
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raws = [zstandard.decompress(p) for p in batch["packed"].to_pylist()]
+        who, token, digest = _pairs([p or [] for p in batch["pairs"].to_pylist()])
+        whole, some = set(_key(token, digest, who).tolist()), {}
+        for k, own in enumerate(batch["parts"].to_pylist()):
+            for p in own or ():
+                some[int(_key(np.array([p["token"]]), np.array([p["digest"]]), np.array([k]))[0])] = p["ranges"]
+        edges = [np.zeros(len(raw) + 1, np.int64) for raw in raws]
+        for text, first, windows, token, digest in segments(raws, length, parts):
+            for t, f, n, key in zip(text.tolist(), first.tolist(), windows.tolist(), _key(token, digest, text).tolist(), strict=True):
+                for low, high in ((0, n),) if key in whole else [(r["low"], r["high"]) for r in some.get(key, ())]:
+                    edges[t][f + low] += 1
+                    edges[t][f + high + length - 1] -= 1
         spans, kept = [], []
-        for z, own in zip(batch["packed"].to_pylist(), batch["windows"].to_pylist(), strict=True):
-            raw = zstandard.decompress(z)
-            edge = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(edge, [w["low"] for w in own], 1)
-            np.add.at(edge, [w["high"] + length - 1 for w in own], -1)
+        for raw, edge in zip(raws, edges, strict=True):
             gone = np.cumsum(edge)[:-1] > 0
             turn = np.diff(gone.astype(np.int8), prepend=0, append=0)
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)])
