@@ -106,6 +106,14 @@ def _key(token: np.ndarray, digest: np.ndarray, who: np.ndarray) -> np.ndarray:
     return mix(mix(token.astype(np.uint64)) ^ (digest.astype(np.uint64) << np.uint64(20)) ^ mix(who.astype(np.uint64) + np.uint64(7)))
 
 
+def _among(asked: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values asked for are in the sorted array; their places in it, -1 for the others."""
+    if not len(known):
+        return np.full(len(asked), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, at, -1)
+
+
 def _pairs(blobs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, token, digest) of the packed pairs of each text."""
     flat = [np.frombuffer(b"".join(own), "<i8").reshape(-1, 2) for own in blobs]
@@ -238,18 +246,22 @@ def _sorted_shards(pieces: DataFrame, length: int, memory: int, inner: int) -> D
                 who = np.searchsorted(end, positions, "right")
                 low = np.minimum.reduceat(doc[who], new)
                 earliest[positions] = np.repeat(low, np.diff(np.append(new, len(positions))))
-            rows, at = [], 0
-            for k, n in enumerate(size):
-                windows = n - length
-                taken = np.diff((earliest[at : at + windows] < doc[k]).astype(np.int8), prepend=0, append=0)
-                at += n
-                begin, stop = np.flatnonzero(taken == 1), np.flatnonzero(taken == -1)
-                if len(begin):
-                    rows.append((int(doc[k]), int(name[k, 0]), int(name[k, 1]), [{"low": int(a), "high": int(b)} for a, b in zip(begin, stop, strict=True)]))
-                if len(rows) >= 20_000 or (k == len(size) - 1 and rows):
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "token", "digest", "ranges"])
-                    rows = []
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))]
+            start = end - size
+            for k in range(0, len(size), 20_000):  # the windows of many segments at a time
+                own, low, high = size[k : k + 20_000], int(start[k]), int(end[min(k + 20_000, len(size)) - 1])
+                within = np.arange(high - low) - np.repeat(start[k : k + 20_000] - low, own)
+                taken = (np.asarray(earliest[low:high]) < np.repeat(doc[k : k + 20_000], own)) & (within < np.repeat(own - length, own))
+                turn = np.diff(taken.astype(np.int8), prepend=0, append=0)
+                begin, stop = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+                if not len(begin):
+                    continue
+                who = np.searchsorted(end, begin + low, "right")
+                first = start[who] - low
+                cuts = np.flatnonzero(np.diff(who)) + 1
+                ranges = [[{"low": a, "high": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in zip(np.split(begin - first, cuts), np.split(stop - first, cuts), strict=True)]
+                which = who[np.concatenate([[0], cuts])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((doc[which], name[which, 0], name[which, 1], ranges), kinds, strict=True)], ["id", "token", "digest", "ranges"])
 
     return pieces.mapInArrow(run, "id long, token long, digest long, ranges array<struct<low: long, high: long>>")
 
@@ -274,13 +286,15 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         raws, ids = [zstandard.decompress(p) for p in batch["packed"].to_pylist()], batch["id"].to_pylist()
         who, token, digest = _pairs(batch["pairs"].to_pylist())
-        wanted, rows = set(_key(token, digest, who).tolist()), []
+        wanted, rows = np.sort(_key(token, digest, who)), []
+        open_ = np.ones(len(wanted), bool)  # a segment that stands twice in a text is sorted once
         for text, first, windows, token, digest in segments(raws, length, parts):
-            for k, key in enumerate(_key(token, digest, text).tolist()):
-                if key in wanted:
-                    wanted.discard(key)  # a segment that stands twice in a text is sorted once
-                    t, f = int(text[k]), int(first[k])
-                    rows.append((int(token[k]), int(digest[k]), ids[t], raws[t][f : f + int(windows[k]) + length - 1]))
+            at = _among(_key(token, digest, text), wanted)
+            mine = np.flatnonzero((at >= 0) & open_[at] if len(wanted) else np.zeros(len(at), bool))
+            mine = mine[np.sort(np.unique(at[mine], return_index=True)[1])]
+            open_[at[mine]] = False
+            for t, f, n, x, d in zip(*(c[mine].tolist() for c in (text, first, windows, token, digest)), strict=True):
+                rows.append((x, d, ids[t], raws[t][f : f + n + length - 1]))
         kinds = [pa.int64()] * 3 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)], ["token", "digest", "id", "bytes"])
 
@@ -296,16 +310,27 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         raws = [zstandard.decompress(p) for p in batch["packed"].to_pylist()]
         who, token, digest = _pairs([p or [] for p in batch["pairs"].to_pylist()])
-        whole, some = set(_key(token, digest, who).tolist()), {}
-        for k, own in enumerate(batch["parts"].to_pylist()):
-            for p in own or ():
-                some[int(_key(np.array([p["token"]]), np.array([p["digest"]]), np.array([k]))[0])] = p["ranges"]
-        edges = [np.zeros(len(raw) + 1, np.int64) for raw in raws]
+        whole = np.sort(_key(token, digest, who))
+        parts_of = [(k, p["token"], p["digest"], p["ranges"]) for k, own in enumerate(batch["parts"].to_pylist()) for p in own or ()]
+        columns = [np.array([p[c] for p in parts_of], np.int64) for c in (1, 2, 0)]
+        some = _key(*columns)
+        order = np.argsort(some)
+        some = some[order]
+        base = np.cumsum([0] + [len(raw) + 1 for raw in raws])
+        edge = np.zeros(base[-1], np.int64)
         for text, first, windows, token, digest in segments(raws, length, parts):
-            for t, f, n, key in zip(text.tolist(), first.tolist(), windows.tolist(), _key(token, digest, text).tolist(), strict=True):
-                for low, high in ((0, n),) if key in whole else [(r["low"], r["high"]) for r in some.get(key, ())]:
-                    edges[t][f + low] += 1
-                    edges[t][f + high + length - 1] -= 1
+            keys = _key(token, digest, text)
+            all_of = np.flatnonzero(_among(keys, whole) >= 0)
+            begin = base[text[all_of]] + first[all_of]
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + windows[all_of] + length - 1, -1)
+            at = _among(keys, some)
+            for k in np.flatnonzero(at >= 0).tolist():
+                begin = int(base[text[k]] + first[k])
+                for r in parts_of[order[at[k]]][3]:
+                    edge[begin + r["low"]] += 1
+                    edge[begin + r["high"] + length - 1] -= 1
+        edges = [edge[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
         spans, kept = [], []
         for raw, edge in zip(raws, edges, strict=True):
             gone = np.cumsum(edge)[:-1] > 0
