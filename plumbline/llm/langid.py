@@ -33,7 +33,7 @@ ROUNDS = 3
 #: Added to every expected count, and the probability of a character that is no piece.
 SMOOTH, UNKNOWN = 0.02, 1e-7
 #: Distinct stretches kept between slices of a task.
-STORE = 1_000_000
+STORE = 250_000
 
 
 class Vocabulary:

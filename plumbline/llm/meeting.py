@@ -20,7 +20,7 @@ from plumbline.llm.common import mix, slices, texts_of
 
 SLICE = 1_000_000
 #: Keys in one part, and documents of one key in one task beyond which they travel as rows.
-PACKED, ALONE = 2_000_000, 256
+PACKED, ALONE = 1_000_000, 256
 
 
 def parts_for(keys: int) -> int:
@@ -84,7 +84,7 @@ def pack_keys(docs: DataFrame, keys_of: Callable[[list[bytes | None]], list[np.n
                 tokens.append(own)
                 ids.append(np.full(len(own), key, np.int64))
                 held += len(own)
-            if held >= 2_000_000:
+            if held >= 1_000_000:
                 yield out()
         if held:
             yield out()

@@ -21,7 +21,7 @@ PIECES = regex.compile(rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{SPACE}\p{{
 #: Characters at which str.split() cuts though the vocabulary does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Stretches kept between slices; the store starts anew beyond this, so memory stays bounded.
-STORE_STRETCHES = 1_000_000
+STORE_STRETCHES = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
