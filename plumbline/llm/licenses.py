@@ -93,7 +93,7 @@ def _grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(id_col).type), pa.array(firsts, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], [id_col, "first", "grams"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("first", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-    return map_slices(docs.select(id_col, text_col), text_col, handle, schema)
+    return map_slices(docs.select(id_col, text_col), text_col, handle, schema, 1_000_000)
 
 
 def candidates(docs: DataFrame, templates: tuple[Template, ...], *, id_col: str = "doc_id", text_col: str = "text", least_votes: float = 0.3) -> DataFrame:
