@@ -115,7 +115,8 @@ def test_three_limits_hold_at_once():
 
 def test_instructions_bear_loss_in_answers_only(spark):
     rows = spark.createDataFrame([(1, "say hello", "hello there"), (2, None, "yes"), (3, "q", None)], "id long, q string, a string")
-    got = {r.id: (r.doc_tokens, r.loss_tokens) for r in packing.pack_instructions(rows, tokenizer_path(), id_col="id", prompt_col="q", answer_col="a").collect()}
+    pieces = packing.pack_instructions(rows, tokenizer_path(), id_col="id", prompt_col="q", answer_col="a")
+    got = {r.id: (r.n, r.loss) for r in pieces.groupBy("id").agg(F.sum("length").alias("n"), F.sum("loss_tokens").alias("loss")).collect()}
     assert got == {1: (5, 3), 2: (2, 2), 3: (2, 1)}
 
 
