@@ -31,8 +31,9 @@ KINDS: tuple[tuple[str, str], ...] = (
     ("card", r"(?<![\p{L}\p{N}])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|3\d{3}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\p{L}\p{N}])"),
     ("male", rf"(?<=\b(?:{MALE})\.? ){NAME}"), ("female", rf"(?<=\b(?:{FEMALE})\.? ){NAME}"), ("person", rf"(?<=\b(?:{ANY})\.? ){NAME}"),
 )
-#: A text without any of these has no entity; it is looked for first.
-HINT = rf"\d{{3}}|@|\.\d|[0-9a-fA-F]{{32}}|(?:{MALE}|{FEMALE}|{ANY})\.? \p{{Lu}}"
+#: A text without any of these has no entity; it is looked for first. Every alternative of KINDS contains one of them.
+HINT = (rf"\d{{3}}|@|\.\d|\+\d|AKIA[0-9A-Z]{{16}}|gh[pos]_[0-9A-Za-z]{{36}}|sk-[0-9A-Za-z]{{20}}|[0-9a-fA-F]{{32}}|[A-Z]{{2}}\d{{2}} ?[A-Z0-9]{{4}}"
+        rf"|(?:{MALE}|{FEMALE}|{ANY})\.? \p{{Lu}}")
 #: Issuer prefixes and lengths of payment cards.
 ISSUERS = r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}"
 FIRST = {
