@@ -2,12 +2,13 @@
 
 Every window of `length` bytes has an anchor: its leftmost smallest k-gram by hash. Equal windows have equal anchors, so
 only documents that meet at an anchor can share a window. Runs of windows with one anchor are segments. Equal segments
-(by anchor and digest, 100 bits) are folded: the first document keeps, all others give. Where documents have different
+(by anchor and a digest of 64 bits; at one anchor only the digest tells segments apart, so n different ones there hold a
+wrong pair with odds of about n * n / 2^65) are folded: the first document keeps, all others give. Where documents have different
 segments at one anchor (at the borders of what they share) the windows of these segments are compared by suffix sorting:
 shards of whole anchors lie in scratch files of the task, are sorted with disk-backed queues, and windows whose
 common-prefix values reach `length` are one class with one first document.
 
-Anchors and digests travel packed by part, ten bytes a segment. Of equal segments in one task only the first document's
+Anchors and digests travel packed by part, 13 bytes a segment. Of equal segments in one task only the first document's
 goes on, so a passage that every document has costs one entry a task.
 """
 
@@ -60,10 +61,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """40-bit digests of byte ranges."""
+    """64-bit digests of byte ranges."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * UP[: len(data)], out=total[1:])
-    return mix(((total[end] - total[begin]) * DOWN[begin]) ^ (end - begin).astype(np.uint64)) >> np.uint64(24)
+    return mix(((total[end] - total[begin]) * DOWN[begin]) ^ (end - begin).astype(np.uint64))
 
 
 UP = np.multiply.accumulate(np.array([1] + [BASE] * (2 * STRETCH), np.uint64))
@@ -103,7 +104,7 @@ def segments(raws: list[bytes], length: int, parts: int) -> Iterator[tuple[np.nd
 
 def _key(token: np.ndarray, digest: np.ndarray, who: np.ndarray) -> np.ndarray:
     """One value for (segment, text number), to look up many texts' segments at once."""
-    return mix(mix(token.astype(np.uint64)) ^ (digest.astype(np.uint64) << np.uint64(20)) ^ mix(who.astype(np.uint64) + np.uint64(7)))
+    return mix(mix(mix(token.astype(np.uint64)) ^ digest.astype(np.uint64)) + mix(who.astype(np.uint64) + np.uint64(7)))
 
 
 def _among(asked: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -164,7 +165,7 @@ def _met(docs: DataFrame, length: int, parts: int) -> DataFrame:
             token, digest, ids, part = token[order], digest[order], ids[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
             for p, t, d, i in zip(np.split(part, cuts), np.split(token, cuts), np.split(digest, cuts), np.split(ids, cuts), strict=True):
-                rows.append((int(p[0]), _five(t & ((1 << 40) - 1)), _five(d), press.compress(np.diff(i, prepend=0).astype("<i8").tobytes()), None, None))
+                rows.append((int(p[0]), _five(t & ((1 << 40) - 1)), d.astype("<i8").tobytes(), press.compress(np.diff(i, prepend=0).astype("<i8").tobytes()), None, None))
             kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "tokens", "digests", "ids", "id", "pairs"])
 
@@ -193,7 +194,7 @@ def _met(docs: DataFrame, length: int, parts: int) -> DataFrame:
         parts_ = []
         for t, d, z in zip(*(table[c].to_pylist() for c in ("tokens", "digests", "ids")), strict=True):
             i = np.cumsum(np.frombuffer(zstandard.decompress(z), "<i8"))
-            parts_.append((_unfive(t, len(i)), _unfive(d, len(i)), i))
+            parts_.append((_unfive(t, len(i)), np.frombuffer(d, "<i8"), i))
         token, digest, ids = (np.concatenate(c) for c in zip(*parts_, strict=True))
         token = token | (table["part"][0].as_py() << 40)
         order = np.lexsort((ids, digest, token))

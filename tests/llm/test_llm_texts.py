@@ -151,6 +151,19 @@ def removed(texts, length):
     return out
 
 
+def test_segments_of_one_anchor_with_near_digests_both_stay(spark):
+    """Pairs with one anchor whose digests agree in their upper 40 bits."""
+    pairs = [("hruqnymlxsmdpcoelcluitftwenbwhythetaxnapfhorfgpnog", "vxqjwkkinivukhysecluitftwenbwhythpnkhubxnnegjqnszz"),
+             ("siasqgqgjmfvipcgecluitftwenbwhythzybzctvsgbhmxpepr", "mdxrdcwhbxrpqholucluitftwenbwhythgwbnmhpvigofucong")]
+    for texts in pairs:
+        raws = [t.encode() for t in texts]
+        (_, _, _, token, digest), = suffix_dedup.segments(raws, 50, 8)
+        assert token[0] == token[1] and digest[0] != digest[1] and len(set(digest.astype(np.uint64) >> np.uint64(24))) == 1
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
+    for row in suffix_dedup.find(docs.repartition(2), with_kept=True).collect():
+        assert not row.spans and row.n_bytes == len(row.kept) == 50
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     rng = random.Random(9)
     line = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
