@@ -27,7 +27,8 @@ from plumbline.llm.quality import learning_rows
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word segmented together; a longer run of letters is cut there. Keeps products within double precision.
 LONGEST = 40
-PIECE_CHARS = 12
+#: Characters of the longest piece that a word can hold: all of it with its mark. Longer pieces stand in no word.
+PIECE_CHARS = LONGEST
 SAMPLE, SAMPLE_PIECES, SAMPLE_CHARS = 700, 4, 1500
 ROUNDS = 3
 #: Added to every expected count, and the probability of a character that is no piece.
@@ -45,6 +46,7 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_byte(k) or model.is_unknown(k))]
         self.pieces = sorted({p for p in plain if len(p) <= PIECE_CHARS})
+        self.longest = max(map(len, self.pieces))
         self.up = np.multiply.accumulate(np.array([1] + [BASE] * (LONGEST + 2), np.uint64))
         self.down = np.multiply.accumulate(np.array([1] + [INVERSE] * (LONGEST + 2), np.uint64))
         codes, sizes = self._codes(self.pieces)
@@ -76,10 +78,10 @@ class Vocabulary:
         """Piece numbers [end, length - 1, word] with -1 where no piece is, and the word sizes, both with the leading ▁."""
         codes, sizes = self._codes(["▁" + w for w in words])
         sums, longest = self._sums(codes), codes.shape[1]
-        found = np.full((longest + 1, PIECE_CHARS, len(words)), -1, np.int32)
+        found = np.full((longest + 1, min(self.longest, longest), len(words)), -1, np.int32)
         for end in range(1, longest + 1):
             alive = np.flatnonzero(sizes >= end)
-            for size in range(1, min(PIECE_CHARS, end) + 1):
+            for size in range(1, min(self.longest, end) + 1):
                 hashes = self._hash(sums[alive, end], sums[alive, end - size], end - size, size)
                 maybe = np.flatnonzero(self.seen[hashes >> np.uint64(44)])
                 place = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), self.size - 1)
@@ -111,7 +113,7 @@ def forward(found: np.ndarray, sizes: np.ndarray, chance: np.ndarray) -> np.ndar
     alpha = np.zeros((found.shape[0], found.shape[2], chance.shape[1]))
     alpha[0] = 1
     for end in range(1, found.shape[0]):
-        for size in range(1, min(PIECE_CHARS, end) + 1):
+        for size in range(1, min(found.shape[1], end) + 1):
             if size > 1 and not (found[end, size - 1] >= 0).any():
                 continue
             alpha[end] += alpha[end - size] * _weights(found, end, size, chance)
@@ -155,7 +157,7 @@ def fit(vocab: Vocabulary, words: dict[str, Counter], rounds: int = ROUNDS) -> n
                 n = np.arange(len(rows))
                 beta[sizes, n] = amount[rows] / alpha[sizes, n]
                 for end in range(found.shape[0] - 1, 0, -1):
-                    for size in range(1, min(PIECE_CHARS, end) + 1):
+                    for size in range(1, min(found.shape[1], end) + 1):
                         piece = found[end, size - 1]
                         if size > 1 and not (piece >= 0).any():
                             continue

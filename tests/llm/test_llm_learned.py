@@ -68,6 +68,28 @@ def test_forward_pass_sums_all_segmentations():
         assert np.allclose(row, [np.log(segmentations(vocab, chance[:, k].tolist(), "▁" + word)) for k in (0, 1)])
 
 
+def test_pieces_of_any_length_count():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    vocab, model = langid.vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_byte(k) or model.is_unknown(k))]
+    assert vocab.pieces == sorted({model.id_to_piece(k) for k in ids}) and vocab.longest == max(map(len, vocab.pieces)) > 12
+    number = {p: k for k, p in enumerate(vocab.pieces)}
+    chance = np.random.default_rng(3).dirichlet(np.ones(vocab.size), 2).T
+    words = ["international", "characteristics", "understanding", "internationalrelationship", "a"]
+    for word, row in zip(words, langid.word_scores(vocab, words, chance), strict=True):
+        marked, sums = "▁" + word, np.zeros((len(word) + 2, 2))
+        sums[0] = 1
+        for end in range(1, len(marked) + 1):
+            for start in range(end):
+                piece = marked[start:end]
+                sums[end] += sums[start] * (chance[number[piece]] if piece in number else langid.UNKNOWN if end - start == 1 else 0)
+        assert np.allclose(row, np.log(sums[-1]), atol=1e-9)
+    counts, whole = Counter({"international": 9, "national": 1}), number["▁international"]
+    assert langid.fit(vocab, {"en": counts})[whole, 0] > 0.01  # its counts, not the smoothing
+
+
 def test_fitting_raises_the_likelihood():
     vocab = langid.vocabulary(tokenizer_path("piece_bpe_32k.model"))
     counts = Counter({"reading": 5, "reader": 3, "read": 9, "lead": 2})
