@@ -20,7 +20,11 @@ from plumbline.llm.common import keep
 
 #: Titles before names, by gender; the rest of the patterns are alternatives of one expression, in order of precedence.
 MALE, FEMALE, ANY = r"Mr|Herr|Monsieur|Señor|Sr|Don|господин", r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|госпожа", r"Dr|Prof"
-NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
+#: A name is a run of capitalised words, one blank between two of them; initials and particles stand before a word. It ends before
+#: another title. A lone initial is no name.
+PARTICLE = r"(?:von|vom|van|der|den|de|del|della|di|da|das|do|dos|du|la|le|zu|zum|zur|ten|ter|af|av|bin|ibn|al|el|y)"
+WORD = rf"(?:\p{{Lu}}\.[ -]?|\p{{Lu}} |{PARTICLE} )*+(?!(?:{MALE}|{FEMALE}|{ANY})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]++"
+NAME = rf"{WORD}(?: {WORD})*+"
 KINDS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
     ("secret", r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"),
@@ -33,7 +37,7 @@ KINDS: tuple[tuple[str, str], ...] = (
 )
 #: A text without any of these has no entity; it is looked for first. Every alternative of KINDS contains one of them.
 HINT = (rf"\d{{3}}|@|\.\d|\+\d|AKIA[0-9A-Z]{{16}}|gh[pos]_[0-9A-Za-z]{{36}}|sk-[0-9A-Za-z]{{20}}|[0-9a-fA-F]{{32}}|[A-Z]{{2}}\d{{2}} ?[A-Z0-9]{{4}}"
-        rf"|(?:{MALE}|{FEMALE}|{ANY})\.? \p{{Lu}}")
+        rf"|(?:{MALE}|{FEMALE}|{ANY})\.? (?:\p{{Lu}}|{PARTICLE} )")
 #: Issuer prefixes and lengths of payment cards.
 ISSUERS = r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12}"
 FIRST = {

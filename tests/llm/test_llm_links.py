@@ -171,6 +171,15 @@ def test_every_alternative_alone_is_replaced(spark):
         assert (r.n_replaced, r.kinds) == (1, r.kind) and r.text != r.given, r.given
 
 
+def test_names_are_taken_whole(spark):
+    names = ["Anna Maria Schmidt", "J. Smith", "J Smith", "J.R.R. Tolkien", "J.-P. Martin", "John F. Kennedy", "Ludwig van Beethoven", "von der Leyen", "María de la Cruz Gómez", "Li", "Ann-Kathrin O'Neill"]
+    texts = [f"Then Dr. {n} left. The end" for n in names] + ["Mrs " + "Anna " * 5_000 + "left", "Frau Anna Schmidt Herr Max Muster", "Mr T. went", "Mr of The"]
+    got = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for name, text in zip(names, got):
+        assert re.fullmatch(r"Then Dr\. \w+( \w+)? left\. The end", text) and name not in text, (name, text)
+    assert len(got[11]) < 100 and re.fullmatch(r"Frau \w+ \w+ Herr \w+ \w+", got[12]) and got[13:] == texts[13:]
+
+
 def test_surrogates_never_collide(spark):
     names = [f"Herr {chr(65 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(20) for b in range(5) for c in range(3)]
     out = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect()]
