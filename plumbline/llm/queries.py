@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, hnsw, jaccard, langid, licenses, packing, pii, quality, suffix_dedup
+from plumbline.llm import alignment, bytepair, chat, decontaminate, hnsw, jaccard, langid, licenses, packing, pii, quality, suffix_dedup, whitening
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -100,6 +100,26 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bytepair.encode(_table(spark, folder, "documents").select("doc_id", "text"), path, pattern, packed=True)
+    return bytepair.decode(encoded.drop("text"), path, pattern).select(
+        "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=32)
+    return whitening.whiten(vectors, model, error=whitening.identity_error(vectors, model) if model else None)
+
+
+def op13_align(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -111,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
+    "op11_bpe": op11_bpe,
+    "op12_whiten": op12_whiten,
+    "op13_align": op13_align,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
