@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ WORK = 65_536
 SLICE = 2_000_000
 #: Upper bound of pairs whose counts are sent to all tasks.
 HOT = 1 << 19
-#: Distinct stretches kept by each worker and tokenizer, in two generations.
-STORE = 100_000
+#: Distinct stretches kept by each worker and tokenizer; the store starts anew beyond this.
+STORE = 250_000
 #: Distinct pairs a task counts before it hands its counts on.
 COUNTED = 2_000_000
 
@@ -85,6 +86,18 @@ def align_ends(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarr
 
 # ---- tokenizers ----------------------------------------------------------------------------------------------------
 
+class Numbers(dict):
+    """Numbers strings in the order of their first look-up."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self.new.append(text)
+        number = self[text] = len(self)
+        return number
+
+
 class Stretches:
     """Tokens of texts by stretches between which no token reaches; every distinct stretch is encoded once per store."""
 
@@ -94,30 +107,30 @@ class Stretches:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.flat, self.begin, self.same = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.numbers = Numbers()
+        self.flat, self.begin, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _learn(self, new: list[str]) -> None:
+        made, token = self.encode_all(new), self.token_bytes
+        self.same = np.concatenate([self.same, [b"".join([token[i] for i in ids]) == s.encode() for ids, s in zip(made, new, strict=True)]])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(list(map(len, made)))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.int32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the number of ids of each text, and which texts the ids' bytes equal."""
         if len(self.numbers) > STORE:
             self._reset()
-        numbers, new, rows = self.numbers, [], []
+        number, rows = self.numbers.__getitem__, []
         for text in texts:
             row = self.cut.findall(text)
-            for stretch in set(row).difference(numbers):
-                numbers[stretch] = len(numbers)
-                new.append(stretch)
-            rows.append(np.fromiter(map(numbers.__getitem__, row), np.int64, len(row)))
-        if new:
-            made = self.encode_all(new)
-            token = self.token_bytes
-            self.same = np.concatenate([self.same, [b"".join([token[i] for i in ids]) == s.encode() for ids, s in zip(made, new, strict=True)]])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(ids) for ids in made])])
-            self.flat = np.concatenate([self.flat, *(np.array(ids, np.int64) for ids in made)])
+            rows.append(np.fromiter(map(number, row), np.int64, len(row)))
+        if self.numbers.new:
+            self._learn(self.numbers.new)
+            self.numbers.new = []
         every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         sizes = self.begin[every + 1] - self.begin[every]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.begin[every] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.begin[every] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].astype(np.int64)
         stops = np.cumsum([len(r) for r in rows]).astype(np.int64)
         upto = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], stops])])
         return ids, upto(sizes), upto(~self.same[every]) == 0
@@ -136,7 +149,7 @@ def byte_level(path: str) -> Stretches:
             token_bytes[number] = bytes(letters[c] for c in token)
     coder = Tokenizer.from_file(path)
     coder.encode_special_tokens = True
-    return Stretches(regex.compile(r"\s*\S+|\s+"), lambda texts: [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)], token_bytes)
+    return Stretches(regex.compile(r"\s*\S+|\s+"), lambda texts: [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)], token_bytes)
 
 
 MARK = "▁"
