@@ -14,14 +14,18 @@ A chain is sequential, but one step needs only the size and the score sum of the
 Steps 1-5 read a narrow table (key, defect cells, draws) that is written once.
 
 If the pool's chunks run out first, the untouched rows are hashed again and the chain goes on.  The batch size is
-what the caller says at any table size.  A chain is sequential in its steps, so steps are folded in segments of fixed
-length that lie in storage: from one segment to the next go the defects, the rows and the acceptances so far, and the
-decisions are written per segment and joined to the rows by Spark.
+what the caller says at any table size.
+
+A chain is sequential in its steps, but a step feels the steps before it only through one number, the running mean, which many
+rows make stiff.  So steps are cut into segments that lie in storage, and all segments are folded at once, each from a
+*predicted* entry state (defects and rows so far).  The sums they return give better entry states by a prefix sum.  Every
+segment keeps how close its decisions came to the other outcome; only where a corrected entry state moves the mean by
+more than that is it folded again.  When no segment has to be, all entry states are exact and the decisions are those of
+the serial chain.  Each round settles at least the first open segment; in practice a few rounds settle all.
 """
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -34,8 +38,9 @@ from .dependency import column_priority, pairwise_weights, pivot_distribution
 from .quantiles import quantile_table
 from .samplers import WEIGHT, Sample, with_inverse_weights
 from .score import EPSILON, CellRules, ScoreCounts, score_counts
+from .prefix import totals_before
 from .selection import smallest, weight_spread
-from .storage import materialise, shared_folder, small_table
+from .storage import materialise, small_table
 from .table import AuditTable
 
 UNIFORM, FORCED = "uniform", "forced"
@@ -219,7 +224,7 @@ def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, stat
     spare = batches.where(F.col("stream") == FORCED).select(F.col("chunk").alias("step"), F.col("size").alias("f_size"), F.col("defects").alias("f_defects"))
     table = steps.join(offered, ["offer", "visit"], "left").join(spare, "step", "left").na.fill(0, ["p_size", "p_defects", "f_size", "f_defects"])
     begin = (state.rows, state.steps)
-    decisions = _segments(table, n_steps, segment, state, goal, lam, cells)
+    decisions = _segments(table, -(-n_steps // segment), state, goal, lam, cells)
     used = state.rows - begin[0]
     taken = decisions.where("size > 0").select("stream", "chunk")
     if used == 0:  # nothing but empty chunks were looked at: take one proposal chunk
@@ -276,53 +281,92 @@ def _steps(spark, n_steps: int, chances, chunks: dict, draws: Draws, round_no: i
     return _numbered(steps, "visit", "offer").withColumn("u", draws.uniform(f"accept{round_no}", "step")).select("step", "segment", "offer", "visit", "u")
 
 
-def _segments(table: DataFrame, n_steps: int, segment: int, state: ChainState, goal: int, lam: float | None, cells: int) -> DataFrame:
-    """Fold the steps, segment after segment, until the goal is reached; updates ``state``.
+def _segments(table: DataFrame, n_segments: int, state: ChainState, goal: int, lam: float | None, cells: int) -> DataFrame:
+    """Fold the steps until the goal is reached, all segments at once; updates ``state``.
 
     Returns the decisions (step, stream, chunk, size, defects, accepted) of the steps used.
     """
-    spark = table.sparkSession
-    path = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
-    table.repartition("segment").write.partitionBy("segment").parquet(f"{path}/listed")
-    for k in range(-(-n_steps // segment)):
-        if state.rows >= goal:
+    columns = ["step", "offer", "visit", "u", "p_size", "p_defects", "f_size", "f_defects"]
+    steps = F.array_sort(F.collect_list(F.struct(*columns)))
+    listed = materialise(table.groupBy("segment").agg(steps.alias("steps")), "steps")
+    exact = _corrected(_predicted(listed, state, lam, cells), n_segments, state, goal, lam, cells)
+    while True:
+        folds = materialise(_folded(listed, exact, goal, lam, cells), "folds")
+        exact = _corrected(folds, n_segments, state, goal, lam, cells)
+        if n_segments == 1 or exact.where("again").isEmpty():  # the first segment's entry state is always exact
             break
-        part = spark.read.schema(table.drop("segment").schema).parquet(f"{path}/listed/segment={k}")
-        _fold(part, state, goal, lam, cells).write.parquet(f"{path}/decided/segment={k}")
-        row = spark.read.parquet(f"{path}/decided/segment={k}").agg(
-            F.count(F.lit(1)).alias("steps"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "defects")],
-            F.coalesce(F.sum(F.col("accepted").cast("bigint")), F.lit(0)).alias("accepted")).first()
-        state.steps, state.rows = state.steps + row["steps"], state.rows + row["size"]
-        state.accepted, state.defects = state.accepted + row["accepted"], state.defects + row["defects"]
-    schema = "step bigint, stream string, chunk bigint, size bigint, defects bigint, accepted boolean"
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/decided")
-
-
-def _fold(table: DataFrame, state: ChainState, goal: int, lam: float | None, cells: int) -> DataFrame:
-    """Run the steps of one segment in order; the decisions of those used.
-
-    The fold is one ``aggregate`` over the ordered steps of a segment; its state is the running score sum, the row
-    count and the decision per step.
+    used = exact.where(F.col("entry_size") < goal).select("segment", F.posexplode("decided").alias("place", "accepted"))
+    used = used.join(listed, "segment").withColumn("s", F.get("steps", F.col("place"))).drop("steps")
+
+    def either(yes, no):
+        return F.when(F.col("accepted"), yes).otherwise(no)
+
+    decisions = materialise(used.select(
+        "s.step", either(F.col("s.offer"), F.lit(FORCED)).alias("stream"), either(F.col("s.visit"), F.col("s.step")).cast("bigint").alias("chunk"),
+        either(F.col("s.p_size"), F.col("s.f_size")).cast("bigint").alias("size"),
+        either(F.col("s.p_defects"), F.col("s.f_defects")).cast("bigint").alias("defects"), "accepted"), "decisions")
+    row = decisions.agg(F.count(F.lit(1)).alias("steps"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "defects")],
+                        F.coalesce(F.sum(F.col("accepted").cast("bigint")), F.lit(0)).alias("accepted")).first()
+    state.steps, state.rows = state.steps + row["steps"], state.rows + row["size"]
+    state.accepted, state.defects = state.accepted + row["accepted"], state.defects + row["defects"]
+    return decisions
+
+
+def _accepts(s, have: Column, size: Column, lam: float | None, cells: int) -> tuple[Column, Column]:
+    """Whether a step is accepted at a running mean of have / size, and how far that is from the other outcome."""
+    if lam is None:
+        return s["p_size"] > 0, F.lit(float("inf"))
+    rise = (s["p_defects"] / F.nullif(s["p_size"], F.lit(0)) - have / F.nullif(size, F.lit(0))) / cells
+    bar = F.ln(s["u"] + 1e-12)
+    accept = (s["p_size"] > 0) & F.coalesce(bar < lam * rise, F.lit(True))
+    return accept, F.when(s["p_size"] == 0, F.lit(float("inf"))).otherwise(F.coalesce(F.abs(lam * rise - bar), F.lit(0.0)))
+
+
+def _predicted(listed: DataFrame, state: ChainState, lam: float | None, cells: int) -> DataFrame:
+    """Sums of the segments if every step met the mean the chain begins with."""
+    def took(column: str) -> Column:
+        def add(total, s):
+            accept, _ = _accepts(s, F.lit(state.defects), F.lit(state.rows), lam, cells)
+            return total + F.when(accept, s[f"p_{column}"]).otherwise(s[f"f_{column}"])
+        return F.aggregate("steps", F.lit(0).cast("bigint"), add)
+
+    unknown = {"entry_defects": "bigint", "entry_size": "bigint", "slack": "double", "low": "double", "high": "double", "decided": "array<boolean>", "steps_listed": "int"}
+    return listed.select("segment", took("defects").alias("defects"), took("size").alias("size"), *[F.lit(None).cast(k).alias(c) for c, k in unknown.items()])
+
+
+def _corrected(folds: DataFrame, n_segments: int, state: ChainState, goal: int, lam: float | None, cells: int) -> DataFrame:
+    """The folds with entry states from their sums, and ``again`` where the decisions may differ with these.
+
+    A segment whose entry state moves by (dd, dn) sees its means move by at most max |dd - m dn| / n, m being a mean it
+    met and n the rows at its entry.  Segments that begin at or after the goal are not folded.
     """
-    columns = ["step", "offer", "visit", "u", "p_size", "p_defects", "f_size", "f_defects"]
-    listed = table.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("steps"))
-    begin = F.struct(F.lit(state.defects).cast("bigint").alias("have"), F.lit(state.rows).cast("bigint").alias("size"),
-                     F.array().cast("array<boolean>").alias("decided"))
+    corrected = totals_before(folds, "segment", ["defects", "size"], rows=n_segments).withColumns({
+        "new_defects": F.col("before_defects") + state.defects, "new_size": F.col("before_size") + state.rows})
+    moved, grown = F.col("new_defects") - F.col("entry_defects"), F.col("new_size") - F.col("entry_size")
+    reach = F.greatest(F.abs(moved - F.col("low") * grown), F.abs(moved - F.col("high") * grown)) / F.greatest(F.col("new_size"), F.lit(1))
+    near = reach * ((lam or 0.0) / cells) * (1 + 1e-9) + F.when(reach > 0, F.lit(1e-9)).otherwise(F.lit(0.0)) >= F.col("slack")
+    stops = (grown != 0) & ((F.size("decided") < F.col("steps_listed")) | (F.col("new_size") + F.col("size") >= goal))
+    same = (moved == 0) & (grown == 0)
+    again = (F.col("new_size") < goal) & (F.col("decided").isNull() | (~same & (near | stops)))
+    return corrected.select("segment", F.col("new_defects").alias("entry_defects"), F.col("new_size").alias("entry_size"), "defects", "size", "slack", "low", "high",
+                                 "decided", "steps_listed", F.coalesce(again, F.lit(True)).alias("again"))
+
+
+def _folded(listed: DataFrame, entries: DataFrame, goal: int, lam: float | None, cells: int) -> DataFrame:
+    """Folds the segments marked ``again`` from their entry states, each in one ``aggregate`` over its steps; keeps the others."""
+    begin = F.struct(F.col("entry_defects").alias("have"), F.col("entry_size").alias("size"), F.lit(float("inf")).alias("slack"),
+                     F.lit(float("inf")).alias("low"), F.lit(float("-inf")).alias("high"), F.array().cast("array<boolean>").alias("decided"))
 
     def step(now, s):
-        rise = (s["p_defects"] / F.nullif(s["p_size"], F.lit(0)) - now["have"] / F.nullif(now["size"], F.lit(0))) / cells
-        accept = F.lit(True) if lam is None else F.ln(s["u"] + 1e-12) < lam * rise
-        accept = (s["p_size"] > 0) & F.coalesce(accept, F.lit(True))
+        accept, slack = _accepts(s, now["have"], now["size"], lam, cells)
+        mean = F.coalesce(now["have"] / F.nullif(now["size"], F.lit(0)), F.lit(0.0))
         after = F.struct((now["have"] + F.when(accept, s["p_defects"]).otherwise(s["f_defects"])).alias("have"),
                          (now["size"] + F.when(accept, s["p_size"]).otherwise(s["f_size"])).alias("size"),
+                         F.least(now["slack"], slack).alias("slack"), F.least(now["low"], mean).alias("low"), F.greatest(now["high"], mean).alias("high"),
                          F.array_append(now["decided"], accept).alias("decided"))
         return F.when(now["size"] >= goal, now).otherwise(after)
 
-    decided = listed.select("steps", F.aggregate("steps", begin, step)["decided"].alias("decided"))
-    used = decided.select(F.posexplode("decided").alias("place", "accepted"), "steps").withColumn("s", F.get("steps", F.col("place")))
-
-    def either(yes, no):
-        return F.when(F.col("accepted"), yes).otherwise(no)
-
-    return used.select("s.step", either(F.col("s.offer"), F.lit(FORCED)).alias("stream"), either(F.col("s.visit"), F.col("s.step")).cast("bigint").alias("chunk"),
-                       either(F.col("s.p_size"), F.col("s.f_size")).cast("bigint").alias("size"), either(F.col("s.p_defects"), F.col("s.f_defects")).cast("bigint").alias("defects"), "accepted")
+    todo = entries.where("again").join(listed, "segment").withColumn("end", F.aggregate("steps", begin, step))
+    folded = todo.select("segment", "entry_defects", "entry_size", (F.col("end.have") - F.col("entry_defects")).alias("defects"), (F.col("end.size") - F.col("entry_size")).alias("size"),
+                         "end.slack", "end.low", "end.high", "end.decided", F.size("steps").alias("steps_listed"), "again")
+    return folded.unionByName(entries.where(~F.col("again")))

@@ -6,17 +6,16 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, nan_to_null, numeric_columns
-from ..functions.draws import Draws
+from .prefix import totals_before
+from .storage import materialise
 
 COPY = "row_copy"
 COPIES_PER_TASK = 100_000
-ROWS_PER_RANGE = 250_000
-MAX_RANGES = 4096
-RANGE_OVERSAMPLING = 32
+ROWS_PER_RANGE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -128,38 +127,21 @@ def number_copies(df: DataFrame) -> DataFrame:
     return spread.withColumn(COPY, F.explode(F.sequence(first + 1, last))).drop("piece", "copies")
 
 
-def with_ordinal(t: AuditTable, order_cols: Sequence[str], alias: str = "ordinal", seed: int = 0,
-                 rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
+def with_ordinal(t: AuditTable, order_cols: Sequence[str], alias: str = "ordinal", rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
     """Global 0-based position in (order_cols, key) order, and the row count.
 
-    A hash-chosen sample of keys gives range bounds (at most MAX_RANGES); rows are counted per range, and a window
-    numbers the rows inside each range.  The bounds depend on data only, so every execution agrees on them.
+    Spark's range partitioner cuts the order into as many ranges as the number of rows asks for; each range is sorted
+    where it lands, so a row's place inside its range is its place in the partition.  Both are written with the row,
+    once, which fixes them.  Rows per range are counted and summed up in two levels, and the sums are joined to the rows.
+    Keys are unique, so no range holds more than its share, however often one value of the order columns occurs.
     """
-    n = t.rows
     order = [*order_cols, *[k for k in t.key_cols if k not in order_cols]]
-    ranges = max(1, min(MAX_RANGES, n // rows_per_range))
-    position = F.struct(*[F.col(c) for c in order])
-    if ranges == 1:
-        placed = t.df.withColumn("range_no", F.lit(0))
-    else:
-        share = min(1.0, ranges * RANGE_OVERSAMPLING / n)
-        bounds = (
-            t.df.where(Draws(seed).uniform("bounds", *t.key_cols) < share)
-            .agg(F.array_sort(F.collect_list(position)).alias("sampled"))
-            .select(F.filter("sampled", lambda x, i: i % RANGE_OVERSAMPLING == RANGE_OVERSAMPLING - 1).alias("bounds"))
-        )
-        steps = [1 << b for b in reversed(range(math.ceil(math.log2(4 * ranges))))]
-        # binary search: the number of bounds at or before the row
-        range_no = F.aggregate(
-            F.array(*[F.lit(s) for s in steps]), F.lit(0),
-            lambda at, step: F.when(F.get("bounds", at + step - 1) <= position, at + step).otherwise(at),
-        )
-        placed = t.df.crossJoin(F.broadcast(bounds)).withColumn("range_no", range_no).drop("bounds")
-    sizes = dict(placed.groupBy("range_no").count().collect())
-    offsets, total = [], 0
-    for r in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(r, 0)
-    window = Window.partitionBy("range_no").orderBy(*order)
-    offset = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]]), F.col("range_no"))
-    return placed.withColumn(alias, offset + F.row_number().over(window) - 1).drop("range_no"), total
+    ranges = max(1, math.ceil(t.rows / rows_per_range))
+    in_range = t.df.repartitionByRange(ranges, *[F.col(f"`{c}`") for c in order]).sortWithinPartitions(*[F.col(f"`{c}`") for c in order])
+    id_ = F.monotonically_increasing_id()  # partition * 2^33 + place in the partition
+    placed = materialise(in_range.withColumn("__at", id_), "ranges").withColumns({
+        "range_no": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
+    sizes = placed.groupBy("range_no").agg(F.count(F.lit(1)).alias("rows"))
+    offsets = totals_before(sizes, "range_no", ["rows"], rows=ranges).select("range_no", "before_rows")
+    numbered = placed.join(offsets, "range_no").withColumn(alias, F.col("before_rows") + F.col("__place"))
+    return numbered.select(*t.df.columns, alias), t.rows

@@ -53,6 +53,19 @@ def test_segments_do_not_change_a_chain(table):
     assert other.n_steps < runs[0].n_steps and not other.df.select(*table.key_cols).exceptAll(keys[0]).isEmpty()
 
 
+def test_many_segments_are_folded_in_a_few_jobs(spark, table):
+    """All segments are folded at once; the number of jobs does not grow with them."""
+    counts = {}
+    for segment in (2, 4096):
+        group = f"chain in segments of {segment}"
+        spark.sparkContext.setJobGroup(group, group)
+        sample = chains.metropolis_hastings(table, 0.5, batch_size=4, segment=segment)
+        counts[segment] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("other", "other")
+    assert sample.n_steps > 500  # over 250 segments of two steps
+    assert counts[2] - counts[4096] < 40
+
+
 def test_chain_behaves_like_a_plain_sequential_one(table):
     """Acceptance and mean score against a chain that draws batches one after the other from one pool."""
     scores = np.array([r["score"] for r in error_proxy(table).select("score").collect()])
@@ -150,6 +163,27 @@ def test_ordinal_with_a_hot_order_value(spark):
     assert ordered.agg(F.countDistinct("ordinal")).first()[0] == 4000
 
 
+def test_hundreds_of_ranges(spark):
+    """Offsets come from a two-level table; no array of bounds is carried by the rows."""
+    df = spark.range(1200).selectExpr("id", "case when id % 5 = 0 then null else (id * 7919) % 997 end as o", "'x' as ordinal_of")
+    want = [r["id"] for r in df.orderBy("o", "id").collect()]
+    ordered, n = with_ordinal(audit_table(df, ["id"]), ["o"], rows_per_range=3)
+    assert n == 1200 and [r["id"] for r in ordered.orderBy("ordinal").collect()] == want
+    plan = ordered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and len(plan) < 20_000
+    assert with_ordinal(audit_table(df.limit(0), ["id"]), ["o"])[0].count() == 0
+
+
+def test_running_totals_in_two_levels(spark):
+    from plumbline.operators.prefix import totals_before
+    df = spark.range(1000).selectExpr("id * 2 as at", "id % 7 as v", "case when id % 3 = 0 then null else 1L end as w")
+    rows = sorted(totals_before(df, "at", ["v", "w"], block=64).collect())
+    v = w = 0
+    for r in rows:
+        assert (r["before_v"], r["before_w"]) == (v, w)
+        v, w = v + r["v"], w + (r["w"] or 0)
+
+
 def test_small_cluster_tables(spark):
     df = spark.range(12).selectExpr("id", "cast(id as double) v")
     for seed in range(5):
