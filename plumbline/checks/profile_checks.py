@@ -134,13 +134,20 @@ PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def quantiles_by_refinement(spark, folder):
-    """Order statistics by repeated histograms, as used beyond a few million rows."""
-    q = quantiles._by_refinement(load(spark, folder, "lineitem").select("l_returnflag", *NUMBERS), NUMBERS, PROBS, ["l_returnflag"])
+    """Order statistics by repeated histograms."""
+    q = quantiles.quantile_table(load(spark, folder, "lineitem").select("l_returnflag", *NUMBERS), NUMBERS, PROBS, ["l_returnflag"])
     points = [F.struct(F.lit(c).alias("name"), F.lit(p).alias("p"), F.round(F.get(c, F.lit(i)), 6).alias("value"))
               for c in NUMBERS for i, p in enumerate(PROBS)]
     return q.select("l_returnflag", F.inline(F.array(*points)))
 
 
+def quantiles_of_many_groups(spark, folder):
+    """Quartiles of the line items of every part: thousands of groups, none of which comes to the driver."""
+    q = quantiles.quantile_table(load(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice"], (0.25, 0.5, 0.75), ["l_partkey"])
+    return q.select("l_partkey", *[F.round(F.get(c, F.lit(i)), 6).alias(f"{name}_{p}") for c, name in (("l_quantity", "quantity"), ("l_extendedprice", "price"))
+                                   for i, p in enumerate((25, 50, 75))])
+
+
 DOC_NUM = ["n_chars"]
 D = f"WITH {DIRTY_CTE} "
 _two = [("text", "source"), (("lang", "n_chars"), "source")]
@@ -185,4 +192,7 @@ CHECKS = {
     "quantiles_by_refinement": Check(quantiles_by_refinement, " UNION ALL ".join(
         f"SELECT l_returnflag, '{c}' AS name, {p}::DOUBLE AS p, round(quantile_cont({c}, {p}), 6) AS value FROM lineitem GROUP BY l_returnflag"
         for c in NUMBERS for p in PROBS)),
+    "quantiles_of_many_groups": Check(quantiles_of_many_groups, "SELECT l_partkey, " + ", ".join(
+        f"round(quantile_cont({c}, {p / 100}), 6) AS {name}_{p}" for c, name in (("l_quantity", "quantity"), ("l_extendedprice", "price")) for p in (25, 50, 75))
+        + " FROM lineitem GROUP BY l_partkey"),
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_double, nan_to_null, numeric_columns
-from .quantiles import ONE_TASK_ROWS, in_one_task, quantile_table
+from .quantiles import quantile_table
 from .table import AuditTable, FdRule, fd_rules, row_hashes
 
 MISSING, DUPLICATE, OUTLIER, INCONSISTENCY = INDICATORS = (
@@ -39,14 +39,9 @@ def fences(df: DataFrame, columns: Sequence[str], rule: str = "profile", group:
     moments = []
     for i, c in enumerate(columns):
         moments += [F.count(as_double(c)).alias(f"n_{i}"), F.avg(as_double(c)).alias(f"mean_{i}"), sd(as_double(c)).alias(f"sd_{i}")]
-    rows = df.count() if rows is None else rows
-    small = rows <= ONE_TASK_ROWS
-    if small:  # quartiles and moments in one scan
-        moments += [in_one_task(c, (0.25, 0.75)).alias(f"q_{i}") for i, c in enumerate(columns)]
     stats = df.groupBy(*group).agg(*moments) if group else df.agg(*moments)
-    if not small:
-        quartiles = quantile_table(df, columns, (0.25, 0.75), group, rows)
-        stats = _attach(stats, quartiles.select(*group, *[F.col(f"`{c}`").alias(f"q_{i}") for i, c in enumerate(columns)]), group)
+    quartiles = quantile_table(df, columns, (0.25, 0.75), group, df.count() if rows is None else rows)
+    stats = _attach(stats, quartiles.select(*group, *[F.col(f"`{c}`").alias(f"q_{i}") for i, c in enumerate(columns)]), group)
     out = []
     for i in range(len(columns)):
         q1, q3 = F.get(f"q_{i}", F.lit(0)), F.get(f"q_{i}", F.lit(1))

@@ -1,26 +1,26 @@
-"""Exact linearly interpolated quantiles that do not pass through one reducer.
+"""Exact linearly interpolated quantiles that do not pass through one reducer, for any number of rows and groups.
 
-``percentile`` is exact but merges one value->count map per group in a single task.  That is fine for a few million
-rows and fatal for 10^12, so beyond ``ONE_TASK_ROWS`` the same order statistics are found by repeated histograms:
-each pass counts rows per bin (map-side combined, at most BINS rows per target come back), keeps the bin that holds
-the wanted rank, and narrows to that bin's own minimum and maximum.
+``percentile`` is exact but merges one value->count map per group in a single task.  Here every wanted order statistic is a
+*target*, a row (group, column, rank, interval, rows in it, rows below it).  A pass counts the rows of all open intervals
+in bins (map-side combined) and narrows each target to the bin that holds its rank, down to the least and largest value met
+there; an interval of few rows is counted by value, which settles it.  The targets are a table like any other: they are joined to
+the rows and to the bins, lie in storage between passes, and never come to the driver.
 """
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double
+from .storage import materialise
 
-ONE_TASK_ROWS = 2_000_000
 BINS = 2048
-SMALL_BIN = 20_000
+SMALL_BIN = 1_000_000  # an interval of at most so many rows is counted by value
 LARGEST = sys.float_info.max
-GROUP = "quantile_group"
 
 
 def quantile_table(
@@ -28,90 +28,68 @@ def quantile_table(
 ) -> DataFrame:
     """One row per group with an array column per input column (``NULL`` for an all-null column).
 
-    ``rows`` is a known upper bound on the size of ``df``; without it the rows are counted first.
+    ``rows`` is a known upper bound on the size of ``df``: if no interval can hold more than SMALL_BIN rows, one pass settles
+    every target, so none has to be stored and looked at.
     """
-    if rows is None:
-        rows = df.count()
-    if rows <= ONE_TASK_ROWS:
-        aggregates = [in_one_task(c, probs).alias(c) for c in columns]
-        return df.groupBy(*group).agg(*aggregates) if group else df.agg(*aggregates)
-    return _by_refinement(df, columns, probs, group)
-
-
-def in_one_task(column: str, probs: Sequence[float]) -> Column:
-    return F.percentile(as_double(column), F.array(*[F.lit(float(p)) for p in probs]))
-
-
-def _by_refinement(df: DataFrame, columns, probs, group) -> DataFrame:
-    spark = df.sparkSession
-    key = F.to_json(F.struct(*[F.col(g) for g in group])) if group else F.lit("")
-    cells = df.select(
-        *group,
-        key.alias(GROUP),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), as_double(c).alias("v")) for i, c in enumerate(columns)])).alias("cell"),
-    ).select(*group, GROUP, "cell.i", "cell.v").where("v is not null")
-
-    spans = cells.groupBy(*group, GROUP, "i").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    ranks = {}  # (group key, column) -> ranks whose values are needed
-    for s in spans:
-        ranks[s[GROUP], s["i"]] = {r for p in probs for r in (math.floor((s["n"] - 1) * p), math.ceil((s["n"] - 1) * p))}
-    found = order_statistics(cells, {(s[GROUP], s["i"]): (s["n"], s["lo"], s["hi"]) for s in spans}, ranks)
-
-    def interpolate(g, i, n):
-        out = []
-        for p in probs:
-            at = (n - 1) * p
-            low, high = found[g, i, math.floor(at)], found[g, i, math.ceil(at)]
-            # as percentile() does: weights from the neighbouring ranks
-            whole = math.floor(at) == math.ceil(at)
-            out.append(low if whole or low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
-        return out
-
-    records = {}
-    for s in spans:
-        record = records.setdefault(s[GROUP], [s[g] for g in group] + [None] * len(columns))
-        record[len(group) + s["i"]] = interpolate(s[GROUP], s["i"], s["n"])
-    fields = [df.schema[g] for g in group]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{c}` array<double>" for c in columns])
-    if not group and not records:
-        records[""] = [None] * len(columns)
-    return spark.createDataFrame(list(records.values()), schema)
-
-
-def order_statistics(cells: DataFrame, spans: dict, ranks: dict) -> dict:
-    """Values at 0-based ranks of ``cells(quantile_group, i, v)``; each pass is one map-side combined count."""
-    found = {}
-    open_targets = []  # (group, column, rank, low, high, count, rows below)
-    for (g, i), wanted in ranks.items():
-        n, lo, hi = spans[g, i]
-        open_targets += [(g, i, r, lo, hi, n, 0) for r in wanted]
-    while open_targets:
-        settled = [t for t in open_targets if t[3] == t[4]]
-        found.update({(g, i, r): lo for g, i, r, lo, *_ in settled})
-        open_targets = [t for t in open_targets if t[3] != t[4]]
-        if not open_targets:
-            break
-        intervals = {(g, i, lo, hi) for g, i, _, lo, hi, *_ in open_targets}
-        small = {(g, i, lo, hi) for g, i, _, lo, hi, n, _ in open_targets if n <= SMALL_BIN}
-        bounds = F.broadcast(cells.sparkSession.createDataFrame(
-            [(*t, t in small) for t in intervals], f"{GROUP} string, i int, lo double, hi double, small boolean"))
-        inside = cells.join(bounds, [GROUP, "i"]).where("v >= lo and v <= hi")
-        # a small bin splits by value, a large one into equal widths of its own range (halved: no overflow)
-        v, low, high = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / 2.0 for c in ("v", "lo", "hi"))
-        position = F.coalesce(F.least(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * BINS), F.lit(BINS - 1)), F.lit(0))
-        bins = inside.groupBy(
-            GROUP, "i", "lo", "hi",
-            F.when(~F.col("small"), position.cast("double")).otherwise(F.col("v")).alias("bin"),
-        ).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
-        by_interval = {}
-        for b in bins:
-            by_interval.setdefault((b[GROUP], b["i"], b["lo"], b["hi"]), []).append(b)
-        narrowed = []
-        for g, i, r, lo, hi, _, below in open_targets:
-            for b in sorted(by_interval[g, i, lo, hi], key=lambda b: b["bin"]):
-                if below + b["n"] > r:
-                    narrowed.append((g, i, r, b["low"], b["high"], b["n"], below))
-                    break
-                below += b["n"]
-        open_targets = narrowed
-    return found
+    names = {g: f"g_{k}" for k, g in enumerate(group)}
+    cells = df.select(*[F.col(f"`{g}`").alias(n) for g, n in names.items()], F.explode(F.array(*[
+        F.struct(F.lit(k).alias("i"), as_double(c).alias("v")) for k, c in enumerate(columns)])).alias("cell")).select(*names.values(), "cell.i", "cell.v")
+    by = [*names.values(), "i"]
+    targets = _targets(cells, by, probs)
+    if rows is not None and rows <= SMALL_BIN:
+        targets = _narrowed(cells, targets, by)
+    else:
+        targets = materialise(targets, "targets")
+        while not targets.where(OPEN).isEmpty():
+            targets = materialise(_narrowed(cells, targets, by), "targets")
+    return _interpolated(targets, by, columns, probs).withColumnsRenamed({n: g for g, n in names.items()})
+
+
+OPEN = "coalesce(lo != hi, false)"
+
+
+def _targets(cells: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The ranks wanted of every group and column, each with the whole range as its interval."""
+    whole = cells.groupBy(*by).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: (F.col("n") - 1) * p)
+    ranks = F.array_distinct(F.concat(F.transform(at, lambda x: F.floor(x)), F.transform(at, lambda x: F.ceil(x))))
+    wanted = whole.select(*by, F.col("n").alias("total"), "lo", "hi", "n", F.lit(0).cast("bigint").alias("below"), F.explode(ranks).alias("rank"))
+    return wanted.withColumn("rank", F.when(F.col("n") > 0, F.col("rank")))
+
+
+def _same(columns: Sequence[str], names: dict[str, str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(names[c])) for c in columns])
+
+
+def _narrowed(cells: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every open target with the bin of its interval that holds its rank as its new interval."""
+    open_ = targets.where(OPEN)
+    names = {c: f"t_{c}" for c in by}
+    intervals = open_.select(*[F.col(c).alias(names[c]) for c in by], "lo", "hi", (F.col("n") <= SMALL_BIN).alias("small")).distinct()
+    inside = cells.join(intervals, _same(by, names)).where("v >= lo and v <= hi").drop(*names.values())
+    # few rows split by value, many into equal widths of their own range (halved: no overflow)
+    v, low, high = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / 2.0 for c in ("v", "lo", "hi"))
+    position = F.coalesce(F.least(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * BINS), F.lit(BINS - 1)), F.lit(0))
+    bins = inside.groupBy(*by, "lo", "hi", F.when(~F.col("small"), position.cast("double")).otherwise(F.col("v")).alias("bin")).agg(
+        F.count("v").alias("held"), F.min("v").alias("least"), F.max("v").alias("largest"))
+    before = Window.partitionBy(*by, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("bin").withColumnsRenamed({c: f"t_{c}" for c in [*by, "lo", "hi"]})
+    here = _same([*by, "lo", "hi"], {c: f"t_{c}" for c in [*by, "lo", "hi"]})
+    rank = F.col("rank") - F.col("below")
+    found = open_.join(placed, here & (rank >= F.col("before")) & (rank < F.col("before") + F.col("held")))
+    moved = found.select(*by, "total", F.col("least").alias("lo"), F.col("largest").alias("hi"), F.col("held").alias("n"), (F.col("below") + F.col("before")).alias("below"), "rank")
+    return targets.where(f"not {OPEN}").unionByName(moved)
+
+
+def _interpolated(targets: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """An array of quantiles per group and column from the settled targets (at most two a quantile)."""
+    known = F.map_from_entries(F.filter(F.collect_list(F.struct("rank", "lo")), lambda t: t["rank"].isNotNull()))
+    settled = targets.groupBy(*by).agg(F.first("total").alias("total"), known.alias("known"))
+    out = []
+    for p in probs:
+        at = (F.col("total") - 1) * F.lit(float(p))
+        low, high = F.element_at("known", F.floor(at)), F.element_at("known", F.ceil(at))
+        # as percentile() does: weights from the neighbouring ranks
+        out.append(F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    arrays = settled.select(*by, F.when(F.col("total") > 0, F.array(*out)).alias("q"))
+    return arrays.groupBy(*by[:-1]).agg(*[F.max(F.when(F.col("i") == k, F.col("q"))).alias(c) for k, c in enumerate(columns)])

@@ -131,19 +131,28 @@ def test_tied_draws_follow_the_key(spark):
     assert sorted(r["id"] for r in df.where(cut.keeps(F.lit(0.25), ["id"])).collect()) == list(range(10))
 
 
-def test_refined_quantiles_equal_percentile(spark, folder):
-    df = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_returnflag")
-    probs = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
-    refined = quantiles._by_refinement(df, ["l_quantity", "l_extendedprice"], probs, []).first()
-    direct = quantiles.quantile_table(df, ["l_quantity", "l_extendedprice"], probs, rows=1).first()
-    for c in direct.asDict():
-        assert refined[c] == pytest.approx(direct[c], rel=1e-12)
-
-
-def test_refined_quantiles_of_one_hot_value(spark):
+@pytest.mark.parametrize("small", [10, 1000, quantiles.SMALL_BIN])
+def test_quantiles_equal_percentile(spark, folder, monkeypatch, small):
+    """The same numbers from narrowing by bins, by value, and without looking at the targets."""
+    monkeypatch.setattr(quantiles, "SMALL_BIN", small)
+    df = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_quantity", "l_extendedprice", "nullif(l_returnflag, 'A') as flag", "cast(null as double) as none",
+                                                                    "case l_linenumber when 1 then double('inf') when 2 then 1e308 when 3 then -1e308 else l_tax end as wild")
+    probs, columns = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0], ["l_quantity", "l_extendedprice", "none", "wild"]
+    for group in ([], ["flag"]):
+        want = df.groupBy(*group).agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in columns])
+        got = quantiles.quantile_table(df, columns, probs, group, rows=None if small < 10**6 else 6000)
+        key = lambda r: str(r["flag"]) if group else ""
+        for a, b in zip(sorted(want.collect(), key=key), sorted(got.collect(), key=key), strict=True):
+            for c in columns:
+                assert b[c] == (None if a[c] is None else pytest.approx(a[c], rel=1e-12)), (group, c)
+    assert quantiles.quantile_table(df.limit(0), ["l_quantity"], probs).first()["l_quantity"] is None
+    assert quantiles.quantile_table(df.limit(0), ["l_quantity"], probs, ["flag"]).count() == 0
+
+
+def test_quantiles_of_one_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL_BIN", 100)
     df = spark.range(50000).selectExpr("case when id % 3 = 0 then 7.0D else cast(id as double) end as v")
-    refined = quantiles._by_refinement(df, ["v"], [0.1, 0.5], []).first()["v"]
-    assert refined == quantiles.quantile_table(df, ["v"], [0.1, 0.5], rows=1).first()["v"]
+    assert quantiles.quantile_table(df, ["v"], [0.1, 0.5]).first()["v"] == df.selectExpr("percentile(v, array(0.1, 0.5)) as v").first()["v"]
 
 
 def test_copies_of_a_hot_row_are_numbered(spark, monkeypatch):
