@@ -9,7 +9,7 @@ from ..operators.storage import shared_folder
 from ..plans import experiments, progressive, results
 from ..sources.cache import parameter_key
 from .base import (DIRTY_CTE, DIRTY_KEY, LINE_RULES, MEASURED, NUMBERS, Check, d, dirty_lines, load, profile_sql, rounded, u)
-from .sample_checks import IMPORTANCE
+from .sample_checks import IMPORTANCE, SAMPLES, estimates_sql
 
 BUDGETS, SEEDS = (0.01, 0.02, 0.05, 0.1, 0.2), (42, 7)
 ERRORS = [f"rel_err_{i}" for i in INDICATORS] + ["rel_err_mean", "rel_err_abs_mean"]
@@ -65,6 +65,14 @@ def accuracy_summary(spark, folder):
     return rounded(results.summary(_conditions(spark, folder), ["dataset", "method", "budget"]), ["rel_err_mean"], 5)
 
 
+def sampler_comparison(spark, folder):
+    """Every method without a chain at two budgets and two seeds: one tagging scan, one grouped profile."""
+    t = dirty_lines(spark, folder)
+    found = experiments.sampler_comparison(t, list(SAMPLES), (0.05, 0.1), SEEDS, profile_table(t), order_cols=["l_orderkey"], rows_per_range=100_000)
+    named = [f"est_{i}" for i in INDICATORS]
+    return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "n_sampled", "n_total", *named, *ERRORS)
+
+
 def guided_against_uniform(spark, folder):
     """Wall times differ per run, so only the estimates of the condition runs are kept."""
     t = dirty_lines(spark, folder)
@@ -226,6 +234,8 @@ CHECKS = {
                                  + ", ".join(f"round(e.{i}, 6) AS est_{i}" for i in INDICATORS) + f", {_error_columns()} FROM curve e CROSS JOIN truth t"),
     "accuracy_summary": Check(accuracy_summary, f"{D}{_conditions_sql} SELECT 'dirty_lines' AS dataset, method, budget, round(avg(rel_err_mean), 5) AS rel_err_mean FROM "
                               f"(SELECT method, budget, {_error_columns(digits=15)} FROM curve e CROSS JOIN truth t) x GROUP BY 2, 3"),
+    "sampler_comparison": Check(sampler_comparison, f"{D}{_truth}, e AS ({estimates_sql((0.05, 0.1), SEEDS)}) SELECT 'dirty_lines' AS dataset, method, budget, seed, e.sample_size AS n_sampled, e.n_records AS n_total, "
+                                + ", ".join(f"round(e.{i}, 6) AS est_{i}" for i in INDICATORS) + f", {_error_columns()} FROM e CROSS JOIN truth t"),
     "guided_against_uniform": Check(guided_against_uniform),
     "condition_grid": Check(condition_grid, _grid),
     "resume_grid": Check(resume_grid, R + f"SELECT g.* FROM ({_grid}) g WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.dataset = g.dataset AND r.method = g.method AND r.seed = g.seed AND round(r.budget, 6) = round(g.budget, 6))"),

@@ -90,9 +90,9 @@ def _sampled(size):
     return f"WITH {DIRTY_CTE}, picked AS ({first_rows(size)}) "
 
 
-def of_sample(with_clause: str, weight=None, src="picked"):
+def of_sample(with_clause: str, weight=None, src="picked", digits=6):
     return with_clause + (f"SELECT p.*, CAST({N} AS BIGINT) AS n_records FROM ("
-                          + profile_sql(src, MEASURED, NUMBERS, LINE_RULES, weight=weight) + ") p")
+                          + profile_sql(src, MEASURED, NUMBERS, LINE_RULES, weight=weight, digits=digits) + ") p")
 
 
 EXPO = f"({expo(SEED, 'row', *DIRTY_KEY)} / (score + 1e-6::DOUBLE))"
@@ -139,6 +139,23 @@ _strata_both = (f"WITH {DIRTY_CTE}, {SCORED_CTE}, {STRATA['quality'].replace('st
                 f"{STRATA['column'].rstrip(', ').replace('stratified AS', 'by_defect AS')} "
                 f"SELECT d.stratum AS by_defect, q.stratum AS by_score, CAST(count(*) AS BIGINT) AS n_rows FROM by_defect d JOIN by_score q USING ({KEYS}) GROUP BY 1, 2")
 
+#: WITH clause and weight of the sample of every method without a chain, at B and SEED
+SAMPLES = {"random_uniform": (_sampled(UNIFORM_N), None), "geometric": (_sampled(GEOMETRIC_N), None), "yamane": (_sampled(YAMANE_N), None),
+           "cluster": (CLUSTER, None), "importance": (IMPORTANCE, "w"), "stratified_column": (stratified_sql("column"), None),
+           "stratified_quality": (stratified_sql("quality"), None)}
+
+
+def estimates_sql(budgets, seeds) -> str:
+    """SELECT of method, budget, seed and the unrounded profile of every condition."""
+    parts = []
+    for method, (clause, weight) in SAMPLES.items():
+        for b in budgets:
+            for s in seeds:
+                text = of_sample(clause, weight, digits=None).replace(f"'{SEED}'", f"'{s}'").replace(d(B), d(b))
+                parts.append(f"SELECT '{method}' AS method, {d(b)} AS budget, CAST({s} AS BIGINT) AS seed, x.* FROM ({text}) x")
+    return " UNION ALL ".join(parts)
+
+
 CHECKS = {
     "sample_uniform": Check(_keys("random_uniform"), _sampled(UNIFORM_N) + PICK),
     "sample_geometric": Check(_keys("geometric"), _sampled(GEOMETRIC_N) + PICK),

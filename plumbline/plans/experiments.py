@@ -16,6 +16,7 @@ from ..operators.score import CellRules, clip_sweep_weights, score_counts
 from ..operators.storage import materialise
 from ..operators.table import AuditTable, with_ordinal
 from ..sources import generate
+from .membership import CHAIN_FREE, membership
 from .progressive import nested_samples
 from .registry import CHAINS, GUIDED, PREFIX_SIZES, draw_sample
 from .results import append_results, as_budget, condition_grid, read_results, remaining
@@ -39,6 +40,25 @@ def prefix_results(t: AuditTable, methods: Sequence[str], budgets: Sequence[floa
     return _as_result(relative_error(p.withColumn("n_records", F.lit(n).cast("bigint")), truth), t.name)
 
 
+def membership_results(t: AuditTable, methods: Sequence[str], budgets: Sequence[float], seeds: Sequence[int], truth: DataFrame, **options) -> DataFrame:
+    """All conditions of methods without a chain, from one tagging scan of the table."""
+    return _as_result(relative_error(membership(t, methods, budgets, seeds, **options).profile().drop("sample_size"), truth), t.name)
+
+
+def sampler_comparison(t: AuditTable, methods: Sequence[str], budgets: Sequence[float], seeds: Sequence[int], truth: DataFrame,
+                       batch_size: int = 500, **options) -> DataFrame:
+    """Errors of any methods side by side: those without a chain share one scan, chains run one condition after the other."""
+    parts, free = [], [m for m in methods if m in CHAIN_FREE]
+    if free:
+        parts.append(membership_results(t, free, budgets, seeds, truth, **options))
+    edges = materialise(pairwise_weights(t), "edges") if set(methods) & set(GUIDED) else None
+    for m in methods:
+        if m in CHAINS:
+            more = {"edges": edges} if m in GUIDED else {}
+            parts += [run_condition(t, m, b, s, truth, batch_size=batch_size, **more) for b in budgets for s in seeds]
+    return _together(parts)
+
+
 def run_condition(t: AuditTable, method: str, budget: float, seed: int, truth: DataFrame, **parameters) -> DataFrame:
     """One result row: estimate, errors, sizes and wall time.
 

@@ -193,6 +193,20 @@ def test_running_totals_in_two_levels(spark):
         v, w = v + r["v"], w + (r["w"] or 0)
 
 
+def test_membership_equals_single_samples(spark, table):
+    """The bits of every condition mark just the rows that the method draws alone, and the scan of the source is one."""
+    from plumbline.plans.membership import CHAIN_FREE, membership
+    tagged = membership(table, CHAIN_FREE, [0.03, 0.2], [42])
+    for k, method, budget, seed, size in tagged.conditions:
+        alone = draw_sample(method, table, budget, seed)
+        held = tagged.rows.where(F.col(f"word_{k // 62}").bitwiseAND(F.lit(1 << (k % 62))) != 0).select(*table.key_cols)
+        assert alone.n_sampled == size == held.count(), method
+        assert held.exceptAll(alone.df.select(*table.key_cols)).isEmpty(), method
+    assert tagged.exploded()._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    with pytest.raises(ValueError):
+        membership(table, ["gibbs"], [0.1], [1])
+
+
 def test_small_cluster_tables(spark):
     df = spark.range(12).selectExpr("id", "cast(id as double) v")
     for seed in range(5):
