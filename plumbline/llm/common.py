@@ -80,9 +80,12 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.n
         return begin, end, np.zeros(0, np.uint64)
     first = np.zeros(len(data), np.int64)
     first[begin] = begin
-    within = (np.arange(len(data)) - np.maximum.accumulate(first)) & 4095
+    within = np.arange(len(data)) - np.maximum.accumulate(first)
+    weights, beyond = POWERS[within & 4095], np.where(is_word, within >> 12, 0)
+    if beyond.any():  # words of more than 4,096 bytes
+        weights *= np.multiply.accumulate(np.array([1] + [pow(BASE, 4096, 1 << 64)] * int(beyond.max()), np.uint64))[beyond]
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * POWERS[within], out=total[1:])
+    np.cumsum(BYTE_VALUES[data] * weights, out=total[1:])
     return begin, end, mix(total[end] - total[begin] + (end - begin).astype(np.uint64))
 
 

@@ -133,7 +133,7 @@ def pack(examples: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[tuple[
     occur; a null id is kept as null. The columns are the id and those of PIECE (and `ids` on request); the input's other
     columns are not read on. An empty table gives an empty result.
     """
-    limit = max_loss or capacity
+    limit = capacity if max_loss is None else max_loss
     id_field = examples.schema[id_col]
     fields = [id_field, *PIECE.fields] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
     id_type = None
@@ -167,7 +167,10 @@ def pack(examples: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[tuple[
 
 
 def pack_texts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, **limits) -> DataFrame:
-    """Packs whole texts (null: empty), tokenised with a word-end vocabulary; `end_id` follows each text. All tokens bear loss."""
+    """Packs whole texts (null: empty), tokenised with a word-end vocabulary; `end_id` follows each text. All tokens bear loss.
+
+    The vocabulary's special strings inside a text become their special ids, as in the `tokenizers` library.
+    """
 
     def encode(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, None]]:
         from plumbline.llm.tokens import tokenizer

@@ -26,7 +26,7 @@ PARTICLE = r"(?:von|vom|van|der|den|de|del|della|di|da|das|do|dos|du|la|le|zu|zu
 WORD = rf"(?:\p{{Lu}}\.[ -]?|\p{{Lu}} |{PARTICLE} )*+(?!(?:{MALE}|{FEMALE}|{ANY})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]++"
 NAME = rf"{WORD}(?: {WORD})*+"
 KINDS: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"),
     ("secret", r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"),

@@ -1,7 +1,7 @@
 """Token ids of whole texts under a public word-end BPE vocabulary, fast for text with repeated words.
 
-The ids equal those of the `tokenizers` library for the same file with special strings taken as ordinary text. No
-token of such a vocabulary spans white space, so each distinct stretch between blanks is encoded once and texts are put
+The ids equal those of the `tokenizers` library for the same file with add_special_tokens=False: nothing is put around a text,
+and the file's special strings inside it become their own ids. No other token of such a vocabulary spans white space, so each distinct stretch between blanks is encoded once and texts are put
 together from the parts. The merges run in `tiktoken`: a word is followed by the letter Z, which cannot occur in lower-cased text
 and stands for the end-of-word mark.
 """
@@ -36,7 +36,11 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        self._added = {t["content"]: t["id"] for t in whole.get("added_tokens") or []}
+        #: they are looked for before the text is normalised
+        self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         end, letters, vocabulary = model["end_of_word_suffix"], _byte_letters(), model["vocab"]
 
         def as_bytes(token: str) -> bytes:
@@ -58,8 +62,9 @@ class WordTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self._numbers: dict[str, int] = {}
-        self._flat, self._begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # no stretch begins with a blank, so a special string is told from a lower-cased one that looks like it
+        self._numbers: dict[str, int] = {f" {text}": k for k, text in enumerate(self._added)}
+        self._flat, self._begin = np.array(list(self._added.values()), np.int32), np.arange(len(self._added) + 1, dtype=np.int64)
 
     def _learn(self, stretches: list[str]) -> None:
         pieces = PIECES.findall("\n".join(stretches) + "\n")
@@ -69,16 +74,24 @@ class WordTokenizer:
         self._flat = np.concatenate([self._flat, self._ids[ranks[ranks != self._line]]])
         self._begin = np.concatenate([self._begin, self._begin[-1] + ends - np.arange(len(ends))])
 
+    @staticmethod
+    def _stretches(text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        return [x for x in regex.split(f"[{SPACE}]+", text) if x] if SEPARATORS.search(text) else text.split()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as int32 arrays."""
         if len(self._numbers) > STORE_STRETCHES:
             self._reset()
         numbers, new, rows = self._numbers, [], []
         for text in texts:
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            text = text.lower()
-            stretches = [x for x in regex.split(f"[{SPACE}]+", text) if x] if SEPARATORS.search(text) else text.split()
+            parts = self._special.split(text) if self._special else [text]
+            stretches = self._stretches(parts[0])
+            for special, part in zip(parts[1::2], parts[2::2], strict=True):
+                stretches.append(f" {special}")
+                stretches += self._stretches(part)
             for stretch in set(stretches).difference(numbers):
                 numbers[stretch] = len(numbers)
                 new.append(stretch)
