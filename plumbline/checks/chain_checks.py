@@ -34,7 +34,8 @@ def guided_without_weights(spark, folder):
 
 # ---- SQL: one pass over the pool ------------------------------------------------------------------------------------
 
-def chain_sql(home: str, pivots: str, joins: str = "", extra: str = "", lam: float | None = LAM, weight: str = "inverse") -> str:
+def chain_sql(home: str, pivots: str, joins: str = "", extra: str = "", lam: float | None = LAM, weight: str = "inverse",
+              budget: float = B) -> str:
     """``pivots`` is a SELECT of (place, stream, p); ``home`` names the stream of a row of ``scored s``."""
     step_draw = u(SEED, "pivot0", "step")
     accept = "TRUE" if lam is None else (
@@ -42,7 +43,7 @@ def chain_sql(home: str, pivots: str, joins: str = "", extra: str = "", lam: flo
     took = f"(s.p_size > 0 AND {accept})"
     w = "1.0::DOUBLE" if weight == "none" else "least(1.0 / (score + 1e-6::DOUBLE), cap)"
     return f"""WITH RECURSIVE {DIRTY_CTE}, {SCORED_CTE}, {extra}
-size AS (SELECT CAST(count(*) AS BIGINT) AS n, greatest({BATCH}, CAST(floor(count(*) * {d(B)}) AS BIGINT)) AS goal FROM scored),
+size AS (SELECT CAST(count(*) AS BIGINT) AS n, greatest({BATCH}, CAST(floor(count(*) * {d(budget)}) AS BIGINT)) AS goal FROM scored),
 narrow AS MATERIALIZED (SELECT s.*, o + m AS defects, {home} AS home, {expo(SEED, 'start', *DIRTY_KEY)} / (score + 1e-6::DOUBLE) AS start_draw,
   {u(SEED, 'row', *DIRTY_KEY)} AS row_draw FROM scored s {joins}),
 ranked AS (SELECT *, row_number() OVER (ORDER BY start_draw, {KEYS}) AS rn FROM narrow),
@@ -96,8 +97,8 @@ _pivots = " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS stream, p_{i} AS p
 _marked = f"JOIN (SELECT {KEYS}, h_0, h_1, h_2, h_3 FROM marked) h ON " + " AND ".join(f"h.{k} = s.{k}" for k in DIRTY_KEY)
 
 
-def _dag(weight="inverse"):
-    sql = chain_sql(f"CASE {_walk} ELSE 'uniform' END", _pivots, _marked, _priority, weight=weight)
+def _dag(weight="inverse", budget=B):
+    sql = chain_sql(f"CASE {_walk} ELSE 'uniform' END", _pivots, _marked, _priority, weight=weight, budget=budget)
     # inside ``narrow`` the key exists on both sides of the join
     draws = sql.index("narrow AS"), sql.index("ranked AS")
     body = sql[draws[0]:draws[1]]
@@ -115,6 +116,22 @@ def _estimate(sql: str) -> str:
     return sql + ("SELECT p.*, (SELECT n FROM size) AS n_records FROM (" + profile_sql("picked", MEASURED, NUMBERS, LINE_RULES, weight="w") + ") p")
 
 
+def single_runs_sql(method: str, budgets, levels) -> str:
+    """SELECT of (budget, clip_percentile, rates, sample_size): one chain per budget, each by itself, and every clip level."""
+    parts = []
+    for b in budgets:
+        sql = _dag(budget=b) if method == "dag" else chain_sql("'uniform'", UNIFORM, budget=b)
+        sql = sql[:sql.rindex("cap AS (")]
+        listed = " UNION ALL ".join(f"SELECT '{name}' AS clip_percentile, {'max(NULL::DOUBLE)' if p is None else f'quantile_cont(1.0 / (score + 1e-6::DOUBLE), {p})'} AS cap FROM kept"
+                                    for name, p in levels.items())
+        raw = "least(1.0 / (score + 1e-6::DOUBLE), coalesce(cap, 1.0 / (score + 1e-6::DOUBLE)))"
+        sql += (f"caps AS ({listed}), picked AS (SELECT kept.*, clip_percentile, {raw} / sum({raw}) OVER (PARTITION BY clip_percentile) AS w FROM kept CROSS JOIN caps) "
+                f"SELECT '{method}' AS method, {d(b)} AS budget, p.*, (SELECT n FROM size) AS n_records FROM ("
+                + profile_sql("picked", MEASURED, NUMBERS, LINE_RULES, ["clip_percentile"], weight="w", digits=None) + ") p")
+        parts.append(f"SELECT * FROM ({sql}) x")
+    return " UNION ALL ".join(parts)
+
+
 CHECKS = {
     "sample_mh": Check(_keys("metropolis_hastings"), MH + PICK),
     "sample_gibbs": Check(_keys("gibbs"), GIBBS + PICK),

@@ -9,6 +9,7 @@ from ..operators.storage import shared_folder
 from ..plans import experiments, progressive, results
 from ..sources.cache import parameter_key
 from .base import (DIRTY_CTE, DIRTY_KEY, LINE_RULES, MEASURED, NUMBERS, Check, d, dirty_lines, load, profile_sql, rounded, u)
+from .chain_checks import BATCH, single_runs_sql
 from .sample_checks import IMPORTANCE, SAMPLES, estimates_sql
 
 BUDGETS, SEEDS = (0.01, 0.02, 0.05, 0.1, 0.2), (42, 7)
@@ -73,6 +74,25 @@ def sampler_comparison(spark, folder):
     return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "n_sampled", "n_total", *named, *ERRORS)
 
 
+GUIDED_BUDGETS = (0.03, 0.06, 0.1)
+
+
+def clip_ablation(spark, folder):
+    """Five clip levels on guided samples of three budgets, all from the decisions of one chain."""
+    t = dirty_lines(spark, folder)
+    found = experiments.clip_ablation(t, GUIDED_BUDGETS, [42], profile_table(t), batch_size=BATCH)
+    named = [f"est_{i}" for i in INDICATORS]
+    return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "clip_percentile", "n_sampled", "n_total", *named, *ERRORS)
+
+
+def budget_curve(spark, folder):
+    """Errors by budget of two chains, each replayed from one run, beside uniform rows (wall times left out)."""
+    t = dirty_lines(spark, folder)
+    found = experiments.budget_curve(t, ["metropolis_hastings", "dag", "random_uniform"], GUIDED_BUDGETS, [42], profile_table(t), batch_size=BATCH)
+    named = [f"est_{i}" for i in INDICATORS]
+    return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "n_sampled", "n_total", *named, *ERRORS)
+
+
 def guided_against_uniform(spark, folder):
     """Wall times differ per run, so only the estimates of the condition runs are kept."""
     t = dirty_lines(spark, folder)
@@ -221,6 +241,12 @@ R = f"WITH results AS ({RESULTS_SQL}) "
 _grid = ("SELECT dataset, method, budget, seed FROM (SELECT DISTINCT l_returnflag AS dataset FROM lineitem) d CROSS JOIN (SELECT unnest(['F', 'O', 'X']) AS method) m "
          "CROSS JOIN (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE]) AS budget) b CROSS JOIN (SELECT unnest([1::BIGINT, 2::BIGINT, 9::BIGINT]) AS seed) s")
 
+_replayed = ("'dirty_lines' AS dataset, method, budget, 42 AS seed, {clip}e.sample_size AS n_sampled, e.n_records AS n_total, "
+             + ", ".join(f"round(e.{i}, 6) AS est_{i}" for i in INDICATORS) + f", {_error_columns()} FROM e CROSS JOIN truth t")
+_chain_curve = " UNION ALL ".join(f"SELECT * EXCLUDE (clip_percentile) FROM ({single_runs_sql(m, GUIDED_BUDGETS, {'95': 0.95})}) c" for m in ("metropolis_hastings", "dag"))
+_uniform_curve = (f"SELECT 'random_uniform' AS method, budget, c.* EXCLUDE (budget, seed), {_total} AS n_records FROM (WITH "
+                  f"{_curve(GUIDED_BUDGETS, (42,))} SELECT * FROM curve) c")
+
 CHECKS = {
     "progressive_curve": Check(progressive_curve, f"{D}{_curve(BUDGETS, SEEDS)}, {_truth} SELECT e.seed, e.budget, {_rates}, e.sample_size, {_total} AS n_records, {_error_columns()} FROM curve e CROSS JOIN truth t"),
     "curve_intervals": Check(curve_intervals, f"{D}{_curve(BUDGETS, SEEDS)}, l AS ({_long}) SELECT seed, budget, sample_size, indicator, round(value, 6) AS value, "
@@ -236,6 +262,8 @@ CHECKS = {
                               f"(SELECT method, budget, {_error_columns(digits=15)} FROM curve e CROSS JOIN truth t) x GROUP BY 2, 3"),
     "sampler_comparison": Check(sampler_comparison, f"{D}{_truth}, e AS ({estimates_sql((0.05, 0.1), SEEDS)}) SELECT 'dirty_lines' AS dataset, method, budget, seed, e.sample_size AS n_sampled, e.n_records AS n_total, "
                                 + ", ".join(f"round(e.{i}, 6) AS est_{i}" for i in INDICATORS) + f", {_error_columns()} FROM e CROSS JOIN truth t"),
+    "clip_ablation": Check(clip_ablation, f"{D}{_truth}, e AS ({single_runs_sql('dag', GUIDED_BUDGETS, _clips)}) SELECT {_replayed.format(clip='clip_percentile, ')}"),
+    "budget_curve": Check(budget_curve, f"{D}{_truth}, e AS ({_chain_curve} UNION ALL BY NAME {_uniform_curve}) SELECT {_replayed.format(clip='')}"),
     "guided_against_uniform": Check(guided_against_uniform),
     "condition_grid": Check(condition_grid, _grid),
     "resume_grid": Check(resume_grid, R + f"SELECT g.* FROM ({_grid}) g WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.dataset = g.dataset AND r.method = g.method AND r.seed = g.seed AND round(r.budget, 6) = round(g.budget, 6))"),

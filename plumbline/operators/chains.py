@@ -46,7 +46,7 @@ from .table import AuditTable
 UNIFORM, FORCED = "uniform", "forced"
 FORCED_SHARE = 0.2  # a forced batch is a quarter of a proposal: 1/4 : 1
 SEGMENT = 4096  # steps folded at a time
-DECISIONS = "stream string, chunk bigint"
+DECISIONS = "stream string, chunk bigint, entry bigint"
 
 
 @dataclass(frozen=True)
@@ -76,17 +76,21 @@ def dependency_guided(t: AuditTable, budget: float, seed=42, edges: DataFrame |
     above the median score.  ``uniform_weights`` estimates without inverse-score weights.
     """
     rules = CellRules.of(t)
-    if edges is None and not fitted:
-        proposals = high_score_proposals(rules, score_counts(t.df, rules)[None])
-    else:
-        priority = column_priority(t, pairwise_weights(t) if edges is None else edges)
-        proposals = extreme_proposals(t, pivot_distribution(priority, t.numeric), Draws(seed))
+    proposals = guided_proposals(t, rules, Draws(seed), edges, fitted)
     method = "dag_uniform" if uniform_weights else "dag"
     return _chain(t, budget, seed, method, proposals, rules, lam, batch_size, uniform_weights=uniform_weights, **options)
 
 
 # ---- proposal streams ----------------------------------------------------------------------------------------------
 
+def guided_proposals(t: AuditTable, rules: CellRules, draws: Draws, edges: DataFrame | None = None, fitted: bool = True) -> Proposals:
+    """Streams by dependency priority, or by score where there are no weights (``fitted=False`` and no ``edges``)."""
+    if edges is None and not fitted:
+        return high_score_proposals(rules, score_counts(t.df, rules)[None])
+    priority = column_priority(t, pairwise_weights(t) if edges is None else edges)
+    return extreme_proposals(t, pivot_distribution(priority, t.numeric), draws)
+
+
 def extreme_proposals(t: AuditTable, pivots: Sequence[tuple[str, float]], draws: Draws) -> Proposals:
     """Rows at or beyond the 5 % or 95 % quantile of a column, or not finite in it; several columns share by chance."""
     if not pivots:
@@ -154,9 +158,44 @@ class ChainState:
     accepted: int = 0
 
 
+@dataclass
+class Walk:
+    """A finished chain.  ``rows`` are the narrow rows it took; ``entry`` is how many rows it held before the step that took them."""
+
+    rows: DataFrame
+    n: int
+    goal: int
+    state: ChainState
+    # of every round that listed steps: rows at its begin, the bound on its steps that no goal moves, its decisions
+    rounds: list[tuple[int, int, DataFrame]] = field(default_factory=list)
+
+
+def chain_goal(n: int, budget: float, batch_size: int) -> int:
+    return min(n, max(batch_size, int(n * budget)))
+
+
 def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Proposals, rules: CellRules,
            lam: float | None, batch_size: int, uniform_weights: bool = False, segment: int = SEGMENT,
            algorithm: str = "md5") -> Sample:
+    keys = list(t.key_cols)
+    walk = walk_chain(t, budget, seed, proposals, rules, lam, batch_size, segment, algorithm)
+    picked, n, goal, state = materialise(walk.rows.drop("entry"), "picked"), walk.n, walk.goal, walk.state
+    if state.rows > goal:
+        _, trim = smallest(picked, F.col("row_draw"), keys, lambda _: goal)
+        picked = picked.where(trim.keeps(F.col("row_draw"), keys))
+    # the sampled keys fetch their rows; keys are unique, so no key is hot
+    rows = materialise(t.df.join(picked.select(*keys), keys, "left_semi"), method)
+    if uniform_weights:
+        rows = rows.withColumn(WEIGHT, F.lit(1.0 / max(goal, 1)))
+    else:
+        rows = with_inverse_weights(rows, rules)
+    total = min(goal, state.rows)
+    return Sample(t.with_rows(rows, total), n, total, method, WEIGHT, state.steps, state.accepted / max(state.steps, 1), kept=True)
+
+
+def walk_chain(t: AuditTable, budget: float, seed: int, proposals: Proposals, rules: CellRules, lam: float | None,
+               batch_size: int, segment: int = SEGMENT, algorithm: str = "md5") -> Walk:
+    """Warm start and steps until the budget is reached; the last step may go beyond it."""
     draws = Draws(seed, algorithm)
     cells = max(len(rules.columns), 1)
     keys = list(t.key_cols)
@@ -167,16 +206,19 @@ def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Prop
         *keys, (rules.outlying_cells() + rules.missing_cells()).cast("bigint").alias("defects"), start.alias("start"),
         proposals.stream.alias("home"), draws.uniform("row", *keys).alias("row_draw")), "chain")
     n, cut = smallest(narrow, F.col("start"), keys, lambda rows: min(batch_size, rows), spread=weight_spread)
-    goal = min(n, max(batch_size, int(n * budget)))
+    goal = chain_goal(n, budget, batch_size)
     in_start = cut.keeps(F.col("start"), keys)
     first = narrow.where(in_start).agg(F.coalesce(F.sum("defects"), F.lit(0)).alias("d"), F.count(F.lit(1)).alias("n")).first()
     state = ChainState(first["d"], first["n"])
 
-    pool, left, taken = narrow.where(~in_start), n - state.rows, [narrow.where(in_start)]
-    round_no = 0
+    began = F.lit(0).cast("bigint").alias("entry")
+    pool, left, taken = narrow.where(~in_start), n - state.rows, [narrow.where(in_start).select("*", began)]
+    round_no, rounds = 0, []
     while state.rows < goal and left > 0:
-        placed, decisions, used = _round(pool, left, keys, proposals, draws, lam, batch_size, goal, cells, state, round_no, segment)
-        taken.append(placed.join(decisions, ["stream", "chunk"], "left_semi").select(*narrow.columns))
+        placed, decisions, used, listed = _round(pool, left, keys, proposals, draws, lam, batch_size, goal, cells, state, round_no, segment)
+        rounds += listed
+        # a chunk is taken once, so the join repeats no row
+        taken.append(placed.join(decisions, ["stream", "chunk"]).select(*narrow.columns, "entry"))
         left -= used
         if state.rows < goal and left > 0:
             pool = materialise(placed.join(decisions, ["stream", "chunk"], "left_anti").select(*narrow.columns), "pool")
@@ -185,23 +227,12 @@ def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Prop
     picked = taken[0]
     for part in taken[1:]:
         picked = picked.unionByName(part)
-    picked = materialise(picked, "picked")
-    if state.rows > goal:
-        _, trim = smallest(picked, F.col("row_draw"), keys, lambda _: goal)
-        picked = picked.where(trim.keeps(F.col("row_draw"), keys))
-    # the sampled keys fetch their rows; keys are unique, so no key is hot
-    rows = materialise(t.df.join(picked.select(*keys), keys, "left_semi"), method)
-    if uniform_weights:
-        rows = rows.withColumn(WEIGHT, F.lit(1.0 / max(goal, 1)))
-    else:
-        rows = with_inverse_weights(rows, rules)
-    total = min(goal, state.rows)
-    return Sample(t.with_rows(rows, total), n, total, method, WEIGHT, state.steps, state.accepted / max(state.steps, 1), kept=True)
+    return Walk(picked, n, goal, state, rounds)
 
 
 def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, state, round_no, segment):
     """One pass over the pool: place rows, reduce chunks, list steps, fold.  Returns the placed pool, the taken chunks,
-    and how many rows they hold; updates ``state``."""
+    how many rows they hold, and the steps for ``Walk.rounds``; updates ``state``."""
     spark = pool.sparkSession
     forced_size = max(1, batch // 4)
     tag = f"pool{round_no}"
@@ -215,8 +246,8 @@ def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, stat
     per_stream = F.element_at(F.create_map(*[x for s, c in sorted(chunks.items()) for x in (F.lit(s), F.lit(c))]), F.col("stream"))
     placed = streamed.withColumn("chunk", F.floor(F.col("u_chunk") * per_stream).cast("bigint"))
 
-    n_steps = min(math.ceil((goal - state.rows) / forced_size), sum(c for s, c in chunks.items() if s != FORCED) or 1,
-                  chunks.get(FORCED, 1))
+    most = min(sum(c for s, c in chunks.items() if s != FORCED) or 1, chunks.get(FORCED, 1))
+    n_steps = min(math.ceil((goal - state.rows) / forced_size), most)
     steps = _steps(spark, n_steps, proposals.chances, chunks, draws, round_no, segment)
     batches = placed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("size"), F.sum("defects").alias("defects"))
     batches = batches.where(F.col("chunk") < n_steps)
@@ -226,14 +257,16 @@ def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, stat
     begin = (state.rows, state.steps)
     decisions = _segments(table, -(-n_steps // segment), state, goal, lam, cells)
     used = state.rows - begin[0]
-    taken = decisions.where("size > 0").select("stream", "chunk")
+    inside = Window.partitionBy("segment").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    decisions = decisions.withColumn("entry", F.col("entry_size") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    taken = decisions.where("size > 0").select("stream", "chunk", "entry")
     if used == 0:  # nothing but empty chunks were looked at: take one proposal chunk
         s, c = placed.where(F.col("stream") != FORCED).select("stream", "chunk").orderBy("stream", "chunk").first() or (FORCED, 0)
         row = placed.where((F.col("stream") == s) & (F.col("chunk") == c)).agg(F.count(F.lit(1)).alias("n"), F.sum("defects").alias("d")).first()
-        taken, used = small_table(spark, [(s, c)], DECISIONS), row["n"]
+        taken, used = small_table(spark, [(s, c, begin[0])], DECISIONS), row["n"]
         state.steps, state.accepted = state.steps + 1, state.accepted + 1
         state.rows, state.defects = state.rows + row["n"], state.defects + row["d"]
-    return placed, taken, used
+    return placed, taken, used, [(begin[0], most, decisions)]
 
 
 def _last_batch(pool, left, key_cols, draws, lam, forced_size, cells, state, round_no):
@@ -244,7 +277,7 @@ def _last_batch(pool, left, key_cols, draws, lam, forced_size, cells, state, rou
     rise = (row["d"] / left - state.defects / max(state.rows, 1)) / cells
     accept = lam is None or state.rows == 0 or math.log(u + 1e-12) < lam * rise
     stream = pool.withColumns({"stream": F.lit(UNIFORM), "chunk": F.lit(0).cast("bigint")})
-    used, defects = left, row["d"]
+    used, defects, begin = left, row["d"], state.rows
     if not accept and forced_size < left:
         _, cut = smallest(pool, draws.uniform(f"pool{round_no}", *key_cols), key_cols, lambda _: forced_size)
         kept = cut.keeps(draws.uniform(f"pool{round_no}", *key_cols), key_cols)
@@ -252,7 +285,7 @@ def _last_batch(pool, left, key_cols, draws, lam, forced_size, cells, state, rou
         got = stream.where("chunk = 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("defects"), F.lit(0)).alias("d")).first()
         used, defects = got["n"], got["d"]
     state.steps, state.accepted, state.rows, state.defects = state.steps + 1, state.accepted + int(accept), state.rows + used, state.defects + defects
-    return stream, small_table(spark, [(UNIFORM, 0)], DECISIONS), used
+    return stream, small_table(spark, [(UNIFORM, 0, begin)], DECISIONS), used, []
 
 
 def _numbered(steps: DataFrame, name: str, by: str) -> DataFrame:
@@ -284,7 +317,7 @@ def _steps(spark, n_steps: int, chances, chunks: dict, draws: Draws, round_no: i
 def _segments(table: DataFrame, n_segments: int, state: ChainState, goal: int, lam: float | None, cells: int) -> DataFrame:
     """Fold the steps until the goal is reached, all segments at once; updates ``state``.
 
-    Returns the decisions (step, stream, chunk, size, defects, accepted) of the steps used.
+    Returns the decisions (segment, entry_size, step, stream, chunk, size, defects, accepted) of the steps used.
     """
     columns = ["step", "offer", "visit", "u", "p_size", "p_defects", "f_size", "f_defects"]
     steps = F.array_sort(F.collect_list(F.struct(*columns)))
@@ -295,14 +328,14 @@ def _segments(table: DataFrame, n_segments: int, state: ChainState, goal: int, l
         exact = _corrected(folds, n_segments, state, goal, lam, cells)
         if n_segments == 1 or exact.where("again").isEmpty():  # the first segment's entry state is always exact
             break
-    used = exact.where(F.col("entry_size") < goal).select("segment", F.posexplode("decided").alias("place", "accepted"))
+    used = exact.where(F.col("entry_size") < goal).select("segment", "entry_size", F.posexplode("decided").alias("place", "accepted"))
     used = used.join(listed, "segment").withColumn("s", F.get("steps", F.col("place"))).drop("steps")
 
     def either(yes, no):
         return F.when(F.col("accepted"), yes).otherwise(no)
 
     decisions = materialise(used.select(
-        "s.step", either(F.col("s.offer"), F.lit(FORCED)).alias("stream"), either(F.col("s.visit"), F.col("s.step")).cast("bigint").alias("chunk"),
+        "segment", "entry_size", "s.step", either(F.col("s.offer"), F.lit(FORCED)).alias("stream"), either(F.col("s.visit"), F.col("s.step")).cast("bigint").alias("chunk"),
         either(F.col("s.p_size"), F.col("s.f_size")).cast("bigint").alias("size"),
         either(F.col("s.p_defects"), F.col("s.f_defects")).cast("bigint").alias("defects"), "accepted"), "decisions")
     row = decisions.agg(F.count(F.lit(1)).alias("steps"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "defects")],

@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.chains import dependency_guided
 from ..operators.dependency import constant_weights, pairwise_weights
 from ..operators.profile import INDICATORS, profile, profile_table, relative_error
 from ..operators.samplers import Sample
@@ -19,6 +18,7 @@ from ..sources import generate
 from .membership import CHAIN_FREE, membership
 from .progressive import nested_samples
 from .registry import CHAINS, GUIDED, PREFIX_SIZES, draw_sample
+from .replay import replay
 from .results import append_results, as_budget, condition_grid, read_results, remaining
 
 CLIPS = (None, 0.80, 0.90, 0.95, 0.99)
@@ -196,17 +196,32 @@ def clip_sweep(sample: Sample, truth: DataFrame, clips: Sequence[float | None] =
     return relative_error(p, truth)
 
 
-def clip_ablation(t: AuditTable, budgets, seeds, truth: DataFrame, clips=CLIPS) -> DataFrame:
-    """Clip sweep on guided samples over budgets and seeds."""
-    edges = materialise(pairwise_weights(t), "edges")
+def replayed_results(t: AuditTable, methods: Sequence[str], budgets: Sequence[float], seeds: Sequence[int], truth: DataFrame,
+                     clips: Sequence[float | None] = (0.95,), **options) -> DataFrame:
+    """All conditions of chains, from one chain per method and seed whose log is cut at every budget."""
+    edges = materialise(pairwise_weights(t), "edges") if set(methods) & set(GUIDED) else None
     parts = []
-    for b in budgets:
-        for s in seeds:
-            swept = clip_sweep(dependency_guided(t, b, s, edges=edges), truth, clips)
-            parts.append(swept.withColumns({"budget": F.lit(float(b)), "seed": F.lit(int(s))}))
+    for m in methods:
+        p = replay(t, budgets, seeds, m, edges=edges, **options).profile(clips)
+        parts.append(_as_result(relative_error(p, truth), t.name))
+    return _together(parts)
+
+
+def budget_curve(t: AuditTable, methods: Sequence[str], budgets: Sequence[float], seeds: Sequence[int], truth: DataFrame, **options) -> DataFrame:
+    """Errors by method, budget and seed: chains by replay, methods without a chain by one tagging scan."""
+    parts, free, walked = [], [m for m in methods if m in CHAIN_FREE], [m for m in methods if m in CHAINS]
+    if free:
+        parts.append(membership_results(t, free, budgets, seeds, truth))
+    if walked:
+        parts.append(replayed_results(t, walked, budgets, seeds, truth, **options).drop("clip_percentile"))
     return _together(parts)
 
 
+def clip_ablation(t: AuditTable, budgets, seeds, truth: DataFrame, clips=CLIPS, method: str = "dag", **options) -> DataFrame:
+    """Clip sweep on chain samples over budgets and seeds: one chain per seed, one grouped profile of all conditions."""
+    return replayed_results(t, [method], budgets, seeds, truth, clips, **options)
+
+
 def _together(parts: Sequence[DataFrame]) -> DataFrame:
     whole = parts[0]
     for p in parts[1:]:

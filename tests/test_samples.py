@@ -207,6 +207,30 @@ def test_membership_equals_single_samples(spark, table):
         membership(table, ["gibbs"], [0.1], [1])
 
 
+@pytest.mark.parametrize("method", ["metropolis_hastings", "gibbs", "dag"])
+def test_a_replayed_chain_equals_single_runs(table, method):
+    from plumbline.plans.replay import LABEL, replay
+    found = replay(table, [0.3, 0.05], [42, 7], method, batch_size=100)
+    assert len(found.conditions) == 4 and found.n_chains <= 4
+    for k, _, budget, seed, size in found.conditions:
+        alone = draw_sample(method, table, budget, seed, batch_size=100)
+        held = found.rows.where(F.col(LABEL) == k).select(*table.key_cols)
+        assert size == held.count() == alone.n_sampled
+        assert held.exceptAll(alone.df.select(*table.key_cols)).isEmpty()
+    with pytest.raises(ValueError):
+        replay(table, [0.1], [1], "cluster")
+
+
+def test_a_replay_knows_budgets_that_would_end_their_list_of_steps(spark):
+    """From row 100 on a goal of 200 lists ten steps of ten rows; twenty steps of five rows are more, five of twenty are not."""
+    from plumbline.plans.replay import _listed_too_few
+    state = chains.ChainState(0, 0)
+    for step, budgets in ((5, [0.2, 0.3]), (20, [])):
+        decisions = spark.range(100, 400, step).withColumnRenamed("id", "entry")
+        walk = chains.Walk(decisions, 1000, 400, state, [(100, 50, decisions)])
+        assert _listed_too_few(walk, [0.05, 0.2, 0.3], 40) == budgets
+
+
 def test_small_cluster_tables(spark):
     df = spark.range(12).selectExpr("id", "cast(id as double) v")
     for seed in range(5):
