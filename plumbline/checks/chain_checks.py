@@ -1,6 +1,8 @@
 """Chain samplers: the rows they end with and the profile they give, checked against a recursive query."""
 from __future__ import annotations
 
+import math
+
 from ..operators import chains
 from ..operators.profile import INDICATORS
 from .base import (DIRTY_CTE, DIRTY_KEY, LINE_RULES, MEASURED, NUMBERS, SCORED_CTE, Check, d, dirty_lines, expo,
@@ -116,6 +118,29 @@ def _estimate(sql: str) -> str:
     return sql + ("SELECT p.*, (SELECT n FROM size) AS n_records FROM (" + profile_sql("picked", MEASURED, NUMBERS, LINE_RULES, weight="w") + ") p")
 
 
+def batch_sweep_sql(method: str, batches) -> str:
+    """SELECT of (method, batch_size, rates, sizes): each batch size over the leaves that all of them share."""
+    unit, forced_unit, parts = math.gcd(*batches), math.gcd(*[b // 4 for b in batches]), []
+    for b in batches:
+        sql = _dag() if method == "dag" else MH
+        begin, end = sql.index("streamed AS ("), sql.index("batches AS (")
+        per = f"CASE WHEN stream = 'forced' THEN {b // 4 // forced_unit} ELSE {b // unit} END"
+        placing = f"""streamed AS (SELECT *, CASE WHEN {u(SEED, 'pool0', *DIRTY_KEY)} < 0.2 THEN 'forced' ELSE home END AS stream FROM ranked),
+leaves AS (SELECT stream, greatest(1, count(*) // CASE WHEN stream = 'forced' THEN {forced_unit} ELSE {unit} END) AS n_leaves FROM streamed GROUP BY stream),
+chunks AS (SELECT stream, (n_leaves + {per} - 1) // {per} AS n_chunks FROM leaves),
+placed AS MATERIALIZED (SELECT t.*, CAST(floor({u(SEED, 'pool0', *DIRTY_KEY, half=1)} * n_leaves) AS BIGINT) // {per} AS chunk FROM streamed t JOIN leaves USING (stream) WHERE rn > {BATCH}),
+"""
+        sql = sql[:begin] + placing + sql[end:]
+        for old, new in ((f"greatest({BATCH}, CAST", f"greatest({b}, CAST"), (f"rn > {BATCH})", f"rn > {b})"), (f"rn <= {BATCH}", f"rn <= {b}"),
+                         (f"(goal - {BATCH}) / {FORCED}.0", f"(goal - {b}) / {b // 4}.0")):
+            assert old in sql, old
+            sql = sql.replace(old, new)
+        sql += (f"SELECT '{method}' AS method, {b} AS batch_size, p.*, (SELECT n FROM size) AS n_records FROM ("
+                + profile_sql("picked", MEASURED, NUMBERS, LINE_RULES, weight="w", digits=None) + ") p")
+        parts.append(f"SELECT * FROM ({sql}) x")
+    return " UNION ALL ".join(parts)
+
+
 def single_runs_sql(method: str, budgets, levels) -> str:
     """SELECT of (budget, clip_percentile, rates, sample_size): one chain per budget, each by itself, and every clip level."""
     parts = []

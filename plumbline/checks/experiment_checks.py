@@ -9,7 +9,7 @@ from ..operators.storage import shared_folder
 from ..plans import experiments, progressive, results
 from ..sources.cache import parameter_key
 from .base import (DIRTY_CTE, DIRTY_KEY, LINE_RULES, MEASURED, NUMBERS, Check, d, dirty_lines, load, profile_sql, rounded, u)
-from .chain_checks import BATCH, single_runs_sql
+from .chain_checks import BATCH, batch_sweep_sql, single_runs_sql
 from .sample_checks import IMPORTANCE, SAMPLES, estimates_sql
 
 BUDGETS, SEEDS = (0.01, 0.02, 0.05, 0.1, 0.2), (42, 7)
@@ -93,6 +93,17 @@ def budget_curve(spark, folder):
     return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "n_sampled", "n_total", *named, *ERRORS)
 
 
+BATCHES = (100, 200, 400, 1000)
+
+
+def batch_size_sweep(spark, folder):
+    """Errors of two chains at four batch sizes, from one count of leaves per chain."""
+    t = dirty_lines(spark, folder)
+    found = experiments.batch_sizes(t, BATCHES, ["metropolis_hastings", "dag"], 0.1, [42], profile_table(t))
+    named = [f"est_{i}" for i in INDICATORS]
+    return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "batch_size", "n_sampled", "n_total", *named, *ERRORS)
+
+
 def guided_against_uniform(spark, folder):
     """Wall times differ per run, so only the estimates of the condition runs are kept."""
     t = dirty_lines(spark, folder)
@@ -264,6 +275,8 @@ CHECKS = {
                                 + ", ".join(f"round(e.{i}, 6) AS est_{i}" for i in INDICATORS) + f", {_error_columns()} FROM e CROSS JOIN truth t"),
     "clip_ablation": Check(clip_ablation, f"{D}{_truth}, e AS ({single_runs_sql('dag', GUIDED_BUDGETS, _clips)}) SELECT {_replayed.format(clip='clip_percentile, ')}"),
     "budget_curve": Check(budget_curve, f"{D}{_truth}, e AS ({_chain_curve} UNION ALL BY NAME {_uniform_curve}) SELECT {_replayed.format(clip='')}"),
+    "batch_size_sweep": Check(batch_size_sweep, f"{D}{_truth}, e AS (SELECT *, 0.1::DOUBLE AS budget FROM ({batch_sweep_sql('metropolis_hastings', BATCHES)} UNION ALL {batch_sweep_sql('dag', BATCHES)}) q) "
+                              f"SELECT {_replayed.format(clip='batch_size, ')}"),
     "guided_against_uniform": Check(guided_against_uniform),
     "condition_grid": Check(condition_grid, _grid),
     "resume_grid": Check(resume_grid, R + f"SELECT g.* FROM ({_grid}) g WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.dataset = g.dataset AND r.method = g.method AND r.seed = g.seed AND round(r.budget, 6) = round(g.budget, 6))"),

@@ -200,28 +200,43 @@ def walk_chain(t: AuditTable, budget: float, seed: int, proposals: Proposals, ru
     cells = max(len(rules.columns), 1)
     keys = list(t.key_cols)
 
-    # every draw and score once per row, in a narrow table that all later passes read
-    start = draws.exponential("start", *keys) / (rules.score() + EPSILON)
-    narrow = materialise(t.df.select(
-        *keys, (rules.outlying_cells() + rules.missing_cells()).cast("bigint").alias("defects"), start.alias("start"),
-        proposals.stream.alias("home"), draws.uniform("row", *keys).alias("row_draw")), "chain")
+    narrow = materialise(narrow_rows(t, proposals, rules, draws), "chain")
     n, cut = smallest(narrow, F.col("start"), keys, lambda rows: min(batch_size, rows), spread=weight_spread)
     goal = chain_goal(n, budget, batch_size)
     in_start = cut.keeps(F.col("start"), keys)
     first = narrow.where(in_start).agg(F.coalesce(F.sum("defects"), F.lit(0)).alias("d"), F.count(F.lit(1)).alias("n")).first()
     state = ChainState(first["d"], first["n"])
 
-    began = F.lit(0).cast("bigint").alias("entry")
-    pool, left, taken = narrow.where(~in_start), n - state.rows, [narrow.where(in_start).select("*", began)]
+    warm = narrow.where(in_start)
+    return steps_to_goal(narrow.where(~in_start), warm, n, goal, state, keys, proposals, draws, lam, batch_size, cells, segment)
+
+
+def narrow_rows(t: AuditTable, proposals: Proposals, rules: CellRules, draws: Draws) -> DataFrame:
+    """Every draw and score once per row, in a narrow table that all later passes read."""
+    keys = list(t.key_cols)
+    start = draws.exponential("start", *keys) / (rules.score() + EPSILON)
+    return t.df.select(
+        *keys, (rules.outlying_cells() + rules.missing_cells()).cast("bigint").alias("defects"), start.alias("start"),
+        proposals.stream.alias("home"), draws.uniform("row", *keys).alias("row_draw"))
+
+
+def steps_to_goal(pool: DataFrame, warm: DataFrame, n: int, goal: int, state: ChainState, keys: list[str], proposals: Proposals, draws: Draws,
+                  lam: float | None, batch_size: int, cells: int, segment: int = SEGMENT, first_round=None) -> Walk:
+    """Rounds over the pool until the goal is reached; ``first_round(state)`` replaces the first one."""
+    columns = [*keys, "defects", "start", "home", "row_draw"]
+    taken, left = [warm.select(*columns, F.lit(0).cast("bigint").alias("entry"))], n - state.rows
     round_no, rounds = 0, []
     while state.rows < goal and left > 0:
-        placed, decisions, used, listed = _round(pool, left, keys, proposals, draws, lam, batch_size, goal, cells, state, round_no, segment)
+        if first_round is not None and round_no == 0 and left > batch_size:
+            placed, decisions, used, listed = first_round(state)
+        else:
+            placed, decisions, used, listed = _round(pool, left, keys, proposals, draws, lam, batch_size, goal, cells, state, round_no, segment)
         rounds += listed
         # a chunk is taken once, so the join repeats no row
-        taken.append(placed.join(decisions, ["stream", "chunk"]).select(*narrow.columns, "entry"))
+        taken.append(placed.join(decisions, ["stream", "chunk"]).select(*columns, "entry"))
         left -= used
         if state.rows < goal and left > 0:
-            pool = materialise(placed.join(decisions, ["stream", "chunk"], "left_anti").select(*narrow.columns), "pool")
+            pool = materialise(placed.join(decisions, ["stream", "chunk"], "left_anti").select(*columns), "pool")
         round_no += 1
 
     picked = taken[0]
@@ -233,7 +248,6 @@ def walk_chain(t: AuditTable, budget: float, seed: int, proposals: Proposals, ru
 def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, state, round_no, segment):
     """One pass over the pool: place rows, reduce chunks, list steps, fold.  Returns the placed pool, the taken chunks,
     how many rows they hold, and the steps for ``Walk.rounds``; updates ``state``."""
-    spark = pool.sparkSession
     forced_size = max(1, batch // 4)
     tag = f"pool{round_no}"
     if left <= batch:
@@ -246,10 +260,17 @@ def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, stat
     per_stream = F.element_at(F.create_map(*[x for s, c in sorted(chunks.items()) for x in (F.lit(s), F.lit(c))]), F.col("stream"))
     placed = streamed.withColumn("chunk", F.floor(F.col("u_chunk") * per_stream).cast("bigint"))
 
+    batches = placed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("size"), F.sum("defects").alias("defects"))
+    return take_chunks(placed, batches, chunks, proposals, draws, lam, forced_size, goal, cells, state, round_no, segment)
+
+
+def take_chunks(placed: DataFrame, batches: DataFrame, chunks: dict[str, int], proposals: Proposals, draws: Draws, lam: float | None,
+                forced_size: int, goal: int, cells: int, state: ChainState, round_no: int, segment: int):
+    """List the steps over placed rows and fold them; ``batches`` are the sums of the chunks, ``chunks`` their number per stream."""
+    spark = placed.sparkSession
     most = min(sum(c for s, c in chunks.items() if s != FORCED) or 1, chunks.get(FORCED, 1))
     n_steps = min(math.ceil((goal - state.rows) / forced_size), most)
     steps = _steps(spark, n_steps, proposals.chances, chunks, draws, round_no, segment)
-    batches = placed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("size"), F.sum("defects").alias("defects"))
     batches = batches.where(F.col("chunk") < n_steps)
     offered = batches.select(F.col("stream").alias("offer"), F.col("chunk").alias("visit"), F.col("size").alias("p_size"), F.col("defects").alias("p_defects"))
     spare = batches.where(F.col("stream") == FORCED).select(F.col("chunk").alias("step"), F.col("size").alias("f_size"), F.col("defects").alias("f_defects"))

@@ -18,7 +18,7 @@ from ..sources import generate
 from .membership import CHAIN_FREE, membership
 from .progressive import nested_samples
 from .registry import CHAINS, GUIDED, PREFIX_SIZES, draw_sample
-from .replay import replay
+from .replay import batch_sweep, replay
 from .results import append_results, as_budget, condition_grid, read_results, remaining
 
 CLIPS = (None, 0.80, 0.90, 0.95, 0.99)
@@ -178,11 +178,14 @@ def weighting_ablation(tables: Mapping[str, AuditTable], budgets, seeds, path: s
     return run_grid(tables, ["dag", "dag_uniform", "random_uniform"], budgets, seeds, path)
 
 
-def batch_sizes(t: AuditTable, sizes: Sequence[int], methods, budget: float, seeds) -> DataFrame:
-    """Errors of chain samplers by batch size."""
-    truth = materialise(profile_table(t), "truth")
-    parts = [run_condition(t, m, budget, s, truth, batch_size=b).withColumn("batch_size", F.lit(b))
-             for b in sizes for m in methods for s in seeds]
+def batch_sizes(t: AuditTable, sizes: Sequence[int], methods, budget: float, seeds, truth: DataFrame | None = None, **options) -> DataFrame:
+    """Errors of chain samplers by batch size, from one chunk tree per method and seed."""
+    truth = materialise(profile_table(t), "truth") if truth is None else truth
+    edges = materialise(pairwise_weights(t), "edges") if set(methods) & set(GUIDED) else None
+    parts = []
+    for m in methods:
+        p = batch_sweep(t, sizes, budget, seeds, m, edges=edges, **options).profile().drop("clip_percentile")
+        parts.append(_as_result(relative_error(p, truth), t.name))
     return _together(parts)
 
 

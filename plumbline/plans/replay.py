@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import Draws
 from ..operators.chains import Proposals, Walk, chain_goal, decile_proposals, guided_proposals, walk_chain
+from ..operators.chunk_tree import plant, walk_tree
 from ..operators.profile import profile
 from ..operators.samplers import WEIGHT
 from ..operators.score import CellRules, clip_sweep_weights, score_counts
@@ -41,9 +42,10 @@ class Replay:
     table: AuditTable
     method: str
     rows: DataFrame  # the columns of the table and LABEL
-    conditions: tuple[tuple[int, str, float, int, int], ...]  # number, method, budget, seed, rows
+    conditions: tuple[tuple, ...]  # number, method, budget, seed, rows, and more as ``schema`` says
     n_total: int
     n_chains: int
+    schema: str = CONDITION
 
     def profile(self, clips: Sequence[float | None] = (0.95,)) -> DataFrame:
         """Rates per budget, seed and clip level of the inverse-score weights; ``dag_uniform`` has no weights to clip."""
@@ -56,9 +58,9 @@ class Replay:
             for k, counts in score_counts(self.rows, rules, label).items():
                 weights = F.when(label == k, clip_sweep_weights(rules.score(), counts, clips)).otherwise(weights)
         weighted = self.rows.select(LABEL, *t.measured, F.inline(weights))
-        emitted = sum(size for *_, size in self.conditions) * len(clips)
+        emitted = sum(c[4] for c in self.conditions) * len(clips)
         p = profile(weighted, t.measured, t.rules, weight=WEIGHT, group=[LABEL, "clip_percentile"], rows=emitted).drop("sample_size")
-        listed = small_table(self.rows.sparkSession, self.conditions, CONDITION)
+        listed = small_table(self.rows.sparkSession, self.conditions, self.schema)
         joined = p.join(F.broadcast(listed), p[LABEL] == listed["condition"]).drop(LABEL, "condition")
         return joined.withColumn("n_records", F.lit(self.n_total).cast("bigint"))
 
@@ -89,12 +91,41 @@ def replay(t: AuditTable, budgets: Sequence[float], seeds: Sequence[int], method
             picked, sizes = _cut(w, held, keys, batch_size, len(conditions))
             parts.append(picked)
             conditions += [(len(conditions) + i, method, b, seed, size) for i, (b, size) in enumerate(zip(held, sizes))]
+    return Replay(t, method, _fetched(t, parts), tuple(conditions), n, chains)
+
+
+def batch_sweep(t: AuditTable, batches: Sequence[int], budget: float, seeds: Sequence[int], method: str = "dag", edges: DataFrame | None = None,
+                lam: float = 2.0, **options) -> Replay:
+    """Samples of one budget by batch size, from one chunk tree per seed; ``batch_size`` is a column of the profile.
+
+    The tree cuts streams a little otherwise than a chain of one batch size does, so samples equal those of ``draw_sample``
+    in distribution only.
+    """
+    if method not in CHAIN_PROPOSALS:
+        raise ValueError(f"not a chain: {method!r}; known: {sorted(CHAIN_PROPOSALS)}")
+    if not batches or not seeds:
+        raise ValueError("no batch size or no seed")
+    propose, by_score = CHAIN_PROPOSALS[method]
+    rules, keys, batches = CellRules.of(t), list(t.key_cols), sorted(dict.fromkeys(int(b) for b in batches))
+    parts, conditions, n = [], [], 0
+    for seed in dict.fromkeys(int(s) for s in seeds):
+        proposals = propose(t, rules, Draws(seed), edges)
+        tree = plant(t, batches, seed, proposals, rules)
+        n = tree.n
+        for b in batches:
+            walk = walk_tree(tree, b, budget, seed, keys, proposals, rules, lam if by_score else None, **options)
+            picked, sizes = _cut(walk, [budget], keys, b, len(conditions))
+            parts.append(picked)
+            conditions.append((len(conditions), method, float(budget), seed, sizes[0], b))
+    return Replay(t, method, _fetched(t, parts), tuple(conditions), n, len(conditions), CONDITION + ", batch_size int")
+
+
+def _fetched(t: AuditTable, parts: Sequence[DataFrame]) -> DataFrame:
+    """The sampled rows; keys are unique in the table and in every condition, so no key is hot."""
     picked = parts[0]
     for part in parts[1:]:
         picked = picked.unionByName(part)
-    # keys are unique in the table and in every condition, so no key is hot
-    rows = materialise(t.df.join(picked, keys), "replay")
-    return Replay(t, method, rows, tuple(conditions), n, chains)
+    return materialise(t.df.join(picked, list(t.key_cols)), "replay")
 
 
 def _listed_too_few(walk: Walk, budgets: Sequence[float], batch_size: int) -> list[float]:

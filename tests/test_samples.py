@@ -231,6 +231,32 @@ def test_a_replay_knows_budgets_that_would_end_their_list_of_steps(spark):
         assert _listed_too_few(walk, [0.05, 0.2, 0.3], 40) == budgets
 
 
+def test_chunks_of_every_batch_size_are_sums_of_leaves(table):
+    from plumbline.operators.chunk_tree import plant
+    from plumbline.operators.score import CellRules
+    batches = [40, 80, 120]
+    tree = plant(table, batches, 42, chains.Proposals(), CellRules.of(table))
+    assert (tree.unit, tree.forced_unit, tree.n) == (40, 10, table.rows)
+    for b in batches:
+        placed = tree.rows.withColumn("chunk", tree.chunk(b))
+        direct = placed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("size"), F.sum("defects").alias("defects"))
+        merged = tree.leaves.groupBy("stream", tree.chunk(b).alias("chunk")).agg(F.sum("size").alias("size"), F.sum("defects").alias("defects"))
+        assert direct.exceptAll(merged).isEmpty() and merged.exceptAll(direct).isEmpty()
+        assert {r["stream"]: r["n"] for r in placed.groupBy("stream").agg((F.max("chunk") + 1).alias("n")).collect()}.items() <= tree.n_chunks(b).items()
+        assert tree.rows.where(tree.starts[b].keeps(F.col("start"), list(table.key_cols))).count() == b
+
+
+def test_a_batch_sweep_reaches_the_budget_for_every_batch_size(table):
+    """Half of the table is more than one pass over the pool gives, so chains go on after the tree."""
+    from plumbline.plans.replay import LABEL, batch_sweep
+    found = batch_sweep(table, [120, 80], 0.5, [42], "metropolis_hastings")
+    assert [(c[4], c[5]) for c in found.conditions] == [(table.rows // 2, 80), (table.rows // 2, 120)]
+    keys = found.rows.select(LABEL, *table.key_cols)
+    assert keys.count() == keys.distinct().count() == 2 * (table.rows // 2)
+    with pytest.raises(ValueError):
+        batch_sweep(table, [], 0.1, [1])
+
+
 def test_small_cluster_tables(spark):
     df = spark.range(12).selectExpr("id", "cast(id as double) v")
     for seed in range(5):
