@@ -255,8 +255,13 @@ _grid = ("SELECT dataset, method, budget, seed FROM (SELECT DISTINCT l_returnfla
 _replayed = ("'dirty_lines' AS dataset, method, budget, 42 AS seed, {clip}e.sample_size AS n_sampled, e.n_records AS n_total, "
              + ", ".join(f"round(e.{i}, 6) AS est_{i}" for i in INDICATORS) + f", {_error_columns()} FROM e CROSS JOIN truth t")
 _chain_curve = " UNION ALL ".join(f"SELECT * EXCLUDE (clip_percentile) FROM ({single_runs_sql(m, GUIDED_BUDGETS, {'95': 0.95})}) c" for m in ("metropolis_hastings", "dag"))
-_uniform_curve = (f"SELECT 'random_uniform' AS method, budget, c.* EXCLUDE (budget, seed), {_total} AS n_records FROM (WITH "
-                  f"{_curve(GUIDED_BUDGETS, (42,))} SELECT * FROM curve) c")
+
+
+def _uniform_curve(budgets):
+    return f"SELECT 'random_uniform' AS method, budget, c.* EXCLUDE (budget, seed), {_total} AS n_records FROM (WITH {_curve(budgets, (42,))} SELECT * FROM curve) c"
+
+
+_two = f"SELECT * EXCLUDE (clip_percentile) FROM ({single_runs_sql('dag', (0.1,), {'95': 0.95})}) c UNION ALL BY NAME {_uniform_curve((0.1,))}"
 
 CHECKS = {
     "progressive_curve": Check(progressive_curve, f"{D}{_curve(BUDGETS, SEEDS)}, {_truth} SELECT e.seed, e.budget, {_rates}, e.sample_size, {_total} AS n_records, {_error_columns()} FROM curve e CROSS JOIN truth t"),
@@ -274,10 +279,10 @@ CHECKS = {
     "sampler_comparison": Check(sampler_comparison, f"{D}{_truth}, e AS ({estimates_sql((0.05, 0.1), SEEDS)}) SELECT 'dirty_lines' AS dataset, method, budget, seed, e.sample_size AS n_sampled, e.n_records AS n_total, "
                                 + ", ".join(f"round(e.{i}, 6) AS est_{i}" for i in INDICATORS) + f", {_error_columns()} FROM e CROSS JOIN truth t"),
     "clip_ablation": Check(clip_ablation, f"{D}{_truth}, e AS ({single_runs_sql('dag', GUIDED_BUDGETS, _clips)}) SELECT {_replayed.format(clip='clip_percentile, ')}"),
-    "budget_curve": Check(budget_curve, f"{D}{_truth}, e AS ({_chain_curve} UNION ALL BY NAME {_uniform_curve}) SELECT {_replayed.format(clip='')}"),
+    "budget_curve": Check(budget_curve, f"{D}{_truth}, e AS ({_chain_curve} UNION ALL BY NAME {_uniform_curve(GUIDED_BUDGETS)}) SELECT {_replayed.format(clip='')}"),
     "batch_size_sweep": Check(batch_size_sweep, f"{D}{_truth}, e AS (SELECT *, 0.1::DOUBLE AS budget FROM ({batch_sweep_sql('metropolis_hastings', BATCHES)} UNION ALL {batch_sweep_sql('dag', BATCHES)}) q) "
                               f"SELECT {_replayed.format(clip='batch_size, ')}"),
-    "guided_against_uniform": Check(guided_against_uniform),
+    "guided_against_uniform": Check(guided_against_uniform, f"{D}{_truth}, e AS ({_two}) SELECT 'dirty_lines' AS dataset, method, budget, 42 AS seed, e.sample_size AS n_sampled, {_error_columns(digits=5)} FROM e CROSS JOIN truth t"),
     "condition_grid": Check(condition_grid, _grid),
     "resume_grid": Check(resume_grid, R + f"SELECT g.* FROM ({_grid}) g WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.dataset = g.dataset AND r.method = g.method AND r.seed = g.seed AND round(r.budget, 6) = round(g.budget, 6))"),
     "results_summary": Check(results_summary, R + "SELECT dataset, method, round(avg(rel_err_mean), 6) AS rel_err_mean FROM results GROUP BY 1, 2"),

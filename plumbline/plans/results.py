@@ -1,17 +1,20 @@
-"""The results table: one row per finished condition, appended batch by batch, merged, resumed and reported."""
+"""The results table: one row per finished condition, appended batch by batch, merged, resumed and reported.
+
+Stored results are a log of versions (``sources.versions``): whatever step a writer dies at, readers see the results before or after.
+"""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.profile import INDICATORS
-from ..sources.cache import delete_path, move_path, path_exists
+from ..sources import versions
 
 # fixed values: the columns of the results table
 CONDITION = ("dataset", "method", "budget", "seed")
+MANY_FOLDERS = 64  # appends beyond this many data folders compact them
 ERRORS = tuple(f"rel_err_{i}" for i in INDICATORS) + ("rel_err_mean", "rel_err_abs_mean")
 
 
@@ -43,20 +46,31 @@ def remaining(grid: DataFrame, results: DataFrame, on: Sequence[str] = CONDITION
 # ---- storage -------------------------------------------------------------------------------------------------------
 
 def write_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("dataset").parquet(path)
+    """Store ``rows`` in place of whatever is there."""
+    folder = versions.write_folder(rows, path, "dataset")
+    versions.change(rows.sparkSession, path, lambda _: [folder])
 
 
 def append_results(rows: DataFrame, path: str) -> None:
-    """Add finished conditions; a failed write leaves the earlier ones untouched."""
-    rows.write.mode("append").partitionBy("dataset").parquet(path)
+    """Add finished conditions; a failed write leaves the earlier ones untouched, and appends at one time lose nothing."""
+    spark, folder = rows.sparkSession, versions.write_folder(rows, path, "dataset")
+    versions.change(spark, path, lambda folders: [*folders, folder])
+    if len(versions.latest(spark, path)[1]) > MANY_FOLDERS:
+        compact_results(spark, path)
+
+
+def compact_results(spark: SparkSession, path: str) -> None:
+    """Bring the data folders of the newest version together in one."""
+    def merged(folders: list[str]) -> list[str]:
+        return folders if len(folders) < 2 else [versions.write_folder(versions.read_folders(spark, path, folders), path, "dataset")]
+
+    versions.change(spark, path, merged)
 
 
 def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The results so far, or None before the first append."""
-    if not path_exists(spark, path):
-        return None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.option("mergeSchema", schema is None).parquet(path)
+    _, folders = versions.latest(spark, path)
+    return versions.read_folders(spark, path, folders, schema) if folders else None
 
 
 def append_merge(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -69,22 +83,14 @@ def replace_merge(old: DataFrame, new: DataFrame, method: str) -> DataFrame:
 
 
 def replace_results(rows: DataFrame, path: str, method: str) -> None:
-    """Replace the rows of one method in the stored results.
-
-    The merged table is written to a folder beside ``path`` and takes its place when it is complete, so the earlier
-    results are there, whole, whatever fails before that.
-    """
+    """Replace the rows of one method in the stored results: the merged table is a new version, the old one stays as it is."""
     spark = rows.sparkSession
-    old = read_results(spark, path)
-    merged = rows if old is None else replace_merge(old, rows, method)
-    fresh, spare = f"{path.rstrip('/')}-new-{uuid.uuid4().hex[:12]}", f"{path.rstrip('/')}-old-{uuid.uuid4().hex[:12]}"
-    write_results(merged, fresh)
-    if old is not None:
-        move_path(spark, path, spare)
-    move_path(spark, fresh, path)
-    if old is not None:
-        delete_path(spark, spare)
-    spark.catalog.refreshByPath(path)
+
+    def merged(folders: list[str]) -> list[str]:
+        found = rows if not folders else replace_merge(versions.read_folders(spark, path, folders), rows, method)
+        return [versions.write_folder(found, path, "dataset")]
+
+    versions.change(spark, path, merged)
 
 
 # ---- reports -------------------------------------------------------------------------------------------------------

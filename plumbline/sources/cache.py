@@ -24,12 +24,6 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def move_path(spark: SparkSession, source: str, target: str) -> None:
-    files, path = _file_system(spark, source)
-    if not files.rename(path, spark._jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"could not move {source} to {target}")
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     files, target = _file_system(spark, path)
     files.delete(target, True)

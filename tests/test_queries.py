@@ -11,7 +11,7 @@ from plumbline.checks import all_checks
 from plumbline.checks.base import dirty_lines
 from plumbline.operators.samplers import random_uniform
 from plumbline.plans import experiments, results
-from plumbline.sources import cache, catalog
+from plumbline.sources import cache, catalog, versions
 
 TABLES = "nation region customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKS = all_checks()
@@ -131,3 +131,55 @@ def test_a_failed_replacement_keeps_the_results(spark, tmp_path):
     assert results.read_results(spark, path).count() == 2
     results.replace_results(rows.where("method = 'a'").withColumn("rel_err_mean", F.lit(5.0)), path, "a")
     assert sorted((r["method"], r["rel_err_mean"]) for r in results.read_results(spark, path).collect()) == [("a", 5.0), ("b", 2.0)]
+
+
+def _stored(spark, path):
+    return sorted((r["method"], r["rel_err_mean"]) for r in results.read_results(spark, path).collect())
+
+
+@pytest.mark.parametrize("step", ["write_folder", "commit", "half a manifest"])
+def test_a_writer_may_die_at_any_step(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("d", "a", 1.0), ("d", "b", 2.0)], "dataset string, method string, rel_err_mean double")
+    more = rows.where("method = 'a'").withColumn("rel_err_mean", F.lit(5.0))
+    results.append_results(rows, path)
+    real = {name: getattr(versions, name) for name in ("write_folder", "commit")}
+
+    def dies(*arguments):
+        if step == "half a manifest":
+            (tmp_path / "results" / "log" / f"{arguments[2]:012d}.json").write_text('{"folders": ["data_f')
+        elif step == "write_folder":
+            real[step](*arguments)
+        raise KeyboardInterrupt
+
+    for write in (lambda: results.replace_results(more, path, "a"), lambda: results.append_results(more, path), lambda: results.write_results(more, path)):
+        monkeypatch.setattr(versions, "write_folder" if step == "write_folder" else "commit", dies)
+        with pytest.raises(KeyboardInterrupt):
+            write()
+        assert _stored(spark, path) == [("a", 1.0), ("b", 2.0)]
+        for name, function in real.items():
+            monkeypatch.setattr(versions, name, function)
+    results.replace_results(more, path, "a")
+    assert _stored(spark, path) == [("a", 5.0), ("b", 2.0)]
+    assert versions.vacuum(spark, path) and _stored(spark, path) == [("a", 5.0), ("b", 2.0)]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """Between the reading of a version and its commit another writer appends; many folders are compacted."""
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("d", "a", 1.0)], "dataset string, method string, rel_err_mean double")
+    results.append_results(rows, path)
+    real, other = versions.commit, [rows.withColumn("method", F.lit("b"))]
+
+    def late(*arguments):
+        if other:
+            results.append_results(other.pop(), path)
+        return real(*arguments)
+
+    monkeypatch.setattr(versions, "commit", late)
+    results.replace_results(rows.withColumn("rel_err_mean", F.lit(3.0)), path, "a")
+    assert _stored(spark, path) == [("a", 3.0), ("b", 2.0 - 1.0)]
+    monkeypatch.setattr(results, "MANY_FOLDERS", 2)
+    for method in "cde":
+        results.append_results(rows.withColumn("method", F.lit(method)), path)
+    assert [m for m, _ in _stored(spark, path)] == list("abcde") and len(versions.latest(spark, path)[1]) <= 2
