@@ -5,7 +5,8 @@ from importlib import import_module
 
 from .base import Check
 
-MODULES = ("profile_checks", "sample_checks", "chain_checks", "inject_checks", "dependency_checks", "source_checks", "experiment_checks")
+MODULES = ("profile_checks", "sample_checks", "chain_checks", "inject_checks", "dependency_checks", "source_checks", "experiment_checks",
+           "overlay_checks")
 
 
 def all_checks() -> dict[str, Check]:

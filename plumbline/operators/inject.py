@@ -7,7 +7,7 @@ with-replacement draw reaches.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,15 @@ def inject_duplicates(df: DataFrame, rate: float, key_cols: Sequence[str], seed=
     originals = df if COPY_NO in df.columns else df.withColumn(COPY_NO, F.lit(0))
     if n == 0 or m <= 0:
         return originals
+    arrived, early = copy_arrivals(source, n, m, key_cols, seed)
+    names = [*key_cols, COPY_NO]
+    _, cut = smallest(arrived, F.col("arrival"), names, lambda _: m, spread=early)
+    extra = arrived.where(cut.keeps(F.col("arrival"), names)).drop("arrival")
+    return originals.unionByName(extra)
+
+
+def copy_arrivals(source: DataFrame, n: int, m: int, key_cols: Sequence[str], seed=42) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Copies of the ``n`` rows of ``source`` with their ``arrival``, the first ``m`` among them, and a map of arrivals into [0, 1)."""
     horizon = (m + 12 * math.sqrt(m) + 40) / n  # the m-th arrival is earlier, save for odds below 1e-14
     deepest = _poisson_depth(horizon, n)
     draws = _draws(seed)
@@ -66,11 +75,7 @@ def inject_duplicates(df: DataFrame, rate: float, key_cols: Sequence[str], seed=
     arrived = source.where(first <= horizon).withColumn("gaps", gaps).withColumn(
         COPY_NO, F.explode(F.sequence(F.lit(1), F.lit(deepest))))
     arrived = arrived.withColumn("arrival", F.aggregate(F.slice("gaps", F.lit(1), F.col(COPY_NO)), F.lit(0.0), lambda a, g: a + g))
-    arrived = arrived.where(F.col("arrival") <= horizon).drop("gaps")
-    names = [*key_cols, COPY_NO]
-    _, cut = smallest(arrived, F.col("arrival"), names, lambda _: m, spread=lambda a: F.least(a / horizon, F.lit(1.0 - 2.0**-20)))
-    extra = arrived.where(cut.keeps(F.col("arrival"), names)).drop("arrival")
-    return originals.unionByName(extra)
+    return arrived.where(F.col("arrival") <= horizon).drop("gaps"), lambda a: F.least(a / horizon, F.lit(1.0 - 2.0**-20))
 
 
 def _poisson_depth(mean: float, n: int) -> int:

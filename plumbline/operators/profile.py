@@ -42,8 +42,13 @@ def fences(df: DataFrame, columns: Sequence[str], rule: str = "profile", group:
     stats = df.groupBy(*group).agg(*moments) if group else df.agg(*moments)
     quartiles = quantile_table(df, columns, (0.25, 0.75), group, df.count() if rows is None else rows)
     stats = _attach(stats, quartiles.select(*group, *[F.col(f"`{c}`").alias(f"q_{i}") for i, c in enumerate(columns)]), group)
+    return stats.select(*group, *fence_columns(len(columns), rule, z))
+
+
+def fence_columns(n_columns: int, rule: str = "profile", z: float = 3.0) -> list[Column]:
+    """``low_i``/``high_i`` from quartiles ``q_i``, counts ``n_i``, means ``mean_i`` and deviations ``sd_i``."""
     out = []
-    for i in range(len(columns)):
+    for i in range(n_columns):
         q1, q3 = F.get(f"q_{i}", F.lit(0)), F.get(f"q_{i}", F.lit(1))
         iqr = q3 - q1
         low, high = q1 - 1.5 * iqr, q3 + 1.5 * iqr
@@ -56,7 +61,7 @@ def fences(df: DataFrame, columns: Sequence[str], rule: str = "profile", group:
         if rule == "profile":
             low, high = F.when(F.col(f"n_{i}") >= 4, low), F.when(F.col(f"n_{i}") >= 4, high)
         out += [low.alias(f"low_{i}"), high.alias(f"high_{i}")]
-    return stats.select(*group, *out)
+    return out
 
 
 def _attach(df: DataFrame, small: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -93,3 +93,63 @@ def _interpolated(targets: DataFrame, by: Sequence[str], columns: Sequence[str],
         out.append(F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
     arrays = settled.select(*by, F.when(F.col("total") > 0, F.array(*out)).alias("q"))
     return arrays.groupBy(*by[:-1]).agg(*[F.max(F.when(F.col("i") == k, F.col("q"))).alias(c) for k, c in enumerate(columns)])
+
+
+# ---- quantiles of variants of a table ------------------------------------------------------------------------------
+
+FEW = 65536  # an interval of so many rows is counted by value, once per variant
+
+
+def variant_quantiles(base: DataFrame, delta: DataFrame, variants: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of many variants of tables that are given once: (variant, one array per column).
+
+    ``base`` holds (part, columns), ``variants`` (variant, part), ``delta`` the rows a variant loses (``sign`` -1) and gains
+    (+1): (variant, sign, columns).  A rank is found in the signed sum of both counts.  Rows of ``base`` are counted once per
+    distinct interval, however many variants look into it; only bins are multiplied by variants.
+    """
+    def cells(df, *kept):
+        values = F.array(*[F.struct(F.lit(k).alias("i"), as_double(c).alias("v")) for k, c in enumerate(columns)])
+        return df.select(*kept, F.explode(values).alias("cell")).select(*kept, "cell.i", "cell.v").where("v is not null")
+
+    fixed, moved = cells(base, "part"), cells(delta, "variant", "sign")
+    whole = fixed.groupBy("part", "i").agg(F.count("v").alias("n_base"), F.min("v").alias("lo_base"), F.max("v").alias("hi_base"))
+    change = moved.groupBy("variant", "i").agg(F.sum("sign").alias("n_moved"), F.count("v").alias("held_moved"), F.min("v").alias("lo_moved"), F.max("v").alias("hi_moved"))
+    listed = variants.select("variant", "part", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("i"))
+    all_ = listed.join(whole, ["part", "i"], "left").join(change, ["variant", "i"], "left").na.fill(0, ["n_base", "n_moved", "held_moved"])
+    total = (F.col("n_base") + F.col("n_moved")).alias("total")
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: (F.col("total") - 1) * p)
+    ranks = F.array_distinct(F.concat(F.transform(at, lambda x: F.floor(x)), F.transform(at, lambda x: F.ceil(x))))
+    targets = all_.select("variant", "part", "i", total, F.least("lo_base", "lo_moved").alias("lo"), F.greatest("hi_base", "hi_moved").alias("hi"),
+                          (F.col("n_base") + F.col("held_moved")).alias("n"), F.lit(0).cast("bigint").alias("below"))
+    targets = targets.withColumn("rank", F.explode(ranks)).withColumn("rank", F.when(F.col("total") > 0, F.col("rank")))
+    targets = targets.withColumns({c: F.when(F.col("total") > 0, F.col(c)) for c in ("lo", "hi")})
+    targets = materialise(targets, "targets")
+    while not targets.where(OPEN).isEmpty():
+        targets = materialise(_narrowed_variants(fixed, moved, targets), "targets")
+    return _interpolated(targets, ["variant", "i"], columns, probs)
+
+
+def _narrowed_variants(fixed: DataFrame, moved: DataFrame, targets: DataFrame) -> DataFrame:
+    open_ = targets.where(OPEN).withColumn("few", F.col("n") <= FEW)
+    asked = ["i", "lo", "hi", "few"]
+    v, low, high = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / 2.0 for c in ("v", "lo", "hi"))
+    position = F.coalesce(F.least(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * BINS), F.lit(BINS - 1)), F.lit(0))
+    bin_ = F.when(~F.col("few"), position.cast("double")).otherwise(F.col("v")).alias("bin")
+
+    def binned(rows, owner, net):
+        intervals = open_.select(owner, *asked).distinct()
+        inside = rows.join(F.broadcast(intervals), [owner, "i"]).where("v >= lo and v <= hi")  # at most 2 intervals a quantile of a variant
+        return inside.groupBy(owner, *asked, bin_).agg(net.alias("net"), F.count("v").alias("held"), F.min("v").alias("least"), F.max("v").alias("largest"))
+
+    ours = open_.select("variant", "part", *asked).distinct()
+    shared = ours.join(binned(fixed, "part", F.count("v")), ["part", *asked]).drop("part")
+    own = binned(moved, "variant", F.sum("sign"))
+    bins = shared.unionByName(own).groupBy("variant", *asked, "bin").agg(
+        *[F.sum(c).alias(c) for c in ("net", "held")], F.min("least").alias("least"), F.max("largest").alias("largest"))
+    before = Window.partitionBy("variant", *asked).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumn("before", F.coalesce(F.sum("net").over(before), F.lit(0)))
+    rank = F.col("rank") - F.col("below")
+    found = open_.drop("n").join(placed, ["variant", *asked]).where((rank >= F.col("before")) & (rank < F.col("before") + F.col("net")))
+    kept = found.select("variant", "part", "i", "total", F.col("least").alias("lo"), F.col("largest").alias("hi"), F.col("held").alias("n"),
+                        (F.col("below") + F.col("before")).alias("below"), "rank")
+    return targets.where(f"not {OPEN}").unionByName(kept)

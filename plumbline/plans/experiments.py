@@ -16,6 +16,7 @@ from ..operators.storage import materialise
 from ..operators.table import AuditTable, with_ordinal
 from ..sources import generate
 from .membership import CHAIN_FREE, membership
+from .overlay import sweep, sweep_results
 from .progressive import nested_samples
 from .registry import CHAINS, GUIDED, PREFIX_SIZES, draw_sample
 from .replay import batch_sweep, replay
@@ -146,21 +147,25 @@ def correlation_ablation(keys: DataFrame, key_cols, levels: Sequence[float], bud
     return _together(parts)
 
 
-def robustness(keys: DataFrame, key_cols, kinds, rates: Sequence[float], methods, budget: float, seeds) -> DataFrame:
-    """Errors with one kind of defect at a given rate and the others at 1 %."""
-    parts = []
-    for kind in kinds:
-        for rate in rates:
-            t = generate.dirty_numeric_table(keys, key_cols, rates=generate.one_error_type(kind, rate), name=f"{kind}_{rate}")
-            t = t.with_rows(materialise(t.df, t.name))
-            truth = materialise(profile_table(t), "truth")
-            tags = {"error_type": F.lit(kind), "error_rate": F.lit(float(rate))}
-            prefix = [m for m in methods if m in PREFIX_SIZES]
-            if prefix:
-                parts.append(prefix_results(t, prefix, [budget], seeds, truth).withColumns(tags))
-            for method in methods:
-                if method not in PREFIX_SIZES:
-                    parts += [run_condition(t, method, budget, seed, truth).withColumns(tags) for seed in seeds]
+def robustness(t: AuditTable, kinds: Sequence[str], rates: Sequence[float], methods: Sequence[str], budgets: Sequence[float],
+               seeds: Sequence[int], others: float = 0.01, damage_seed: int = 42) -> DataFrame:
+    """Errors with one kind of damage of a given table at a rate and the other kinds at ``others``.
+
+    All damage is one overlay of the table.  Methods that take a prefix of the draw order share its aggregates; any other
+    method runs on each variant by itself.
+    """
+    prefix = [m for m in methods if m in PREFIX_SIZES]
+    o, found = sweep_results(t, kinds, rates, prefix, budgets, seeds, others, damage_seed)
+    keys = ["error_type", "error_rate", "method", "budget", "seed"]
+    truth = found.select(*keys, *[F.col(f"true_{i}").alias(i) for i in INDICATORS])
+    errors = relative_error(found.drop(*[f"true_{i}" for i in INDICATORS]), truth, keys)
+    parts = [_as_result(errors, t.name)] if prefix else []
+    for kind, rate, mixed in sweep(kinds, rates, others) if len(prefix) < len(methods) else ():
+        one = o.damaged(mixed, t.name)
+        one = one.with_rows(materialise(one.df, f"{kind}_{rate}"), one.known_rows)
+        whole = materialise(profile_table(one), "truth")
+        tags = {"error_type": F.lit(kind), "error_rate": F.lit(float(rate))}
+        parts += [run_condition(one, m, b, s, whole).withColumns(tags) for m in methods if m not in PREFIX_SIZES for b in budgets for s in seeds]
     return _together(parts)
 
 
