@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import convergence, dependency
 from ..operators.profile import INDICATORS, profile_long, profile_table
+from ..operators.table import audit
 from .base import DIRTY_CTE, LINE_RULES, MEASURED, NUMBERS, Check, dirty_lines, load, profile_sql, rounded
 
 
@@ -14,6 +15,16 @@ def pairwise_weights(spark, folder):
     return rounded(dependency.pairwise_weights(dirty_lines(spark, folder)), ["weight"])
 
 
+WIDTH = 64  # fixed value of the test data
+
+
+def pairwise_weights_wide(spark, folder):
+    """All pairs of the 64 dimensions of the vectors as columns of one wide table."""
+    names = [f"d{k}" for k in range(WIDTH)]
+    wide = load(spark, folder, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(names)])
+    return rounded(dependency.pairwise_weights(audit(wide, ["vec_id"], names, name="vectors")), ["weight"])
+
+
 def column_priority(spark, folder):
     t = dirty_lines(spark, folder)
     return rounded(dependency.column_priority(t, dependency.pairwise_weights(t)), ["priority"])
@@ -115,6 +126,10 @@ D = f"WITH {DIRTY_CTE}, "
 
 CHECKS = {
     "pairwise_weights": Check(pairwise_weights, f"{D}{_edges} SELECT col_i, col_j, round(weight, 6) AS weight FROM edges"),
+    "pairwise_weights_wide": Check(pairwise_weights_wide, f"""
+WITH cells AS MATERIALIZED (SELECT vec_id, k, coalesce(CAST(embedding[k + 1] AS DOUBLE), 0.0) AS x FROM embeddings CROSS JOIN range({WIDTH}) r(k))
+SELECT 'd' || a.k AS col_i, 'd' || b.k AS col_j, round(coalesce(abs(covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0)), 0.0), 6) AS weight
+FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.k <> b.k GROUP BY 1, 2"""),
     "column_priority": Check(column_priority, f"{D}{_edges} " + _priority("edges", _even)),
     "priority_of_constant_weights": Check(priority_of_constant_weights, f"{D}{_affinity} " + _priority(_constant, "SELECT * FROM affinity")),
     "error_affinity": Check(error_affinity, f"{D}{_affinity} SELECT col, round(affinity, 6) AS affinity FROM affinity"),
