@@ -105,23 +105,37 @@ _long = " UNION ALL ".join(f"SELECT '{i}' AS indicator, {i} AS value, sample_siz
 _margin = "1.96 * sqrt(value * (1 - value) / greatest(sample_size, 1))"
 _chain_sql = ("means AS (SELECT event_type AS indicator, event_id // 50 AS step, avg(value) AS value FROM events GROUP BY 1, 2), "
               "ticks AS (SELECT event_id // 50 AS step, count(*) AS n FROM events GROUP BY 1), "
-              "chain AS (SELECT * FROM means UNION ALL SELECT 'constant', step, 1.0 FROM ticks UNION ALL SELECT 'short', step, n FROM ticks WHERE step < 10), "
-              "flagged AS (SELECT c.indicator, c.step, CASE WHEN c.value <= t.cut THEN 1 ELSE 0 END AS b FROM chain c JOIN (SELECT indicator, quantile_cont(value, 0.1) AS cut FROM chain GROUP BY indicator) t USING (indicator)), "
-              "moves AS (SELECT a.indicator, a.b AS x, z.b AS y FROM flagged a LEFT JOIN flagged z ON z.indicator = a.indicator AND z.step = a.step + 1), "
-              "counts AS (SELECT indicator, CAST(count(*) AS BIGINT) AS n_current, " + ", ".join(
-                  f"CAST(count(*) FILTER (WHERE x = {a} AND y = {b}) AS BIGINT) AS n{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM moves GROUP BY indicator)")
+              "chain AS (SELECT * FROM means UNION ALL SELECT 'constant', step, 1.0 FROM ticks UNION ALL SELECT 'short', step, n FROM ticks WHERE step < 10)")
+
+
+def counts_sql(q: float) -> str:
+    """Transition counts of a table ``chain(indicator, step, value)``."""
+    return ("flagged AS (SELECT c.indicator, c.step, CASE WHEN c.value <= t.cut THEN 1 ELSE 0 END AS b FROM chain c JOIN (SELECT indicator, quantile_cont(value, " + str(q) + ") AS cut FROM chain GROUP BY indicator) t USING (indicator)), "
+            "moves AS (SELECT a.indicator, a.b AS x, z.b AS y FROM flagged a LEFT JOIN flagged z ON z.indicator = a.indicator AND z.step = a.step + 1), "
+            "counts AS (SELECT indicator, CAST(count(*) AS BIGINT) AS n_current, " + ", ".join(
+                f"CAST(count(*) FILTER (WHERE x = {a} AND y = {b}) AS BIGINT) AS n{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM moves GROUP BY indicator)")
+
+
 _z2 = repr(NormalDist().inv_cdf(0.975) ** 2)
-_rl = (f"{_chain_sql}, rates AS (SELECT *, n01 / greatest(n00 + n01, 1)::DOUBLE AS a, n10 / greatest(n10 + n11, 1)::DOUBLE AS b FROM counts), "
-       "stationary AS (SELECT *, CASE WHEN a + b > 0 THEN b / (a + b) END AS p FROM rates), "
-       f"needs AS (SELECT *, 2 * a * b * (1 - (a + b)) * {_z2}::DOUBLE / greatest((a + b) * (a + b) * (a + b) * 0.05::DOUBLE * 0.05::DOUBLE, 1e-12) AS need FROM stationary), "
-       "factors AS (SELECT *, need * (p * (1 - p)) / greatest(p * (1 - p), 1e-9) AS factor FROM needs), "
-       "required AS (SELECT *, CASE WHEN n_current < 20 THEN 100 WHEN a + b = 0 THEN n_current ELSE greatest(CAST(trunc(factor * need) AS BIGINT), 20) END AS n_required, "
-       "CASE WHEN n_current < 20 OR a + b = 0 THEN 0 WHEN p > 0 THEN greatest(CAST(trunc(ln(0.05::DOUBLE / p) / ln(abs(1 - a - b) + 1e-9)) AS BIGINT), 0) END AS burn_in FROM factors), "
-       "verdict AS (SELECT indicator, n_current, CAST(n_required AS BIGINT) AS n_required, CAST(burn_in AS BIGINT) AS burn_in, "
-       "round(CASE WHEN n_current < 20 THEN 0.0 WHEN a + b = 0 THEN 1.0 ELSE factor END, 4) AS dependence_factor, "
-       "n_current >= 20 AND (a + b = 0 OR n_current >= n_required) AS converged, "
-       "CASE WHEN n_current < 20 THEN 'chain too short' WHEN a + b = 0 THEN 'constant chain' WHEN n_current >= n_required THEN 'ok' "
-       "ELSE CAST(n_required - n_current AS VARCHAR) || ' more steps needed' END AS message FROM required)")
+
+
+def verdict_sql(q: float, r: float) -> str:
+    """Raftery-Lewis diagnosis of a table ``chain``."""
+    return (f"{counts_sql(q)}, rates AS (SELECT *, n01 / greatest(n00 + n01, 1)::DOUBLE AS a, n10 / greatest(n10 + n11, 1)::DOUBLE AS b FROM counts), "
+            "stationary AS (SELECT *, CASE WHEN a + b > 0 THEN b / (a + b) END AS p FROM rates), "
+            f"needs AS (SELECT *, 2 * a * b * (1 - (a + b)) * {_z2}::DOUBLE / greatest((a + b) * (a + b) * (a + b) * {r}::DOUBLE * {r}::DOUBLE, 1e-12) AS need FROM stationary), "
+            "factors AS (SELECT *, need * (p * (1 - p)) / greatest(p * (1 - p), 1e-9) AS factor FROM needs), "
+            "required AS (SELECT *, CASE WHEN n_current < 20 THEN 100 WHEN a + b = 0 THEN n_current ELSE greatest(CAST(trunc(factor * need) AS BIGINT), 20) END AS n_required, "
+            f"CASE WHEN n_current < 20 OR a + b = 0 THEN 0 WHEN p > 0 THEN greatest(CAST(trunc(ln({r}::DOUBLE / p) / ln(abs(1 - a - b) + 1e-9)) AS BIGINT), 0) END AS burn_in FROM factors), "
+            "verdict AS (SELECT indicator, n_current, CAST(n_required AS BIGINT) AS n_required, CAST(burn_in AS BIGINT) AS burn_in, "
+            "round(CASE WHEN n_current < 20 THEN 0.0 WHEN a + b = 0 THEN 1.0 ELSE factor END, 4) AS dependence_factor, "
+            "n_current >= 20 AND (a + b = 0 OR n_current >= n_required) AS converged, "
+            "CASE WHEN n_current < 20 THEN 'chain too short' WHEN a + b = 0 THEN 'constant chain' WHEN n_current >= n_required THEN 'ok' "
+            "ELSE CAST(n_required - n_current AS VARCHAR) || ' more steps needed' END AS message FROM required)")
+
+
+VERDICT = ("SELECT count(*) FILTER (WHERE n_current >= 20) > 0 AND bool_and(converged) FILTER (WHERE n_current >= 20) AS all_converged, "
+           "CAST(count(*) FILTER (WHERE n_current >= 20) AS BIGINT) AS n_checked FROM verdict")
 D = f"WITH {DIRTY_CTE}, "
 
 CHECKS = {
@@ -138,8 +152,7 @@ FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.k <> b.k GROUP BY 1, 2"""
     "wald_intervals": Check(wald_intervals, f"{D}p AS ({profile_sql('dirty_lines', MEASURED, NUMBERS, LINE_RULES, digits=None)}), l AS ({_long}) "
                             f"SELECT indicator, round(value, 6) AS value, sample_size, round({_margin}, 6) AS margin, round(greatest(0.0, value - {_margin}), 6) AS lower, "
                             f"round(least(1.0, value + {_margin}), 6) AS upper, round(least(1.0, value + {_margin}) - greatest(0.0, value - {_margin}), 6) AS width FROM l"),
-    "chain_transitions": Check(chain_transitions, f"WITH {_chain_sql} SELECT * FROM counts"),
-    "raftery_lewis": Check(raftery_lewis, f"WITH {_rl} SELECT * FROM verdict"),
-    "all_converged": Check(all_converged, f"WITH {_rl} SELECT count(*) FILTER (WHERE n_current >= 20) > 0 AND bool_and(converged) FILTER (WHERE n_current >= 20) AS all_converged, "
-                           "CAST(count(*) FILTER (WHERE n_current >= 20) AS BIGINT) AS n_checked FROM verdict"),
+    "chain_transitions": Check(chain_transitions, f"WITH {_chain_sql}, {counts_sql(0.1)} SELECT * FROM counts"),
+    "raftery_lewis": Check(raftery_lewis, f"WITH {_chain_sql}, {verdict_sql(0.1, 0.05)} SELECT * FROM verdict"),
+    "all_converged": Check(all_converged, f"WITH {_chain_sql}, {verdict_sql(0.1, 0.05)} {VERDICT}"),
 }

@@ -10,6 +10,7 @@ from ..plans import experiments, progressive, results
 from ..sources.cache import parameter_key
 from .base import (DIRTY_CTE, DIRTY_KEY, LINE_RULES, MEASURED, NUMBERS, Check, d, dirty_lines, load, profile_sql, rounded, u)
 from .chain_checks import BATCH, batch_sweep_sql, single_runs_sql
+from .dependency_checks import VERDICT, verdict_sql
 from .sample_checks import IMPORTANCE, SAMPLES, estimates_sql
 
 BUDGETS, SEEDS = (0.01, 0.02, 0.05, 0.1, 0.2), (42, 7)
@@ -269,7 +270,8 @@ CHECKS = {
                              f"round({_margin}, 6) AS margin, round({_low}, 6) AS lower, round({_high}, 6) AS upper, round({_high} - {_low}, 6) AS width FROM l"),
     "settled_budget": Check(settled_budget, f"{D}{_curve(BUDGETS, SEEDS)}, l AS ({_long}), widest AS (SELECT seed, budget, max({_high} - {_low}) AS w FROM l GROUP BY 1, 2) "
                             "SELECT seed, min(budget) FILTER (WHERE w <= 0.025) AS budget FROM widest GROUP BY seed"),
-    "curve_converged": Check(curve_converged),
+    "curve_converged": Check(curve_converged, f"{D}{_curve(MANY_BUDGETS, (42,))}, chain AS (SELECT indicator, row_number() OVER (PARTITION BY indicator ORDER BY budget) AS step, value FROM ({_long}) l), "
+                             f"{verdict_sql(0.025, 0.005)} {VERDICT}"),
     "clip_sweep": Check(clip_sweep, IMPORTANCE.rstrip() + f", {_swept}, {_truth}, est AS ({profile_sql('swept', MEASURED, NUMBERS, LINE_RULES, ['clip_percentile'], weight='w', digits=None)}) "
                         f"SELECT clip_percentile, {_rates}, {_error_columns()} FROM est e CROSS JOIN truth t"),
     "accuracy_conditions": Check(accuracy_conditions, f"{D}{_conditions_sql} SELECT 'dirty_lines' AS dataset, method, budget, seed, e.sample_size AS n_sampled, {_total} AS n_total, "

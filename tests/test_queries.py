@@ -19,7 +19,7 @@ SMALL = ["quality_profile", "quality_profile_dirty", "quality_profile_weighted",
          "sample_uniform", "sample_importance", "sample_cluster", "sample_strat_column", "sample_mh", "sample_dag",
          "inject_duplicates", "inject_fd_per_key", "column_priority", "raftery_lewis", "generate_sensors", "ingest_log_lines", "clean_log",
          "progressive_curve", "accuracy_conditions", "resume_grid", "replace_merge", "replace_in_place", "inject_hundreds_of_copies",
-         "profile_per_group", "missing_rate", "error_sweep", "robustness_sweep", "pairwise_weights_wide"]
+         "profile_per_group", "missing_rate", "error_sweep", "robustness_sweep", "pairwise_weights_wide", "curve_converged"]
 
 
 @pytest.fixture(scope="module")
