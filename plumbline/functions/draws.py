@@ -38,13 +38,29 @@ class Draws:
 
     def uniform(self, tag: str | Column, *keys: str | Column, half: int = 0) -> Column:
         """Uniform on [0, 1) with 52 bits.  ``half=1`` is a second, independent draw from the same hash."""
-        seed = self.seed if isinstance(self.seed, Column) else F.lit(str(self.seed))
-        parts = [seed.cast("string"), F.lit(tag), *[_text(k) for k in keys]]
         if self.algorithm == "xxhash64":
-            hashed = F.xxhash64(F.lit(half), *parts)
+            seed = self.seed if isinstance(self.seed, Column) else F.lit(str(self.seed))
+            hashed = F.xxhash64(F.lit(half), seed.cast("string"), F.lit(tag), *[_text(k) for k in keys])
             return F.shiftrightunsigned(hashed, 12).cast("double") / F.lit(TWO52)
-        digest = F.md5(F.concat_ws("|", *parts))
-        return F.conv(F.substring(digest, 1 + 13 * half, 13), 16, 10).cast("bigint") / F.lit(TWO52)
+        return F.conv(self._digits(tag, *keys, half=half), 16, 10).cast("bigint") / F.lit(TWO52)
+
+    def _digits(self, tag: str | Column, *keys: str | Column, half: int = 0) -> Column:
+        """The 13 hex digits of a draw.  The text of the keys is one expression, which many draws of a row share."""
+        plain = not isinstance(self.seed, Column) and not isinstance(tag, Column)
+        seed = self.seed if isinstance(self.seed, Column) else F.lit(str(self.seed))
+        parts = [F.lit(f"{self.seed}|{tag}")] if plain else [seed.cast("string"), F.lit(tag)]
+        if keys:
+            parts.append(F.concat_ws("|", *[_text(k) for k in keys]))
+        return F.substring(F.md5(F.concat_ws("|", *parts)), 1 + 13 * half, 13)
+
+    def below(self, share: float, tag: str | Column, *keys: str | Column) -> Column:
+        """``uniform(tag, *keys) < share``, without turning the digits into a number: equally long digits sort as numbers do."""
+        if self.algorithm == "xxhash64" or share != share:
+            return self.uniform(tag, *keys) < share
+        first = math.ceil(min(max(share, 0.0), 1.0) * TWO52)  # the smallest draw that is not below
+        if first in (0, 2**52):
+            return F.lit(first > 0)
+        return self._digits(tag, *keys) < F.lit(f"{first:013x}")
 
     def exponential(self, tag: str | Column, *keys: str | Column) -> Column:
         return -F.ln(self.uniform(tag, *keys) + F.lit(HALF_STEP))
@@ -62,4 +78,4 @@ class Draws:
         return F.element_at(F.array(*[F.lit(v) for v in values]), self.integer(len(values), tag, *keys) + 1)
 
     def sign(self, tag: str, *keys: str | Column) -> Column:
-        return F.when(self.uniform(tag, *keys) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
+        return F.when(self.below(0.5, tag, *keys), F.lit(-1.0)).otherwise(F.lit(1.0))

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_double, numeric_columns
 from ..functions.draws import Draws
 from .selection import smallest
+from .storage import materialise
 
 COPY_NO = "copy_no"
+COPY_BLOCK = 16  # arrivals of one row are summed up in blocks of so many copies
+COPIES_PER_TASK = 500_000
 
 
 def _draws(seed) -> Draws:
@@ -39,7 +42,7 @@ def inject_missing(df: DataFrame, rate: float, key_cols: Sequence[str], columns:
     columns = [c for c in df.columns if c not in key_cols] if columns is None else columns
     share = hit_share(rate) if mode == "hits" else rate
     draws = _draws(seed)
-    return _replace(df, {c: F.when(draws.uniform(f"missing:{c}", *key_cols) >= share, F.col(f"`{c}`")) for c in columns})
+    return _replace(df, {c: F.when(~draws.below(share, f"missing:{c}", *key_cols), F.col(f"`{c}`")) for c in columns})
 
 
 def inject_duplicates(df: DataFrame, rate: float, key_cols: Sequence[str], seed=42,
@@ -50,7 +53,7 @@ def inject_duplicates(df: DataFrame, rate: float, key_cols: Sequence[str], seed=
 
     Copies arrive at every row as a unit Poisson process (sums of exponential draws).  The first m arrivals over all
     rows fall on independent, uniformly chosen rows, which is exactly m draws with replacement; finding them needs one
-    histogram of arrival times, no row numbers and no join.
+    histogram of arrival times, no row numbers and no join.  The arrivals are written once, as the passes over them are several.
     """
     source = df if source is None else source
     n = source.count()
@@ -59,6 +62,7 @@ def inject_duplicates(df: DataFrame, rate: float, key_cols: Sequence[str], seed=
     if n == 0 or m <= 0:
         return originals
     arrived, early = copy_arrivals(source, n, m, key_cols, seed)
+    arrived = materialise(arrived, "arrivals")
     names = [*key_cols, COPY_NO]
     _, cut = smallest(arrived, F.col("arrival"), names, lambda _: m, spread=early)
     extra = arrived.where(cut.keeps(F.col("arrival"), names)).drop("arrival")
@@ -70,12 +74,33 @@ def copy_arrivals(source: DataFrame, n: int, m: int, key_cols: Sequence[str], se
     horizon = (m + 12 * math.sqrt(m) + 40) / n  # the m-th arrival is earlier, save for odds below 1e-14
     deepest = _poisson_depth(horizon, n)
     draws = _draws(seed)
+    latest = math.exp(-horizon) * (1.0 - 1e-9) - 1e-12  # a safe bound on the draw of a row with a copy, cheaper to look at
+    early = source.where(~draws.below(latest, "copy1", *key_cols)).where(draws.exponential("copy1", *key_cols) <= horizon)
+    blocks = math.ceil(deepest / COPY_BLOCK)
+    if blocks > 1:  # rows with many copies are few but heavy
+        tasks = max(source.sparkSession.sparkContext.defaultParallelism, math.ceil(n * deepest / COPIES_PER_TASK))
+        early = early.repartition(tasks)
     gaps = F.transform(F.sequence(F.lit(1), F.lit(deepest)), lambda j: draws.exponential(F.concat(F.lit("copy"), j.cast("string")), *key_cols))
-    first = draws.exponential("copy1", *key_cols)
-    arrived = source.where(first <= horizon).withColumn("gaps", gaps).withColumn(
-        COPY_NO, F.explode(F.sequence(F.lit(1), F.lit(deepest))))
-    arrived = arrived.withColumn("arrival", F.aggregate(F.slice("gaps", F.lit(1), F.col(COPY_NO)), F.lit(0.0), lambda a, g: a + g))
-    return arrived.where(F.col("arrival") <= horizon).drop("gaps"), lambda a: F.least(a / horizon, F.lit(1.0 - 2.0**-20))
+    # outer: the optimizer would compute the gaps once more to filter empty arrays, of which there are none
+    starts = F.explode_outer(_block_starts(blocks)) if blocks > 1 else F.struct(F.lit(0).alias("no"), F.lit(0.0).alias("start"))
+    started = early.withColumn("__gaps", gaps).withColumn("__block", starts)
+    inside = F.slice("__gaps", F.col("__block.no") * COPY_BLOCK + 1, F.lit(COPY_BLOCK))
+    started = started.where(F.col("__block.start") <= horizon).withColumn("__gaps", inside)
+    arrived = started.withColumn("__place", F.explode_outer(F.sequence(F.lit(1), F.size("__gaps"))))
+    # summed up in order, gap by gap, from the start of the block
+    arrived = arrived.withColumn("arrival", F.aggregate(F.slice("__gaps", F.lit(1), F.col("__place")), F.col("__block.start"), lambda a, g: a + g))
+    arrived = arrived.withColumn(COPY_NO, F.col("__block.no") * COPY_BLOCK + F.col("__place")).where(F.col("arrival") <= horizon)
+    return arrived.drop("__gaps", "__block", "__place"), lambda a: F.least(a / horizon, F.lit(1.0 - 2.0**-20))
+
+
+def _block_starts(blocks: int) -> Column:
+    """(number, arrival before its first copy) of each block of a row's ``__gaps``."""
+    def step(state: Column, no: Column) -> Column:
+        ahead = F.aggregate(F.slice("__gaps", no * COPY_BLOCK + 1, F.lit(COPY_BLOCK)), state["at"], lambda a, g: a + g)
+        return F.struct(ahead.alias("at"), F.concat(state["starts"], F.array(F.struct(no.alias("no"), state["at"].alias("start")))).alias("starts"))
+
+    none = F.array().cast("array<struct<no: int, start: double>>")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(blocks - 1)), F.struct(F.lit(0.0).alias("at"), none.alias("starts")), step, lambda s: s["starts"])
 
 
 def _poisson_depth(mean: float, n: int) -> int:
@@ -97,7 +122,7 @@ def inject_outliers(df: DataFrame, rate: float, key_cols: Sequence[str], columns
     draws = _draws(seed)
     changes = {}
     for i, c in enumerate(columns):
-        hit = draws.uniform(f"outlier:{c}", *key_cols) < share
+        hit = draws.below(share, f"outlier:{c}", *key_cols)
         moved = as_double(c) + draws.sign(f"sign:{c}", *key_cols) * 10.0 * (F.coalesce(f"sd_{i}", F.lit(0.0)) + 1e-6)
         changes[c] = F.when(hit, moved).otherwise(as_double(c))
     return _replace(df.crossJoin(F.broadcast(spread)), changes).select(*df.columns)
@@ -130,7 +155,7 @@ def inject_levels(df: DataFrame, rate: float, key_cols: Sequence[str], levels: M
     draws = _draws(seed)
     changes = {}
     for c, (mu, sigma, multiple) in levels.items():
-        hit = draws.uniform(f"level:{c}", *key_cols) < share
+        hit = draws.below(share, f"level:{c}", *key_cols)
         changes[c] = F.when(hit, F.lit(mu) + draws.sign(f"sign:{c}", *key_cols) * F.lit(multiple * sigma)).otherwise(as_double(c))
     return _replace(df, changes)
 
@@ -139,7 +164,7 @@ def inject_fd_noise(df: DataFrame, rate: float, key_cols: Sequence[str], depende
                     low: float = -100.0, high: float = 100.0) -> DataFrame:
     """Break a dependency: int(n rate) hits overwrite a numeric dependent with a uniform value."""
     draws = _draws(seed)
-    hit = draws.uniform(f"break:{dependent}", *key_cols) < hit_share(rate)
+    hit = draws.below(hit_share(rate), f"break:{dependent}", *key_cols)
     noise = F.lit(low) + F.lit(high - low) * draws.uniform(f"noise:{dependent}", *key_cols)
     return df.withColumn(dependent, F.when(hit, noise).otherwise(as_double(dependent)))
 
