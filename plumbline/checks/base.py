@@ -135,11 +135,11 @@ SEED, MISSING_RATE, OUTLIER_RATE, COPY_RATE = 7, 0.05, 0.05, 0.02
 _written: dict[tuple, DataFrame] = {}
 
 
-def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per session and source folder."""
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
+    """A derived table written once per session and source folder (``write=False``: it reads written tables only)."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _written:
-        _written[key] = materialise(build(), name)
+        _written[key] = materialise(build(), name) if write else build()
     return _written[key]
 
 
@@ -153,7 +153,7 @@ def dirty_lines(spark: SparkSession, folder: str, rules=LINE_RULES) -> AuditTabl
     def build():
         return inject.inject_duplicates(once(spark, folder, "damaged_lines", damaged), COPY_RATE, LINE_KEY, SEED)
 
-    return audit(once(spark, folder, "dirty_lines", build), DIRTY_KEY, MEASURED, rules, "dirty_lines")
+    return audit(once(spark, folder, "dirty_lines", build, write=False), DIRTY_KEY, MEASURED, rules, "dirty_lines")
 
 
 def copies_sql(src: str, source: str, keys: Sequence[str], columns: Sequence[str], rate: float, seed: int, depth: int = 6) -> str:
