@@ -135,12 +135,12 @@ def profile(
     one = usable if len(determinants) == 1 else ()
     det, dep = {}, {}
     if one and exact_rows:
-        det = {f"det_{i}": F.col(f"`{c}`") for i, c in enumerate(determinants[0])} | {"det_known": _known(determinants[0])}
+        det = {f"det_{i}": F.col(f"`{c}`") for i, c in enumerate(determinants[0])} | {"det_known": known(determinants[0])}
         dep = {f"dep_{i}": F.col(f"`{r.dependent}`") for i, r in enumerate(one)}
     elif one:  # long texts stay out of the shuffles: determinants and dependents travel as hashes
         d1, d2 = row_hashes(df, determinants[0])
-        det = {"det_1": d1, "det_2": d2, "det_known": _known(determinants[0])}
-        dep = {f"dep_{i}": _dependent(df, r) for i, r in enumerate(one)}
+        det = {"det_1": d1, "det_2": d2, "det_known": known(determinants[0])}
+        dep = {f"dep_{i}": dependent_hash(df, r) for i, r in enumerate(one)}
     reduced = rowwise.select(
         *group, *[c.alias(a) for a, c in {**identity, **det, **dep}.items()], w.alias("w"),
         count_nulls(measured).alias("nulls"), any_of(outside(numeric)).cast("int").alias("out"), broken.alias("broken"))
@@ -179,11 +179,11 @@ def profile_table(t: AuditTable, weight: str | None = None, n_records: int | Non
 
 # ---- skew-safe marking ---------------------------------------------------------------------------------------------
 
-def _known(columns: Sequence[str]) -> Column:
+def known(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
 
 
-def _dependent(df: DataFrame, rule: FdRule) -> Column:
+def dependent_hash(df: DataFrame, rule: FdRule) -> Column:
     """Hash of the dependent value; null if it is null."""
     return F.when(F.col(f"`{rule.dependent}`").isNotNull(), row_hashes(df, [rule.dependent])[0])
 
@@ -221,8 +221,8 @@ def mark_violations(df: DataFrame, rules, flag: str, group: Sequence[str] = (),
     det = list(rules[0].determinant)
     h1, h2 = row_hashes(df, det)
     on = ["det_h1", "det_h2"]
-    hashed = df.withColumns({"det_h1": h1, "det_h2": h2, "det_known": _known(det)})
-    dependents = {f"dep_{i}": _dependent(df, r) for i, r in enumerate(rules)}
+    hashed = df.withColumns({"det_h1": h1, "det_h2": h2, "det_known": known(det)})
+    dependents = {f"dep_{i}": dependent_hash(df, r) for i, r in enumerate(rules)}
     clash = F.coalesce(any_of(F.min(d) != F.max(d) for d in dependents), F.lit(False))
     keys = hashed.where("det_known").select(*group, *on, *[c.alias(d) for d, c in dependents.items()]).groupBy(*group, *on).agg(
         F.count(F.lit(1)).alias("n"), clash.alias("marked"))

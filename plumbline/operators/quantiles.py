@@ -42,7 +42,7 @@ def quantile_table(
         targets = materialise(targets, "targets")
         while not targets.where(OPEN).isEmpty():
             targets = materialise(_narrowed(cells, targets, by), "targets")
-    return _interpolated(targets, by, columns, probs).withColumnsRenamed({n: g for g, n in names.items()})
+    return interpolated(targets, by, columns, probs).withColumnsRenamed({n: g for g, n in names.items()})
 
 
 OPEN = "coalesce(lo != hi, false)"
@@ -81,7 +81,7 @@ def _narrowed(cells: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFr
     return targets.where(f"not {OPEN}").unionByName(moved)
 
 
-def _interpolated(targets: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def interpolated(targets: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """An array of quantiles per group and column from the settled targets (at most two a quantile)."""
     known = F.map_from_entries(F.filter(F.collect_list(F.struct("rank", "lo")), lambda t: t["rank"].isNotNull()))
     settled = targets.groupBy(*by).agg(F.first("total").alias("total"), known.alias("known"))
@@ -126,7 +126,7 @@ def variant_quantiles(base: DataFrame, delta: DataFrame, variants: DataFrame, co
     targets = materialise(targets, "targets")
     while not targets.where(OPEN).isEmpty():
         targets = materialise(_narrowed_variants(fixed, moved, targets), "targets")
-    return _interpolated(targets, ["variant", "i"], columns, probs)
+    return interpolated(targets, ["variant", "i"], columns, probs)
 
 
 def _narrowed_variants(fixed: DataFrame, moved: DataFrame, targets: DataFrame) -> DataFrame:

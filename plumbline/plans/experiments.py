@@ -17,7 +17,7 @@ from ..operators.table import AuditTable, with_ordinal
 from ..sources import generate
 from .membership import CHAIN_FREE, membership
 from .overlay import sweep, sweep_results
-from .progressive import nested_samples
+from .progressive import nested_profiles
 from .registry import CHAINS, GUIDED, PREFIX_SIZES, draw_sample
 from .replay import batch_sweep, replay
 from .results import append_results, as_budget, condition_grid, read_results, remaining
@@ -35,9 +35,8 @@ def prefix_results(t: AuditTable, methods: Sequence[str], budgets: Sequence[floa
     def sizes(n: int):
         return [(m, float(b), PREFIX_SIZES[m](n, b)) for m in methods for b in budgets]
 
-    rows, n, emitted = nested_samples(t, sizes, "method string, budget double", seeds)
-    rows = materialise(rows, "conditions")
-    p = profile(rows, t.measured, t.rules, group=["method", "budget", "seed"], rows=emitted)
+    p, n = nested_profiles(t, sizes, "method string, budget double", seeds)
+    p = p.select("method", "budget", "seed", *INDICATORS, "sample_size")
     return _as_result(relative_error(p.withColumn("n_records", F.lit(n).cast("bigint")), truth), t.name)
 
 

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import Draws
 from ..operators.convergence import all_converged, raftery_lewis, wald_interval
-from ..operators.profile import INDICATORS, profile, profile_long, relative_error
+from ..operators.nested import nested_profile
+from ..operators.profile import INDICATORS, profile_long, relative_error
 from ..operators.samplers import uniform_size
 from ..operators.selection import cutoffs
-from ..operators.storage import materialise
+from ..operators.storage import materialise, small_table
 from ..operators.table import AuditTable
 
 
-def nested_samples(t: AuditTable, sizes: Callable[[int], Sequence[tuple]], labels: str, seeds: Sequence[int] = (42,),
-                   algorithm: str = "md5") -> tuple[DataFrame, int, int]:
-    """All samples that are prefixes of one draw order per seed, from two passes over the table.
+def nested_profiles(t: AuditTable, sizes: Callable[[int], Sequence[tuple]], labels: str, seeds: Sequence[int] = (42,),
+                    algorithm: str = "md5") -> tuple[DataFrame, int]:
+    """Profiles of all samples that are prefixes of one draw order per seed: (seed, labels, indicators, sample_size), and N.
 
-    ``sizes(N)`` lists ``(label values..., size)``; ``labels`` is the DDL of the label columns.  Each row is emitted
-    once per (seed, label) whose sample holds it.  Returns the rows, N, and the emitted row count.
+    ``sizes(N)`` lists ``(label values..., size)``; ``labels`` is the DDL of the label columns.  A row is written once per seed
+    with the number of the smallest sample that holds it, however many samples do.
     """
     names = [part.split()[0] for part in labels.split(",")]
     seeded = t.df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
@@ -29,41 +30,33 @@ def nested_samples(t: AuditTable, sizes: Callable[[int], Sequence[tuple]], label
 
     def wanted(totals: dict) -> dict:
         n = max(totals.values(), default=0)
-        listed.extend(sizes(n))
-        return {(s, i): (s, min(item[-1], n)) for s in seeds for i, item in enumerate(listed)}
+        listed.extend((*item[:-1], min(item[-1], n)) for item in sizes(n))
+        return {(s, size): (s, size) for s in seeds for size in {item[-1] for item in listed} if size > 0}
 
     totals, cuts = cutoffs(seeded, draw, t.key_cols, wanted, group=F.col("seed"))
     n = max(totals.values(), default=0)
-    drawn = seeded.withColumn("row_draw", draw)
-    ends, tags = [], []
-    for s in seeds:
-        for i, item in enumerate(listed):
-            cut = cuts[s, i]
-            label = F.struct(*[F.lit(v).alias(name) for name, v in zip(names, item)])
-            if cut.tied:  # equal draws at the end of the sample: the key decides
-                tags.append(F.when(cut.keeps(F.col("row_draw"), t.key_cols, F.col("seed")), label))
-            elif cut.size > 0:
-                end = float("inf") if cut.everything else cut.draw
-                ends.append(F.struct(F.lit(int(s)).alias("seed"), F.lit(end).alias("end"), label.alias("label")))
-    last = {s: max((float("inf") if c.everything else c.draw for (of, _), c in cuts.items() if of == s and c.size > 0), default=-1.0)
-            for s in seeds}
-    # one reference to the draw, as a filter repeats the hash expression for every reference
-    furthest = F.element_at(F.create_map(*[x for s, end in last.items() for x in (F.lit(int(s)), F.lit(end))]), F.col("seed"))
+    levels = sorted({item[-1] for item in listed if item[-1] > 0})
+    spark = t.df.sparkSession
+    described = small_table(spark, [(levels.index(item[-1]), *item[:-1]) for item in listed if item[-1] > 0], f"step int, {labels}")
     seed, row_draw = F.col("seed"), F.col("row_draw")
-    held = F.array().cast(f"array<struct<{', '.join(_field(part) for part in labels.split(','))}>>")
-    if ends:
-        inside = F.filter(F.array(*ends), lambda e: (e["seed"] == seed) & (row_draw <= e["end"]))
-        held = F.transform(inside, lambda e: e["label"])
-    if tags:
-        held = F.concat(held, F.filter(F.array(*tags), lambda x: x.isNotNull()))
-    rows = drawn.where(row_draw <= furthest).withColumn("label", F.explode(held))
-    emitted = sum(c.size for c in cuts.values())
-    return rows.select("seed", *[F.col(f"label.{name}").alias(name) for name in names], *t.measured), n, emitted
-
-
-def _field(part: str) -> str:
-    name, kind = part.split()
-    return f"{name}: {kind}"
+    last = {s: cuts[s, levels[-1]] for s in seeds} if levels else {}
+    furthest = F.element_at(F.create_map(*[x for s in seeds for x in (
+        F.lit(int(s)), F.lit(-1.0 if s not in last else float("inf") if last[s].everything else last[s].draw))]), seed)
+    # one reference to the draw, as a filter repeats the hash expression for every reference
+    drawn = seeded.withColumn("row_draw", draw).where(row_draw <= furthest)
+    beyond = F.lit(0)
+    for s in seeds:
+        mine = F.lit(0)
+        for size in levels:
+            cut = cuts[s, size]
+            # equal draws at the end of a sample: the key decides
+            mine = mine + (~cut.keeps(row_draw, t.key_cols)).cast("int")
+        beyond = F.when(seed == int(s), mine).otherwise(beyond)
+    # exploded, so that no filter on the level moves down and repeats the hash for every size
+    rows = drawn.withColumn("level", F.explode_outer(F.array(beyond))).where(F.col("level") < len(levels)).select("seed", "level", *t.measured)
+    rows = materialise(rows, "curve")  # the samples, not the table, feed the fences and the profile
+    found = nested_profile(rows, max(1, len(levels)), t.measured, t.rules, held=len(seeds) * (levels[-1] if levels else 0))
+    return found.join(F.broadcast(described), "step").select("seed", *names, *INDICATORS, "sample_size"), n
 
 
 def progressive_curve(t: AuditTable, budgets: Sequence[float], seeds: Sequence[int] = (42,), truth: DataFrame | None = None,
@@ -72,9 +65,8 @@ def progressive_curve(t: AuditTable, budgets: Sequence[float], seeds: Sequence[i
     def sizes(n: int):
         return [(float(b), uniform_size(n, b)) for b in budgets]
 
-    rows, n, emitted = nested_samples(t, sizes, "budget double", seeds, algorithm)
-    rows = materialise(rows, "curve")  # the samples, not the table, feed the fences and the profile
-    curve = profile(rows, t.measured, t.rules, group=["seed", "budget"], rows=emitted).withColumn("n_records", F.lit(n).cast("bigint"))
+    found, n = nested_profiles(t, sizes, "budget double", seeds, algorithm)
+    curve = found.withColumn("n_records", F.lit(n).cast("bigint"))
     if truth is None:
         return curve
     return relative_error(curve, truth)

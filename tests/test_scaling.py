@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.draws import Draws
-from plumbline.operators import inject
+from plumbline.operators import inject, nested
+from plumbline.operators.profile import profile
+from plumbline.operators.table import audit
+from plumbline.plans import progressive
 
 
 def _draw(text):
@@ -34,3 +37,35 @@ def test_below_equals_the_comparison_of_numbers(spark):
     edge = _draw("3|t|17")
     for share in (0.05, edge, math.nextafter(edge, 1.0), 1.0 - 2.0**-53, 2.0**-60, 0.0, 1.0, 2.0, -1.0):
         assert rows.where(draws.below(share, "t", "id") != (draws.uniform("t", "id") < share)).count() == 0
+
+
+RULES = [("a", "b"), (("b", "c"), "x")]
+
+
+@pytest.mark.parametrize("rules, few", [((), 10**6), (RULES[:1], 4), (RULES, 16_384), (RULES[1:], 4)])
+def test_nested_samples_equal_samples_alone(spark, monkeypatch, rules, few):
+    monkeypatch.setattr(nested, "FEW", few)
+    rows = spark.range(1500).select(
+        (F.col("id") % 2).cast("int").alias("seed"), F.least(F.pmod(F.xxhash64("id"), F.lit(12)), F.lit(8)).cast("int").alias("level"),
+        F.expr("nullif(pmod(xxhash64(id, 1), 9), 3)").alias("a"), F.expr("nullif(pmod(xxhash64(id, 2), 3), 1)").alias("b"),
+        F.expr("if(pmod(xxhash64(id, 3), 7) = 0, null, 'c' || pmod(xxhash64(id, 3), 5))").alias("c"),
+        F.expr("if(id % 11 = 0, 900.0, pmod(xxhash64(id, 4), 40) / 8D)").alias("x"), F.expr("if(level = 0 or id % 50 = 7, null, 1.5D)").alias("y"))
+    rows = rows.unionByName(rows.where("a = 4 and level > 5")).where("not (seed = 1 and level < 2)")
+    columns = ["a", "b", "c", "x", "y"]
+    found = {(r["seed"], r["step"]): r for r in nested.nested_profile(rows, 10, columns, rules, held=1500).collect()}
+    alone = rows.withColumn("step", F.explode(F.sequence("level", F.lit(9))))
+    wanted = profile(alone, columns, rules, group=["seed", "step"], rows=10**9).collect()
+    assert len(wanted) == len(found) == 18
+    for r in wanted:
+        assert found[r["seed"], r["step"]].asDict() == pytest.approx(r.asDict(), abs=1e-12)
+
+
+def test_a_curve_writes_a_row_once_per_seed(spark, monkeypatch):
+    """It was written once per budget that holds it."""
+    written = []
+    keep = progressive.materialise
+    monkeypatch.setattr(progressive, "materialise", lambda df, name: written.append(keep(df, name)) or written[-1])
+    t = audit(spark.range(400).selectExpr("id", "id % 7 as v"), ["id"], ["v"])
+    curve = progressive.progressive_curve(t, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 1.0, 1.0], [1, 2])
+    assert sorted(r["sample_size"] for r in curve.where("seed = 1").collect()) == [1, 40, 80, 120, 160, 200, 400, 400]
+    assert written[0].count() == 800
