@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_double, nan_to_null, numeric_columns
 from .quantiles import quantile_table
+from .storage import materialise
 from .table import AuditTable, FdRule, fd_rules, row_hashes
 
 MISSING, DUPLICATE, OUTLIER, INCONSISTENCY = INDICATORS = (
@@ -120,13 +121,6 @@ def profile(
     if numeric:
         rowwise = _attach(df, fences(df, numeric, "profile", group, rows, z), group)
     determinants = list(dict.fromkeys(r.determinant for r in usable))
-    broken = F.lit(0)
-    if len(determinants) > 1:
-        marked, flags = rowwise, []
-        for i, det in enumerate(determinants):
-            marked = mark_violations(marked, [r for r in usable if r.determinant == det], f"broken_{i}", group, rows)
-            flags.append(F.col(f"broken_{i}"))
-        rowwise, broken = marked, any_of(flags).cast("int")
 
     h1, h2 = row_hashes(df, measured)
     identity = {f"id_{i}": F.col(f"`{c}`") for i, c in enumerate(measured)} if exact_rows else {"id_1": h1, "id_2": h2}
@@ -143,7 +137,7 @@ def profile(
         dep = {f"dep_{i}": dependent_hash(df, r) for i, r in enumerate(one)}
     reduced = rowwise.select(
         *group, *[c.alias(a) for a, c in {**identity, **det, **dep}.items()], w.alias("w"),
-        count_nulls(measured).alias("nulls"), any_of(outside(numeric)).cast("int").alias("out"), broken.alias("broken"))
+        count_nulls(measured).alias("nulls"), any_of(outside(numeric)).cast("int").alias("out"), F.lit(0).alias("broken"))
     weighed = {c: F.col("w") * F.col(c) for c in ("nulls", "out", "broken")}
     if identity or det:
         contents = reduced.groupBy(*group, *identity, *det, *dep).agg(
@@ -160,6 +154,8 @@ def profile(
     else:
         totals = [*sums, repeated, F.sum("broken").alias("broken")]
     total = contents.groupBy(*group).agg(*totals) if group else contents.agg(*totals)
+    if len(determinants) > 1:
+        total = _attach(total.drop("broken"), _broken_weight(df, usable, group, w), group)
 
     weight_sum = F.col("w") if weight is None else F.col("w") + 1e-12
 
@@ -170,6 +166,32 @@ def profile(
     return total.select(*group, *[rates[i].alias(i) for i in wanted], F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("sample_size"))
 
 
+def _broken_weight(df: DataFrame, rules: Sequence[FdRule], group: Sequence[str], w: Column) -> DataFrame:
+    """Weight of the rows that break a rule, per group, for rules with several determinants.
+
+    Rows are counted by the hashes of their determinants and dependents first, which combines map-side.  The counts, not the rows, are then
+    marked per determinant, and the marks of one determinant do not wait for those of another.
+    """
+    determinants = list(dict.fromkeys(r.determinant for r in rules))
+    of = [[r for r in rules if r.determinant == det] for det in determinants]
+    hashes: dict[str, Column] = {}
+    for k, det in enumerate(determinants):
+        hashes |= {f"det_{k}_{j}": F.when(known(det), h) for j, h in enumerate(row_hashes(df, det))}
+        hashes |= {f"dep_{k}_{j}": dependent_hash(df, r) for j, r in enumerate(of[k])}
+    counted = df.select(*[F.col(f"`{g}`") for g in group], *[c.alias(name) for name, c in hashes.items()], w.alias("w")).groupBy(
+        *[F.col(f"`{g}`") for g in group], *hashes).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    contents = materialise(counted, "contents")  # read once per determinant and once more
+    total = contents.agg(F.sum("n")).first()[0] or 0
+    marked = contents
+    for k, det in enumerate(determinants):
+        on, deps = [f"det_{k}_0", f"det_{k}_1"], [f"dep_{k}_{j}" for j in range(len(of[k]))]
+        clash = F.coalesce(any_of(F.min(d) != F.max(d) for d in deps), F.lit(False))
+        keys = contents.where(F.col(on[0]).isNotNull()).groupBy(*[F.col(f"`{g}`") for g in group], *on).agg(F.sum("n").alias("n"), clash.alias("marked"))
+        marked = mark_keys(marked.withColumnRenamed("n", "rows"), keys, on, f"broken_{k}", total, group, F.col(on[0]).isNotNull()).withColumnRenamed("rows", "n")
+    broken = F.sum(F.when(any_of(F.col(f"broken_{k}") for k in range(len(determinants))), F.col("w"))).alias("broken")
+    return marked.groupBy(*[F.col(f"`{g}`") for g in group]).agg(broken) if group else marked.agg(broken)
+
+
 def profile_table(t: AuditTable, weight: str | None = None, n_records: int | None = None, **options) -> DataFrame:
     """Profile of an audited table or sample; ``n_records`` is the size of the table the rows came from."""
     p = profile(t.df, t.measured, t.rules, weight, rows=options.pop("rows", t.known_rows), **options)

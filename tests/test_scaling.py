@@ -69,3 +69,18 @@ def test_a_curve_writes_a_row_once_per_seed(spark, monkeypatch):
     curve = progressive.progressive_curve(t, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 1.0, 1.0], [1, 2])
     assert sorted(r["sample_size"] for r in curve.where("seed = 1").collect()) == [1, 40, 80, 120, 160, 200, 400, 400]
     assert written[0].count() == 800
+
+
+def test_rules_of_two_determinants_mark_counts_not_rows(spark, monkeypatch):
+    """Whole rows went through one join per determinant, and the first join ran again for the second."""
+    from plumbline.operators import profile as module
+
+    joined = []
+    keep = module.mark_keys
+    monkeypatch.setattr(module, "mark_keys", lambda df, *rest: joined.append(df.count()) or keep(df, *rest))
+    rows = spark.range(4000).selectExpr("nullif(id % 7, 3) as a", "id % 7 % 3 as b", "if(id % 5 = 0, id % 2, 9) as c", "id % 5 as e", "id % 2 as g", "id as unique")
+    found = profile(rows, ["a", "b", "c", "e", "unique"], [("a", "b"), ("e", "c")], group=["g"], indicators=["inconsistency_rate"]).collect()
+    assert [r["inconsistency_rate"] for r in found] == [0.0, 0.0] and max(joined) < 100
+    rows = rows.drop("g")
+    whole = profile(rows, ["a", "b", "c", "e"], [("a", "b"), ("e", "c")], indicators=["inconsistency_rate"]).first()
+    assert whole["inconsistency_rate"] == pytest.approx(0.2) and whole["sample_size"] == 4000
