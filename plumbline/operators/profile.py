@@ -46,6 +46,22 @@ def fences(df: DataFrame, columns: Sequence[str], rule: str = "profile", group:
     return stats.select(*group, *fence_columns(len(columns), rule, z))
 
 
+def table_fences(t: AuditTable, rule: str = "profile") -> DataFrame:
+    """:func:`fences` of the numeric columns of a table.  Counts, moments and quartiles are found once per table and serve every rule."""
+    columns = t.numeric
+    stored = vars(t).get("_moments")
+    if stored is None:
+        moments = []
+        for i, c in enumerate(columns):
+            x = as_double(c)
+            moments += [F.count(x).alias(f"n_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"samp_{i}"), F.stddev_pop(x).alias(f"pop_{i}")]
+        quartiles = quantile_table(t.df, columns, (0.25, 0.75), rows=t.rows)
+        stats = t.df.agg(*moments).crossJoin(F.broadcast(quartiles.select(*[F.col(f"`{c}`").alias(f"q_{i}") for i, c in enumerate(columns)])))
+        stored = vars(t)["_moments"] = materialise(stats, "moments")
+    sd = "samp" if rule == "profile" else "pop"
+    return stored.withColumns({f"sd_{i}": F.col(f"{sd}_{i}") for i in range(len(columns))}).select(*fence_columns(len(columns), rule))
+
+
 def fence_columns(n_columns: int, rule: str = "profile", z: float = 3.0) -> list[Column]:
     """``low_i``/``high_i`` from quartiles ``q_i``, counts ``n_i``, means ``mean_i`` and deviations ``sd_i``."""
     out = []
@@ -103,11 +119,12 @@ def profile(
     z: float = 3.0,
     exact_rows: bool = False,
     indicators: Sequence[str] = INDICATORS,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """The rates asked for and ``sample_size`` of ``df``, in one row, or in one row per ``group``.
 
     ``weight`` makes them weighted means; fences stay unweighted.  ``exact_rows`` groups by the columns themselves
-    instead of their hash.  NaN counts as missing.  Only what ``indicators`` need is computed: missing and outlier
+    instead of their hash.  ``bounds`` are the fences if they are known.  NaN counts as missing.  Only what ``indicators`` need is computed: missing and outlier
     rates shuffle no row.
     """
     df, group, wanted = nan_to_null(df), list(group), [i for i in INDICATORS if i in set(indicators)]
@@ -119,7 +136,7 @@ def profile(
 
     rowwise = df
     if numeric:
-        rowwise = _attach(df, fences(df, numeric, "profile", group, rows, z), group)
+        rowwise = _attach(df, fences(df, numeric, "profile", group, rows, z) if bounds is None else bounds, group)
     determinants = list(dict.fromkeys(r.determinant for r in usable))
 
     h1, h2 = row_hashes(df, measured)
@@ -194,6 +211,8 @@ def _broken_weight(df: DataFrame, rules: Sequence[FdRule], group: Sequence[str],
 
 def profile_table(t: AuditTable, weight: str | None = None, n_records: int | None = None, **options) -> DataFrame:
     """Profile of an audited table or sample; ``n_records`` is the size of the table the rows came from."""
+    if t.known_rows is None and t.numeric and not {"group", "z"} & set(options) and OUTLIER in options.get("indicators", INDICATORS):
+        options["bounds"] = table_fences(t)  # a whole table, which samplers look at too
     p = profile(t.df, t.measured, t.rules, weight, rows=options.pop("rows", t.known_rows), **options)
     size = F.col("sample_size") if n_records is None else F.lit(n_records).cast("bigint")
     return p.withColumn("n_records", size)

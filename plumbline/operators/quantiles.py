@@ -32,10 +32,11 @@ def quantile_table(
     every target, so none has to be stored and looked at.
     """
     names = {g: f"g_{k}" for k, g in enumerate(group)}
-    cells = df.select(*[F.col(f"`{g}`").alias(n) for g, n in names.items()], F.explode(F.array(*[
-        F.struct(F.lit(k).alias("i"), as_double(c).alias("v")) for k, c in enumerate(columns)])).alias("cell")).select(*names.values(), "cell.i", "cell.v")
+    named = df.select(*[F.col(f"`{g}`").alias(n) for g, n in names.items()], *[as_double(c).alias(f"v_{k}") for k, c in enumerate(columns)])
+    cells = named.select(*names.values(), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("i"), F.col(f"v_{k}").alias("v")) for k in range(len(columns))])).alias("cell")).select(*names.values(), "cell.i", "cell.v")
     by = [*names.values(), "i"]
-    targets = _targets(cells, by, probs)
+    targets = _targets(named, list(names.values()), len(columns), probs)
     if rows is not None and rows <= SMALL_BIN:
         targets = _narrowed(cells, targets, by)
     else:
@@ -48,9 +49,12 @@ def quantile_table(
 OPEN = "coalesce(lo != hi, false)"
 
 
-def _targets(cells: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """The ranks wanted of every group and column, each with the whole range as its interval."""
-    whole = cells.groupBy(*by).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+def _targets(named: DataFrame, group: Sequence[str], n_columns: int, probs: Sequence[float]) -> DataFrame:
+    """The ranks wanted of every group and column, each with the whole range as its interval; columns are summed up side by side, not as cells."""
+    sums = [f(f"v_{k}").alias(f"{name}_{k}") for k in range(n_columns) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    listed = F.array(*[F.struct(F.lit(k).alias("i"), *[F.col(f"{c}_{k}").alias(c) for c in ("n", "lo", "hi")]) for k in range(n_columns)])
+    by = [*group, "i"]
+    whole = named.groupBy(*group).agg(*sums).select(*group, F.inline(listed))
     at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: (F.col("n") - 1) * p)
     ranks = F.array_distinct(F.concat(F.transform(at, lambda x: F.floor(x)), F.transform(at, lambda x: F.ceil(x))))
     wanted = whole.select(*by, F.col("n").alias("total"), "lo", "hi", "n", F.lit(0).cast("bigint").alias("below"), F.explode(ranks).alias("rank"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double
-from .profile import count_nulls, fences
+from .profile import count_nulls, table_fences
 from .table import AuditTable
 
 EPSILON = 1e-6
@@ -33,7 +33,7 @@ class CellRules:
         columns = tuple(t.numeric)
         if not columns:
             return cls((), ())
-        row = fences(t.df, columns, rule, rows=t.rows).first()
+        row = table_fences(t, rule).first()
         return cls(columns, tuple((row[f"low_{i}"], row[f"high_{i}"]) for i in range(len(columns))))
 
     def outlying(self) -> list[Column]:
