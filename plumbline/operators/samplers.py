@@ -9,7 +9,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import Draws
@@ -20,7 +20,7 @@ from .storage import materialise
 from .strata import neyman, stratify
 from .table import AuditTable, with_ordinal
 
-WEIGHT = "w"
+WEIGHT, DRAW = "w", "__draw"
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,24 @@ def _draws(seed) -> Draws:
 
 
 def _by_draw(t: AuditTable, method: str, size, seed) -> Sample:
-    draw = _draws(seed).uniform("row", *t.key_cols)
+    draws, n = _draws(seed), t.rows
+    draw, goal = draws.uniform("row", *t.key_cols), size(t.rows)
+    share = likely_share(goal, n)
+    if 0 < goal and share < 1:
+        # the only pass that hashes every row; what it writes holds the sample unless it is too small
+        early = materialise(t.df.where(draws.below(share, "row", *t.key_cols)).withColumn(DRAW, draw), method)
+        found, cut = smallest(early, F.col(DRAW), t.key_cols, lambda _: goal)
+        if found >= goal:
+            return Sample(t.with_rows(early.where(cut.keeps(F.col(DRAW), t.key_cols)).drop(DRAW), goal), n, goal, method, kept=True)
     n, cut = smallest(t.df, draw, t.key_cols, size)
     return Sample(t.with_rows(t.df.where(cut.keeps(draw, t.key_cols)), cut.size), n, cut.size, method)
 
 
+def likely_share(goal: int, n: int) -> float:
+    """A draw that the ``goal``-th smallest of ``n`` uniform draws does not reach, save for odds below 1e-9."""
+    return (goal + 6 * math.sqrt(goal) + 40) / n if n else 1.0
+
+
 # sizes as functions of the row count
 def uniform_size(n: int, budget: float) -> int:
     return max(1, int(n * budget))
@@ -114,11 +127,25 @@ def stratified(t: AuditTable, budget: float, seed=42, by: str = "quality", n_str
         sample = random_uniform(t, budget, seed)
         return Sample(sample.table, sample.n_total, sample.n_sampled, method)
     draw = _draws(seed).uniform("row", *t.key_cols)
-    _, cuts = cutoffs(t.df, draw, t.key_cols, lambda _: {s.stratum: (s.stratum, s.allocated) for s in plan}, group=stratum)
-    df, kept = t.df.withColumn("stratum", stratum), F.lit(False)
+    # the only pass that hashes every row; what it writes holds the sample unless a stratum is too small in it
+    share = F.lit(0.0)
+    for s in plan:
+        share = F.when(F.col("stratum") == s.stratum, F.lit(likely_share(s.allocated, s.n_rows) if s.allocated else 0.0)).otherwise(share)
+    tagged = t.df.withColumn("stratum", stratum)
+    df = materialise(tagged.where(draw < share).withColumn(DRAW, draw), method)
+
+    def chosen(rows: DataFrame, by: Column) -> tuple[dict, dict]:
+        return cutoffs(rows, by, t.key_cols, lambda _: {s.stratum: (s.stratum, s.allocated) for s in plan}, group=F.col("stratum"))
+
+    found, cuts = chosen(df, F.col(DRAW))
+    stored = all(found.get(s.stratum, 0) >= s.allocated for s in plan)
+    if not stored:
+        df = tagged.withColumn(DRAW, draw)
+        _, cuts = chosen(df, F.col(DRAW))
+    kept = F.lit(False)
     for s in plan:
-        kept = kept | cuts[s.stratum].keeps(draw, t.key_cols, F.col("stratum"))
-    df = df.where(kept)
+        kept = kept | cuts[s.stratum].keeps(F.col(DRAW), t.key_cols, F.col("stratum"))
+    df = df.where(kept).drop(DRAW)
     size = sum(c.size for c in cuts.values())
     weight = None
     if weights == "design":
@@ -127,7 +154,7 @@ def stratified(t: AuditTable, budget: float, seed=42, by: str = "quality", n_str
             if s.allocated:
                 w = F.when(F.col("stratum") == s.stratum, s.n_rows / s.allocated).otherwise(w)
         df = df.withColumn(WEIGHT, w)
-    return Sample(t.with_rows(df, size), n_total, size, method, weight)
+    return Sample(t.with_rows(df, size), n_total, size, method, weight, kept=stored)
 
 
 def cluster(t: AuditTable, budget: float, seed=42, order_cols: Sequence[str] = (), **ordinal_options) -> Sample:
