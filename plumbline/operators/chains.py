@@ -204,26 +204,31 @@ def walk_chain(t: AuditTable, budget: float, seed: int, proposals: Proposals, ru
     n, cut = smallest(narrow, F.col("start"), keys, lambda rows: min(batch_size, rows), spread=weight_spread)
     goal = chain_goal(n, budget, batch_size)
     in_start = cut.keeps(F.col("start"), keys)
-    first = narrow.where(in_start).agg(F.coalesce(F.sum("defects"), F.lit(0)).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    warm = materialise(narrow.where(in_start), "warm")
+    first = warm.agg(F.coalesce(F.sum("defects"), F.lit(0)).alias("d"), F.count(F.lit(1)).alias("n")).first()
     state = ChainState(first["d"], first["n"])
 
-    warm = narrow.where(in_start)
     return steps_to_goal(narrow.where(~in_start), warm, n, goal, state, keys, proposals, draws, lam, batch_size, cells, segment)
 
 
 def narrow_rows(t: AuditTable, proposals: Proposals, rules: CellRules, draws: Draws) -> DataFrame:
-    """Every draw and score once per row, in a narrow table that all later passes read."""
+    """Every draw and score once per row, in a narrow table that all later passes read: ``stream`` and ``u_chunk`` are those of the first round."""
     keys = list(t.key_cols)
     start = draws.exponential("start", *keys) / (rules.score() + EPSILON)
     return t.df.select(
         *keys, (rules.outlying_cells() + rules.missing_cells()).cast("bigint").alias("defects"), start.alias("start"),
-        proposals.stream.alias("home"), draws.uniform("row", *keys).alias("row_draw"))
+        proposals.stream.alias("home")).withColumns(_streamed(draws, "pool0", keys))
+
+
+def _streamed(draws: Draws, tag: str, keys: Sequence[str]) -> dict[str, Column]:
+    forced = draws.uniform(tag, *keys) < FORCED_SHARE
+    return {"u_chunk": draws.uniform(tag, *keys, half=1), "stream": F.when(forced, F.lit(FORCED)).otherwise(F.col("home"))}
 
 
 def steps_to_goal(pool: DataFrame, warm: DataFrame, n: int, goal: int, state: ChainState, keys: list[str], proposals: Proposals, draws: Draws,
                   lam: float | None, batch_size: int, cells: int, segment: int = SEGMENT, first_round=None) -> Walk:
     """Rounds over the pool until the goal is reached; ``first_round(state)`` replaces the first one."""
-    columns = [*keys, "defects", "start", "home", "row_draw"]
+    columns = [*keys, "defects", "start", "home"]
     taken, left = [warm.select(*columns, F.lit(0).cast("bigint").alias("entry"))], n - state.rows
     round_no, rounds = 0, []
     while state.rows < goal and left > 0:
@@ -242,7 +247,7 @@ def steps_to_goal(pool: DataFrame, warm: DataFrame, n: int, goal: int, state: Ch
     picked = taken[0]
     for part in taken[1:]:
         picked = picked.unionByName(part)
-    return Walk(picked, n, goal, state, rounds)
+    return Walk(picked.withColumn("row_draw", draws.uniform("row", *keys)), n, goal, state, rounds)
 
 
 def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, state, round_no, segment):
@@ -253,14 +258,14 @@ def _round(pool, left, key_cols, proposals, draws, lam, batch, goal, cells, stat
     if left <= batch:
         return _last_batch(pool, left, key_cols, draws, lam, forced_size, cells, state, round_no)
 
-    streamed = pool.withColumns({"u_chunk": draws.uniform(tag, *key_cols, half=1), "stream": F.when(
-        draws.uniform(tag, *key_cols) < FORCED_SHARE, F.lit(FORCED)).otherwise(F.col("home"))})
+    streamed = pool.withColumns(_streamed(draws, tag, key_cols)) if round_no else pool
     sizes = {r["stream"]: r["count"] for r in streamed.groupBy("stream").count().collect()}  # a row per stream
     chunks = {s: max(1, c // (forced_size if s == FORCED else batch)) for s, c in sizes.items()}
-    per_stream = F.element_at(F.create_map(*[x for s, c in sorted(chunks.items()) for x in (F.lit(s), F.lit(c))]), F.col("stream"))
-    placed = streamed.withColumn("chunk", F.floor(F.col("u_chunk") * per_stream).cast("bigint"))
+    counts = small_table(pool.sparkSession, sorted(chunks.items()), "stream string, n_chunks bigint")
+    placed = streamed.join(F.broadcast(counts), "stream").withColumn("chunk", F.floor(F.col("u_chunk") * F.col("n_chunks")).cast("bigint")).drop("n_chunks")
 
-    batches = placed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("size"), F.sum("defects").alias("defects"))
+    # written once, as it is read for proposals and for forced chunks
+    batches = materialise(placed.groupBy("stream", "chunk").agg(F.count(F.lit(1)).alias("size"), F.sum("defects").alias("defects")), "batches")
     return take_chunks(placed, batches, chunks, proposals, draws, lam, forced_size, goal, cells, state, round_no, segment)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import Draws
-from .chains import FORCED, FORCED_SHARE, SEGMENT, ChainState, Proposals, Walk, chain_goal, narrow_rows, steps_to_goal, take_chunks
+from .chains import FORCED, SEGMENT, ChainState, Proposals, Walk, chain_goal, narrow_rows, steps_to_goal, take_chunks
 from .score import CellRules
 from .selection import Cutoff, cutoffs, weight_spread
 from .storage import materialise
@@ -52,9 +52,7 @@ def plant(t: AuditTable, batches: Sequence[int], seed: int, proposals: Proposals
         raise ValueError("batch sizes must be at least 1")
     draws, keys = Draws(seed), list(t.key_cols)
     unit, forced_unit = math.gcd(*batches), math.gcd(*[max(1, b // 4) for b in batches])
-    streamed = materialise(narrow_rows(t, proposals, rules, draws).withColumns({
-        "u_chunk": draws.uniform("pool0", *keys, half=1),
-        "stream": F.when(draws.uniform("pool0", *keys) < FORCED_SHARE, F.lit(FORCED)).otherwise(F.col("home"))}), "streamed")
+    streamed = materialise(narrow_rows(t, proposals, rules, draws), "streamed")
     sizes = {r["stream"]: r["count"] for r in streamed.groupBy("stream").count().collect()}  # a row per stream
     n_leaves = {s: max(1, c // (forced_unit if s == FORCED else unit)) for s, c in sizes.items()}
     per_stream = F.element_at(F.create_map(*[x for s, c in sorted(n_leaves.items()) for x in (F.lit(s), F.lit(c))]), F.col("stream")) if n_leaves else F.lit(1)
