@@ -6,7 +6,8 @@ only documents that meet at an anchor can share a window. Runs of windows with o
 wrong pair with odds of about n * n / 2^65) are folded: the first document keeps, all others give. Where documents have different
 segments at one anchor (at the borders of what they share) the windows of these segments are compared by suffix sorting:
 shards of whole anchors lie in scratch files of the task, are sorted with disk-backed queues, and windows whose
-common-prefix values reach `length` are one class with one first document.
+common-prefix values reach `length` are one class with one first document. Segments that have too little about their
+anchor in common with any other document's are left out of the sort, as no window of theirs can be shared.
 
 Anchors and digests travel packed by part, 13 bytes a segment. Of equal segments in one task only the first document's
 goes on, so a passage that every document has costs one entry a task.
@@ -33,6 +34,8 @@ GRAM = 16
 STRETCH = 1 << 20
 #: Bytes of segments in one shard: sorted in memory up to here, from scratch files beyond.
 SHARD = 3_000_000
+#: Depths of an anchor in a window that are looked at together before sorting.
+BAND = 9
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -76,6 +79,12 @@ def segments(raws: list[bytes], length: int, parts: int) -> Iterator[tuple[np.nd
 
     The token stands for the anchor, see meeting.place().
     """
+    for *columns, _ in anchored(raws, length, parts):
+        yield tuple(columns)
+
+
+def anchored(raws: list[bytes], length: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of segments(), and the place of the anchor in the segment."""
     pieces = [(k, at, raw[at : at + STRETCH + length - 1]) for k, raw in enumerate(raws) for at in range(0, max(0, len(raw) - length + 1), STRETCH)]
     at = 0
     while at < len(pieces):
@@ -99,7 +108,7 @@ def segments(raws: list[bytes], length: int, parts: int) -> Iterator[tuple[np.nd
         who, count = owner[first], np.diff(np.append(first, len(own)))
         place = begin[who] + window[first]
         yield (np.array([p[0] for p in part])[who], window[first] + np.array([p[1] for p in part])[who], count,
-               meeting.place(hashes[own[first]], parts), _spans(data, place, place + count + length - 1).astype(np.int64))
+               meeting.place(hashes[own[first]], parts), _spans(data, place, place + count + length - 1).astype(np.int64), own[first] - place)
 
 
 def _key(token: np.ndarray, digest: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -223,24 +232,63 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return map_slices(docs, "text", handle, "id long, packed binary")
 
 
+def may_share(text: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Which segments may share a window with another document's; segments lie one after the other, each with an end mark.
+
+    Equal windows hold their anchor at the same depth. Windows that hold it at one of the depths of a band all hold the bytes
+    that these depths have in common, so a segment whose bytes of no band occur in another document's shares no window.
+    """
+    gram, n = min(GRAM, length), len(size)
+    low = np.arange(0, length - gram + 1, BAND)
+    high = np.minimum(low + BAND - 1, length - gram)
+    start, keys = np.cumsum(size) - size, np.zeros((len(low), n), np.uint64)
+    step = max(1, STRETCH // (2 * length))  # a segment has fewer than 2 * length bytes
+    for k in range(0, n, step):
+        base, own = start[k], slice(k, k + step)
+        data = np.asarray(text[base : base + size[own].sum()])
+        at = start[own] - base + anchor[own]
+        begin, end = np.maximum(at - low[:, None], 0), np.minimum(at + (length - high)[:, None], len(data))
+        keys[:, own] = _spans(data, begin.ravel(), end.ravel()).reshape(begin.shape)
+    found = np.zeros(n, bool)
+    for k in range(len(low)):
+        mine = np.flatnonzero((anchor >= low[k]) & (anchor - (size - length) < high[k]))  # windows hold the anchor from anchor down
+        if not len(mine):
+            continue
+        mine = mine[np.argsort(keys[k, mine])]
+        first = np.flatnonzero(np.concatenate([[True], keys[k, mine[1:]] != keys[k, mine[:-1]]]))
+        several = np.minimum.reduceat(doc[mine], first) < np.maximum.reduceat(doc[mine], first)
+        found[mine[np.repeat(several, np.diff(np.append(first, len(mine))))]] = True
+    return found
+
+
 def _sorted_shards(pieces: DataFrame, length: int, memory: int, inner: int) -> DataFrame:
     """Suffix-sorts each partition's segments. (id, token, digest, ranges): windows of a segment that an earlier document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            sizes, docs, names = [], [], []
-            with open(f"{folder}/text", "wb") as file:
+            sizes, docs, names, anchors = [], [], [], []
+            with open(f"{folder}/all", "wb") as file:
                 for batch in batches:
                     for raw in batch["bytes"].to_pylist():
                         file.write(raw + b"\xff")
                         sizes.append(len(raw) + 1)
                     docs.append(np.asarray(batch["id"]))
                     names.append(np.stack([np.asarray(batch["token"]), np.asarray(batch["digest"])], axis=1))
+                    anchors.append(np.asarray(batch["anchor"]))
             if not sizes:
                 return
-            text, size = np.memmap(f"{folder}/text", np.uint8, "r"), np.array(sizes)
+            whole, size = np.memmap(f"{folder}/all", np.uint8, "r"), np.array(sizes)
             doc, name = np.concatenate(docs), np.concatenate(names)
-            end = np.cumsum(size)
+            kept = may_share(whole, size, np.concatenate(anchors), doc, length)
+            if not kept.any():
+                return
+            with open(f"{folder}/text", "wb") as file:
+                edge = np.cumsum(size)
+                for k in range(0, len(size), 20_000):
+                    own = slice(k, k + 20_000)
+                    file.write(whole[edge[k] - size[k] : edge[own][-1]][np.repeat(kept[own], size[own])].tobytes())
+            doc, name, size = doc[kept], name[kept], size[kept]
+            text, end = np.memmap(f"{folder}/text", np.uint8, "r"), np.cumsum(size)
             earliest = induced.array(folder, "earliest", len(text), np.int64)
             for positions, common in induced.suffixes(text, folder, length, memory, inner):
                 new = np.flatnonzero(common < length)
@@ -289,19 +337,19 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         who, token, digest = _pairs(batch["pairs"].to_pylist())
         wanted, rows = np.sort(_key(token, digest, who)), []
         open_ = np.ones(len(wanted), bool)  # a segment that stands twice in a text is sorted once
-        for text, first, windows, token, digest in segments(raws, length, parts):
+        for text, first, windows, token, digest, anchor in anchored(raws, length, parts):
             at = _among(_key(token, digest, text), wanted)
             mine = np.flatnonzero((at >= 0) & open_[at] if len(wanted) else np.zeros(len(at), bool))
             mine = mine[np.sort(np.unique(at[mine], return_index=True)[1])]
             open_[at[mine]] = False
-            for t, f, n, x, d in zip(*(c[mine].tolist() for c in (text, first, windows, token, digest)), strict=True):
-                rows.append((x, d, ids[t], raws[t][f : f + n + length - 1]))
-        kinds = [pa.int64()] * 3 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)], ["token", "digest", "id", "bytes"])
+            for t, f, n, x, d, a in zip(*(c[mine].tolist() for c in (text, first, windows, token, digest, anchor)), strict=True):
+                rows.append((x, d, ids[t], a, raws[t][f : f + n + length - 1]))
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["token", "digest", "id", "anchor", "bytes"])
 
     amount = met.where(F.col("kind") == BORDER).agg(F.sum(F.length("pairs"))).first()[0] or 0
     shards = max(1, -(-int(amount) // 16 * (length + 20) // shard_bytes))
-    pieces = map_slices(packed.join(border, "id").dropDuplicates(["id"]), "packed", cut, "token long, digest long, id long, bytes binary", 1_000_000)
+    pieces = map_slices(packed.join(border, "id").dropDuplicates(["id"]), "packed", cut, "token long, digest long, id long, anchor long, bytes binary", 1_000_000)
     ranges = keep(_sorted_shards(pieces.repartition(shards, "token"), length, memory, inner), "border-ranges")
     equal = met.where(F.col("kind") == EQUAL).groupBy("id").agg(F.collect_list("pairs").alias("pairs"))
     partly = ranges.groupBy("id").agg(F.collect_list(F.struct("token", "digest", "ranges")).alias("parts"))

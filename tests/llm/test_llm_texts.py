@@ -164,6 +164,26 @@ def test_segments_of_one_anchor_with_near_digests_both_stay(spark):
         assert not row.spans and row.n_bytes == len(row.kept) == 50
 
 
+def test_segments_that_can_share_no_window_are_not_sorted():
+    """All that share a window with another document stay; the many that only have their anchor in common go."""
+    rng = random.Random(4)
+    for length in (10, 16, 50, 120):
+        text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+        common, anchor = text(3 * length), text(16)
+        raws = [(text(60) + rng.choice([anchor, common[k % 90 : k % 90 + length], common[: length - 1], text(20)]) + text(60)).encode() for k in range(150)]
+        columns = [np.concatenate(c) for c in zip(*suffix_dedup.anchored(raws, length, 8), strict=True)]
+        who, first, windows, at = columns[0], columns[1], columns[2], columns[5]
+        pieces = [raws[t][f:f + n + length - 1] for t, f, n in zip(who.tolist(), first.tolist(), windows.tolist(), strict=True)]
+        whole = np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)
+        found = suffix_dedup.may_share(whole, np.array([len(p) + 1 for p in pieces]), at, who, length)
+        owners = {}
+        for t, piece in zip(who.tolist(), pieces, strict=True):
+            for p in range(len(piece) - length + 1):
+                owners.setdefault(piece[p:p + length], set()).add(t)
+        shares = np.array([any(len(owners[p[k:k + length]]) > 1 for k in range(len(p) - length + 1)) for p in pieces])
+        assert shares.any() and not (shares & ~found).any() and found.sum() < 2 * shares.sum() + 20
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     rng = random.Random(9)
     line = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
