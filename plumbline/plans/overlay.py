@@ -139,12 +139,15 @@ def variant_profiles(o: Overlay, parts: Sequence[tuple[int, Column, ErrorRates]]
     def moved(name: str, kind: str) -> Column:
         return (F.col(name) <= F.col(f"b_{kind}")) != (F.col(name) <= F.col(f"v_{kind}"))
 
-    touched = [was != is_, *[moved(f"missing_{k}", "missing") for k in range(len(t.measured))],
-               *[moved(f"outlier_{k}", "outlier") for k, c in enumerate(t.measured) if c in numeric]]
-    touched += [moved("broken_level", "inconsistency")] if t.rules else []
-    pairs = rows.join(F.broadcast(listed), "part").where(any_of(touched) & (was | is_))
+    def touched(columns: Sequence[str]) -> Column:
+        flags = [was != is_, *[moved(f"missing_{k}", "missing") for k, c in enumerate(t.measured) if c in columns],
+                 *[moved(f"outlier_{k}", "outlier") for k, c in enumerate(t.measured) if c in columns and c in numeric]]
+        return any_of(flags + ([moved("broken_level", "inconsistency")] if t.rules else []))
+
+    ruled = touched([*t.rules[0].determinant, t.rules[0].dependent]) if t.rules else F.lit(False)
+    pairs = rows.join(F.broadcast(listed), "part").where(touched(t.measured) & (was | is_)).withColumn("ruled", ruled)
     sides = F.array(F.when(was, F.struct(F.lit(-1).alias("sign"), *content("b"))), F.when(is_, F.struct(F.lit(1).alias("sign"), *content("v"))))
-    delta = pairs.select("variant", "part", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x")).select("variant", "part", "x.*")
+    delta = pairs.select("variant", "part", "ruled", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x")).select("variant", "part", "ruled", "x.*")
     delta = materialise(_reduced(t, numeric, delta), "delta")
 
     plain = base.groupBy("part").agg(F.count(F.lit(1)).alias("n_base"), F.sum("nulls").alias("nulls_base"))
@@ -176,14 +179,15 @@ def _reduced(t: AuditTable, numeric: Sequence[str], df: DataFrame) -> DataFrame:
         d1, d2 = row_hashes(df, rule.determinant)
         columns |= {"det_1": F.when(known, d1), "det_2": F.when(known, d2),
                     "dep": F.when(F.col(f"`{rule.dependent}`").isNotNull(), row_hashes(df, [rule.dependent])[0])}
-    kept = [c for c in ("variant", "part", "sign") if c in df.columns]
+    kept = [c for c in ("variant", "part", "ruled", "sign") if c in df.columns]
     return df.select(*kept, *[c.alias(a) for a, c in columns.items()])
 
 
 def _repeated(base: DataFrame, delta: DataFrame) -> list[tuple[DataFrame, str]]:
     """Rows whose content occurs more than once: only contents that a variant touches are looked up."""
     content = ["id_1", "id_2"]
-    counts = base.groupBy("part", *content).agg(F.count(F.lit(1)).alias("n"))
+    # never null; said here, so that both uses of the counts have one plan and share one shuffle
+    counts = base.where("part is not null and id_1 is not null and id_2 is not null").groupBy("part", *content).agg(F.count(F.lit(1)).alias("n"))
     change = delta.groupBy("variant", "part", *content).agg(F.sum("sign").alias("d")).where("d != 0")
     met = change.join(counts, ["part", *content], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -198,15 +202,20 @@ def _broken(base: DataFrame, delta: DataFrame) -> list[tuple[DataFrame, str]]:
     """Rows of determinants with several dependents.
 
     A variant changes the number of dependents of a determinant where a pair of both appears or ends, so the
-    dependents of a determinant are never gathered, however many it has.
+    dependents of a determinant are never gathered, however many it has.  Rows whose pair a variant leaves alone lose and gain it.
     """
-    det = ["det_1", "det_2"]
-    pairs = base.where("det_1 is not null").groupBy("part", *det, "dep").agg(F.count(F.lit(1)).alias("n"))
-    dets = pairs.groupBy("part", *det).agg(F.sum("n").alias("rows"), F.count("dep").alias("deps"))
-    change = delta.where("det_1 is not null").groupBy("variant", "part", *det, "dep").agg(F.sum("sign").alias("d"))
-    # a null dependent is no dependent, but its row counts; null keys meet no partner, which is right for them
-    met = change.join(pairs, ["part", *det, "dep"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    appeared = F.when(F.col("dep").isNotNull(), (F.col("n") + F.col("d") > 0).cast("int") - (F.col("n") > 0).cast("int")).otherwise(F.lit(0))
+    det, pair = ["det_1", "det_2"], ["det_1", "det_2", "dep", "known"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        # a null dependent is no dependent, but its row counts; without null keys all uses of the pairs share one shuffle
+        df = df.where("part is not null and det_1 is not null and det_2 is not null")
+        return df.withColumn("known", F.col("dep").isNotNull()).withColumn("dep", F.coalesce("dep", F.lit(0)))
+
+    pairs = keyed(base).groupBy("part", *pair).agg(F.count(F.lit(1)).alias("n"))
+    dets = pairs.groupBy("part", *det).agg(F.sum("n").alias("rows"), F.sum(F.col("known").cast("bigint")).alias("deps"))
+    change = keyed(delta.where("ruled")).groupBy("variant", "part", *pair).agg(F.sum("sign").alias("d")).where("d != 0")
+    met = change.join(pairs, ["part", *pair], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    appeared = F.when(F.col("known"), (F.col("n") + F.col("d") > 0).cast("int") - (F.col("n") > 0).cast("int")).otherwise(F.lit(0))
     touched = met.groupBy("variant", "part", *det).agg(F.sum("d").alias("drows"), F.sum(appeared).alias("ddeps"))
     seen = touched.join(dets, ["part", *det], "left").na.fill(0, ["rows", "deps"])
     before = F.when(F.col("deps") > 1, F.col("rows")).otherwise(F.lit(0))
@@ -254,7 +263,7 @@ def sweep_results(t: AuditTable, kinds: Sequence[str], rates: Sequence[float], m
     """The overlay, and one row per (error_type, error_rate, method, budget, seed) with estimates and true rates (``true_...``).
 
     ``methods`` take a prefix of the draw order.  A sample of a variant is the prefix among the rows the variant has, so variants
-    with equally many copies share the rows of a sample; each such sample is one part.
+    with equally many copies share the rows of a sample; each such sample is one part, also if several methods or budgets take as many rows.
     """
     listed = sweep(kinds, rates, others)
     o = lay_over(t, [r for *_, r in listed], damage_seed)
@@ -264,23 +273,26 @@ def sweep_results(t: AuditTable, kinds: Sequence[str], rates: Sequence[float], m
     keys = [*t.key_cols, COPY_NO]
     parts: list[tuple[int, Column, ErrorRates]] = [(0, F.lit(True), base)]
     variants: list[tuple[int, int, ErrorRates]] = [(v, 0, r) for v, (*_, r) in enumerate(listed)]
-    conditions, described = [], {}
+    described: list[tuple] = []
     for level, n in enumerate(o.sizes):
         those = [(v, r) for v, (*_, r) in enumerate(listed) if o.levels(r)[1] == level]
-        held = o.present(F.lit(level))
+        held, near = o.present(F.lit(level)), base if o.levels(base)[1] == level else those[0][1] if those else base
         for seed in seeds if those else ():
             draw = Draws(seed).uniform("row", *keys)
             wanted = {(m, b): (None, min(n, PREFIX_SIZES[m](n, b))) for m in methods for b in budgets}
             _, cuts = cutoffs(o.rows.where(held), draw, keys, lambda _: wanted)
+            first: dict[int, int] = {}  # by size of the prefix, the number of its first variant
             for (m, b), cut in cuts.items():
-                parts.append((len(parts), held & cut.keeps(draw, keys), those[0][1]))
-                for v, r in those:
-                    described[len(variants)] = (len(variants), v, m, float(b), int(seed), n)
-                    variants.append((len(variants), len(parts) - 1, r))
+                size = wanted[m, b][1]
+                if size not in first:
+                    first[size] = len(variants)
+                    parts.append((len(parts), held & cut.keeps(draw, keys), near))
+                    variants += [(first[size] + k, len(parts) - 1, r) for k, (_, r) in enumerate(those)]
+                described += [(first[size] + k, v, m, float(b), int(seed), n) for k, (v, _) in enumerate(those)]
     found = materialise(variant_profiles(o, parts, variants), "variants")
     spark = o.rows.sparkSession
     truth = found.where(F.col("variant") < len(listed)).select(F.col("variant").alias("truth_of"), *[F.col(i).alias(f"true_{i}") for i in INDICATORS])
     names = small_table(spark, [(v, kind, rate) for v, (kind, rate, _) in enumerate(listed)], "truth_of int, error_type string, error_rate double")
-    rows = small_table(spark, list(described.values()), "variant int, truth_of int, method string, budget double, seed bigint, n_records bigint")
+    rows = small_table(spark, described, "variant int, truth_of int, method string, budget double, seed bigint, n_records bigint")
     small = F.broadcast(rows.join(F.broadcast(names), "truth_of"))
     return o, found.join(small, "variant").join(F.broadcast(truth), "truth_of").drop("truth_of", "variant")

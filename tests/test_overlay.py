@@ -81,3 +81,16 @@ def test_methods_without_a_prefix_run_alone(spark):
     found = experiments.robustness(t, ["missing", "outlier"], [0.1], ["random_uniform", "importance"], [0.5], [1])
     rows = {(r["error_type"], r["method"]): r for r in found.collect()}
     assert len(rows) == 4 and all(r["n_total"] == 404 and r["n_sampled"] == 202 and 0 <= r["rel_err_mean"] <= 1 for r in rows.values())
+
+
+def test_methods_that_take_the_same_rows_share_a_part(spark, monkeypatch):
+    """Both methods take as many rows of one draw order: one part and one profile a seed and variant, a row of results each."""
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), F.when(F.col("id") % 9 != 0, F.col("id") % 20 * 3.0).alias("b"))
+    t = audit(df, ["id"], ["a", "b"], {"a": "b"}, "small")
+    asked, profiles = [], overlay.variant_profiles
+    monkeypatch.setattr(overlay, "variant_profiles", lambda o, parts, variants: asked.append((len(parts), len(variants))) or profiles(o, parts, variants))
+    kinds, rates, seeds = ["missing", "duplicate"], [0.1, 0.3], [1, 2]
+    _, found = overlay.sweep_results(t, kinds, rates, ["random_uniform", "geometric"], [0.5], seeds)
+    rows = {(r["error_type"], r["error_rate"], r["method"], r["seed"]): [r[i] for i in INDICATORS] + [r["sample_size"]] for r in found.collect()}
+    assert asked == [(1 + 3 * 2, 4 + 4 * 2)] and len(rows) == 2 * 2 * 2 * 2
+    assert all(rows[k, r, "random_uniform", s] == rows[k, r, "geometric", s] for k in kinds for r in rates for s in seeds)
