@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import chat, hnsw, jaccard, pii
-from plumbline.llm.common import components
+from plumbline.llm.common import components, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -212,3 +213,20 @@ def test_chat_digest_of_the_added_conversation(spark, folder):
     text = "</s>[INST] ok [/INST]"
     assert row.n_turns == 2 and row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert pytest is not None
+
+
+def test_jaccard_texts_travel_packed_and_are_not_written(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = {k: " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for k in range(12)}
+    texts |= {100 + k: texts[k] + " end" for k in range(8)} | {200 + k: "start " + texts[k] for k in range(4)} | {300: "x " * 40_000, 301: "x " * 40_000 + "y", 302: None}
+    written, keep = [], jaccard.keep
+    monkeypatch.setattr(jaccard, "keep", lambda df, name: written.append((name, df.columns)) or keep(df, name))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()}
+    assert got == brute_classes(texts) and len({c for _, c in got.values()}) < len(texts) - 8
+    assert written and not [name for name, columns in written if {"text", "packed"} & set(columns)]
+
+
+def test_slices_by_a_column_of_sizes():
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 3, 3, 9, 1]), pa.array(list("abcde"))], ["size", "packed"])
+    assert [p["packed"].to_pylist() for p in slices(iter([batch]), "size", 6)] == [["a", "b"], ["c"], ["d"], ["e"]]
