@@ -75,6 +75,52 @@ def test_long_texts_are_cut_where_no_piece_is(monkeypatch):
     assert [own.encode(t) for t in texts] == whole
 
 
+def test_short_pieces_are_walked_together(monkeypatch):
+    """As arrays: the same ids as alone and as in the library, also where the walk goes back and pairs share a slot."""
+    monkeypatch.setattr(bytepair, "SLOTS", 8)
+    monkeypatch.setattr(bytepair, "SHORT", 30)
+    monkeypatch.setattr(bytepair, "TOGETHER", 200)
+    rng = random.Random(5)
+    for _ in range(60):
+        tokens = [bytes([b]) for b in range(256)]
+        for _ in range(rng.randint(1, 40)):
+            made = rng.choice(tokens[-8:] + [b"a", b"b"]) + rng.choice(tokens[-8:] + [b"a", b"b", b"c"])
+            if made not in tokens:
+                tokens.append(made)
+        ranks = {t: k for k, t in enumerate(tokens)}
+        try:
+            own = bytepair.BytePairs(ranks, r"[^|]+")
+        except ValueError:
+            continue
+        library = tiktoken.Encoding("small", pat_str=r"[^|]+", mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(rng.choice("aabbc") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+        ids, sizes = own.encode_pieces([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode_ordinary(t) for t in texts]
+    own = bytepair.BytePairs(bytepair.read_ranks(RANKS), public_tokenizers.PATTERN)
+    monkeypatch.setattr(own, "encode_piece", lambda piece: pytest.fail(f"{piece} was walked alone"))
+    assert own.decode(np.frombuffer(own.encode("Thtionre ithblenea, Ndsttion-übeenchver"), "<u4").astype(np.int64)).decode() == "Thtionre ithblenea, Ndsttion-übeenchver"
+
+
+def test_known_stretches_are_not_split_again():
+    own, split = bytepair.BytePairs(bytepair.read_ranks(RANKS), public_tokenizers.PATTERN), []
+    text = "some words, (often) repeated; " * 1000 + "and an end"
+    first, plain = own.encode(text), own._split
+    own._split = lambda part: split.append(len(part)) or plain(part)
+    assert own.encode(text) == first
+    assert sum(split) < 100
+    assert bytepair.WORDS == public_tokenizers.PATTERN
+
+
+def test_stretches_beside_odd_white_space():
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytepair.read_ranks(RANKS), special_tokens={})
+    own = bytepair.BytePairs(bytepair.read_ranks(RANKS), public_tokenizers.PATTERN)
+    blanks, rng = [" ", " ", " ", " ", "  ", "\n", " \n", "\n ", "\t ", "\u00a0 ", " \u3000", "\x1c ", " \x1c", ""], random.Random(6)
+    texts = ["".join(x for _ in range(rng.randint(0, 9)) for x in (rng.choice(["a", "Xy", "don't", "7.", "é\u0301", "漢字"]), rng.choice(blanks))) for _ in range(3000)]
+    texts += [" " + t for t in texts[:300]] + [t + " " for t in texts[:300]]
+    made = own.encode_all(texts) + [own.encode(t) for t in texts]  # new among others, then known
+    assert [np.frombuffer(m, "<u4").tolist() for m in made] == [library.encode_ordinary(t) for t in texts] * 2
+
+
 def test_encode_and_decode_tables(spark):
     rows = [(1, "Hello wörld", "x"), (2, "", "y"), (3, None, None), (None, "Hello wörld", "z"), (1, "Hello wörld", "x"), (4, "long text " * 100_000, "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
