@@ -70,7 +70,7 @@ def accuracy_summary(spark, folder):
 def sampler_comparison(spark, folder):
     """Every method without a chain at two budgets and two seeds: one tagging scan, one grouped profile."""
     t = dirty_lines(spark, folder)
-    found = experiments.sampler_comparison(t, list(SAMPLES), (0.05, 0.1), SEEDS, profile_table(t), order_cols=["l_orderkey"], rows_per_range=100_000)
+    found = experiments.sampler_comparison(t, list(SAMPLES), (0.05, 0.1), SEEDS, profile_table(t, apart=True), order_cols=["l_orderkey"], rows_per_range=100_000)
     named = [f"est_{i}" for i in INDICATORS]
     return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "n_sampled", "n_total", *named, *ERRORS)
 
@@ -89,7 +89,7 @@ def clip_ablation(spark, folder):
 def budget_curve(spark, folder):
     """Errors by budget of two chains, each replayed from one run, beside uniform rows (wall times left out)."""
     t = dirty_lines(spark, folder)
-    found = experiments.budget_curve(t, ["metropolis_hastings", "dag", "random_uniform"], GUIDED_BUDGETS, [42], profile_table(t), batch_size=BATCH)
+    found = experiments.budget_curve(t, ["metropolis_hastings", "dag", "random_uniform"], GUIDED_BUDGETS, [42], profile_table(t, apart=True), batch_size=BATCH)
     named = [f"est_{i}" for i in INDICATORS]
     return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "n_sampled", "n_total", *named, *ERRORS)
 
@@ -100,7 +100,7 @@ BATCHES = (100, 200, 400, 1000)
 def batch_size_sweep(spark, folder):
     """Errors of two chains at four batch sizes, from one count of leaves per chain."""
     t = dirty_lines(spark, folder)
-    found = experiments.batch_sizes(t, BATCHES, ["metropolis_hastings", "dag"], 0.1, [42], profile_table(t))
+    found = experiments.batch_sizes(t, BATCHES, ["metropolis_hastings", "dag"], 0.1, [42], profile_table(t, apart=True))
     named = [f"est_{i}" for i in INDICATORS]
     return rounded(found, [*named, *ERRORS]).select("dataset", "method", "budget", "seed", "batch_size", "n_sampled", "n_total", *named, *ERRORS)
 

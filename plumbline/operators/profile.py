@@ -7,7 +7,7 @@ groupings combine map-side, so a hot row or a hot determinant costs no more than
 """
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -120,11 +120,13 @@ def profile(
     exact_rows: bool = False,
     indicators: Sequence[str] = INDICATORS,
     bounds: DataFrame | None = None,
+    apart: bool = False,
 ) -> DataFrame:
     """The rates asked for and ``sample_size`` of ``df``, in one row, or in one row per ``group``.
 
     ``weight`` makes them weighted means; fences stay unweighted.  ``exact_rows`` groups by the columns themselves
-    instead of their hash.  ``bounds`` are the fences if they are known.  NaN counts as missing.  Only what ``indicators`` need is computed: missing and outlier
+    instead of their hash.  ``bounds`` are the fences if they are known.  ``apart`` reads the rows once more for
+    the dependency (rules of one determinant, no ``group``), so that contents and determinants do not travel together: less is shuffled.  NaN counts as missing.  Only what ``indicators`` need is computed: missing and outlier
     rates shuffle no row.
     """
     df, group, wanted = nan_to_null(df), list(group), [i for i in INDICATORS if i in set(indicators)]
@@ -144,6 +146,8 @@ def profile(
     if DUPLICATE not in wanted:
         identity = {}
     one = usable if len(determinants) == 1 else ()
+    alone = one if apart and not group else ()
+    one = () if alone else one
     det, dep = {}, {}
     if one and exact_rows:
         det = {f"det_{i}": F.col(f"`{c}`") for i, c in enumerate(determinants[0])} | {"det_known": known(determinants[0])}
@@ -173,6 +177,8 @@ def profile(
     total = contents.groupBy(*group).agg(*totals) if group else contents.agg(*totals)
     if len(determinants) > 1:
         total = _attach(total.drop("broken"), _broken_weight(df, usable, group, w), group)
+    if alone:
+        total = _attach(total.drop("broken"), _broken_apart(df, alone, w), ())
 
     weight_sum = F.col("w") if weight is None else F.col("w") + 1e-12
 
@@ -183,6 +189,15 @@ def profile(
     return total.select(*group, *[rates[i].alias(i) for i in wanted], F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("sample_size"))
 
 
+def _broken_apart(df: DataFrame, rules: Sequence[FdRule], w: Column) -> DataFrame:
+    """Weight of the rows that break a rule, for rules that share a determinant: rows are grouped by it, which combines map-side."""
+    d1, d2 = row_hashes(df, rules[0].determinant)
+    dep = {f"dep_{i}": dependent_hash(df, r) for i, r in enumerate(rules)}
+    clash = F.coalesce(any_of(F.min(d) != F.max(d) for d in dep), F.lit(False))
+    rows = df.where(known(rules[0].determinant)).select(d1.alias("det_1"), d2.alias("det_2"), *[c.alias(d) for d, c in dep.items()], w.alias("w"))
+    return rows.groupBy("det_1", "det_2").agg(F.sum("w").alias("w"), clash.alias("clash")).agg(F.sum(F.when(F.col("clash"), F.col("w"))).alias("broken"))
+
+
 def _broken_weight(df: DataFrame, rules: Sequence[FdRule], group: Sequence[str], w: Column) -> DataFrame:
     """Weight of the rows that break a rule, per group, for rules with several determinants.
 
@@ -209,6 +224,75 @@ def _broken_weight(df: DataFrame, rules: Sequence[FdRule], group: Sequence[str],
     return marked.groupBy(*[F.col(f"`{g}`") for g in group]).agg(broken) if group else marked.agg(broken)
 
 
+SLICE = 30  # samples in one grouped count
+
+
+def profile_held(df: DataFrame, measured: Sequence[str], rules, held: Mapping[int, Column],
+                 weights: Mapping[tuple[int, str], Column | None], label: str, tag: str, rows: int | None = None) -> DataFrame:
+    """Weighted rates of many samples of ``df`` that share rows: one row per (``label``, ``tag``) that holds any.
+
+    ``df`` are the rows that some sample holds, ``held`` says of each sample whether it holds a row; ``weights`` lists the tags of the samples and their weights (``None``: 1).
+    Rows are shuffled once, with one count per sample, and not once per sample: duplicates by content, a dependency by determinant
+    and dependent.  Missing and outlier rates shuffle no row.  Several rules are checked on one row per sample.  ``rows`` is the
+    sum of the sizes over samples and tags, if it is known.
+    """
+    df, measured = nan_to_null(df), list(measured)
+    usable = tuple(r for r in fd_rules(rules) if {*r.determinant, r.dependent} <= set(measured))
+    tagged = [F.when(held[k], F.struct(F.lit(k).alias(label), F.lit(g).alias(tag), (F.lit(1.0) if w is None else w.cast("double")).alias("__w")))
+              for (k, g), w in weights.items()]
+    exploded = df.select(*[F.col(f"`{c}`") for c in measured], F.explode(F.array(*tagged)).alias("__held")).where("__held is not null")
+    exploded = exploded.select(*[F.col(f"`{c}`") for c in measured], "__held.*")
+    wanted = (MISSING, OUTLIER) if len(usable) == 1 or not usable else (MISSING, OUTLIER, INCONSISTENCY)
+    numeric = numeric_columns(df, measured)
+    # a row per sample and tag, written: its size is seen to be small, and no row is shuffled to meet its fences
+    bounds = materialise(fences(exploded, numeric, "profile", [label, tag], rows), "bounds") if numeric else None
+    p = profile(exploded, measured, rules, "__w", [label, tag], rows=rows, indicators=wanted, bounds=bounds)
+
+    shares = None
+    for first in range(0, len(held), SLICE):
+        part = list(held)[first:first + SLICE]
+        found = _shares(df, measured, usable if len(usable) == 1 else (), {k: held[k] for k in part}, {kg: w for kg, w in weights.items() if kg[0] in part}, label, tag)
+        shares = found if shares is None else shares.unionByName(found)
+    joined = p.join(F.broadcast(shares), [label, tag])
+    rates = [F.col(i) if i in wanted or i == DUPLICATE else F.col("broken").alias(i) for i in INDICATORS]
+    return joined.select(label, tag, *rates, "sample_size")
+
+
+def _shares(df: DataFrame, measured: Sequence[str], rules: Sequence[FdRule], held: Mapping[int, Column],
+            weights: Mapping[tuple[int, str], Column | None], label: str, tag: str) -> DataFrame:
+    """Shares of duplicate rows and of rows that break the one rule, per sample and tag."""
+    weighed = [(i, kg, w) for i, (kg, w) in enumerate(weights.items()) if w is not None]
+    counts = [F.sum(F.col(f"in_{k}").cast("int")).alias(f"n_{k}") for k in held]
+    sums = [F.sum(F.when(F.col(f"in_{k}"), F.col(f"w_{i}"))).alias(f"w_{i}") for i, (k, _), _ in weighed]
+
+    def weight(i: int, k: int) -> Column:
+        return F.col(f"w_{i}") if any(i == j for j, _, _ in weighed) else F.col(f"n_{k}").cast("double")
+
+    def total(when, name: str) -> list[Column]:
+        return [F.sum(F.when(when(k), weight(i, k))).alias(f"{name}_{i}") for i, (k, _) in enumerate(weights)]
+
+    flags = [F.coalesce(c, F.lit(False)).alias(f"in_{k}") for k, c in held.items()] + [w.cast("double").alias(f"w_{i}") for i, _, w in weighed]
+    h1, h2 = row_hashes(df, measured)
+    contents = df.select(h1.alias("id_1"), h2.alias("id_2"), *flags).groupBy("id_1", "id_2").agg(*counts, *sums)
+    found = contents.agg(*total(lambda k: F.lit(True), "all"), *total(lambda k: F.col(f"n_{k}") > 1, "repeated"))
+    if rules:
+        rule = rules[0]
+        d1, d2 = row_hashes(df, rule.determinant)
+        pairs = df.where(known(rule.determinant)).select(d1.alias("det_1"), d2.alias("det_2"), dependent_hash(df, rule).alias("dep"), *flags)
+        pairs = pairs.groupBy("det_1", "det_2", "dep").agg(*counts, *sums)
+        dets = pairs.groupBy("det_1", "det_2").agg(
+            *[F.count_if(F.col("dep").isNotNull() & (F.col(f"n_{k}") > 0)).alias(f"deps_{k}") for k in held],
+            *[F.sum(f"n_{k}").alias(f"n_{k}") for k in held], *[F.sum(f"w_{i}").alias(f"w_{i}") for i, _, _ in weighed])
+        found = found.crossJoin(F.broadcast(dets.agg(*total(lambda k: F.col(f"deps_{k}") > 1, "broken"))))
+
+    def rate(name: str, i: int) -> Column:
+        return F.coalesce(F.col(f"{name}_{i}") / (F.col(f"all_{i}") + 1e-12), F.lit(0.0))
+
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias(label), F.lit(g).alias(tag), rate("repeated", i).alias(DUPLICATE), (rate("broken", i) if rules else F.lit(0.0)).alias("broken"))
+        for i, (k, g) in enumerate(weights)])))
+
+
 def profile_table(t: AuditTable, weight: str | None = None, n_records: int | None = None, **options) -> DataFrame:
     """Profile of an audited table or sample; ``n_records`` is the size of the table the rows came from."""
     if t.known_rows is None and t.numeric and not {"group", "z"} & set(options) and OUTLIER in options.get("indicators", INDICATORS):

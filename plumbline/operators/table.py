@@ -2,20 +2,23 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, nan_to_null, numeric_columns
 from .prefix import totals_before
-from .storage import materialise
+from .storage import materialise, small_table
 
 COPY = "row_copy"
 COPIES_PER_TASK = 100_000
 ROWS_PER_RANGE = 1_000_000
+POSITION_BINS = 65_536
+NEAR_ROWS = 1_000_000  # a table of so many rows is sorted as a whole
 
 
 @dataclass(frozen=True)
@@ -145,3 +148,43 @@ def with_ordinal(t: AuditTable, order_cols: Sequence[str], alias: str = "ordinal
     offsets = totals_before(sizes, "range_no", ["rows"], rows=ranges).select("range_no", "before_rows")
     numbered = placed.join(offsets, "range_no").withColumn(alias, F.col("before_rows") + F.col("__place"))
     return numbered.select(*t.df.columns, alias), t.rows
+
+
+def ordinals_of_blocks(t: AuditTable, order_cols: Sequence[str], block: int, count: int, chosen: Sequence[Column], alias: str = "ordinal",
+                       rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The rows with their position as :func:`with_ordinal` numbers them; it may be NULL outside the chosen blocks of ``block`` consecutive rows.
+
+    ``chosen`` are predicates of ``__block``, of which there are ``count``.  A histogram of the first order column tells which
+    positions a bin of it covers, so only the rows of bins that reach into a chosen block are sorted.  The other rows stay where they are.
+    """
+    order = [*order_cols, *[k for k in t.key_cols if k not in order_cols]]
+    bins = _position_bins(t, order[0]) if t.rows > NEAR_ROWS and order[0] in numeric_columns(t.df) else None
+    if bins is None:
+        return with_ordinal(t, order_cols, alias, rows_per_range)[0]
+    number, rows = bins
+    spark = t.df.sparkSession
+    numbers = spark.range(count).withColumnRenamed("id", "__block")
+    inside = sorted(r["__block"] for r in numbers.where(reduce(lambda a, b: a | b, chosen)).collect())
+    near, before, sorted_rows = [], 0, 0
+    for b in sorted(rows):
+        if bisect_left(inside, before // block) < bisect_right(inside, (before + rows[b] - 1) // block):
+            near.append((b, before - sorted_rows))  # rows before this bin that are not sorted
+            sorted_rows += rows[b]
+        before += rows[b]
+    skipped = F.broadcast(small_table(spark, near, "__bin bigint, __skipped bigint"))
+    binned = t.df.withColumn("__bin", number)
+    part = t.with_rows(binned.join(skipped, "__bin").drop("__bin"), sorted_rows)
+    numbered = with_ordinal(part, order_cols, alias, rows_per_range)[0].withColumn(alias, F.col(alias) + F.col("__skipped")).drop("__skipped")
+    rest = binned.join(skipped, "__bin", "left_anti").drop("__bin").withColumn(alias, F.lit(None).cast("bigint"))
+    return numbered.unionByName(rest)
+
+
+def _position_bins(t: AuditTable, column: str) -> tuple[Column, dict[int, int]] | None:
+    """The number of a bin that grows with ``column`` (NULLs first), and the rows per bin; None if the column has no two finite bounds."""
+    x = F.col(f"`{column}`").cast("double")
+    low, high = t.df.agg(F.min(x), F.max(x)).first()
+    if low is None or not 0 < high - low < math.inf:
+        return None
+    place = F.floor((x - F.lit(low)) / F.lit(high - low) * POSITION_BINS)
+    number = F.when(x.isNull(), F.lit(-1)).otherwise(F.least(place, F.lit(POSITION_BINS - 1))).cast("bigint")
+    return number, {r["b"]: r["count"] for r in t.df.groupBy(number.alias("b")).count().collect()}

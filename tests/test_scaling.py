@@ -84,3 +84,60 @@ def test_rules_of_two_determinants_mark_counts_not_rows(spark, monkeypatch):
     rows = rows.drop("g")
     whole = profile(rows, ["a", "b", "c", "e"], [("a", "b"), ("e", "c")], indicators=["inconsistency_rate"]).first()
     assert whole["inconsistency_rate"] == pytest.approx(0.2) and whole["sample_size"] == 4000
+
+
+@pytest.mark.parametrize("rules", [[(("a", "b"), "x")], [("a", "b"), ("b", "x")], []])
+def test_samples_that_share_rows_are_profiled_together(spark, rules):
+    """A row was shuffled once per sample that holds it."""
+    from plumbline.operators.profile import profile_held
+    rows = spark.range(900).selectExpr(
+        "nullif(pmod(xxhash64(id, 1), 9), 3) as a", "nullif(pmod(xxhash64(id, 2), 4), 1) as b", "if(id % 13 = 0, 900.0, pmod(xxhash64(id, 3), 5) / 4D) as x",
+        "pmod(xxhash64(id, 4), 1024) as word", "1.0D + pmod(xxhash64(id, 5), 3) as weight").where("word > 0")
+    rows = rows.unionByName(rows.where("a = 4"))
+    held = {k: F.col("word").bitwiseAND(F.lit(1 << k)) != 0 for k in range(10)} | {10: F.lit(False)}
+    weights = {(k, ""): None for k in held} | {(3, "even"): F.col("weight"), (4, "even"): F.col("weight")}
+    found = {(r["k"], r["tag"]): r.asDict() for r in profile_held(rows, ["a", "b", "x"], rules, held, weights, "k", "tag").collect()}
+    assert len(found) == 12
+    for (k, tag), r in found.items():
+        alone = profile(rows.where(held[k]), ["a", "b", "x"], rules, "weight" if tag else None).first().asDict()
+        assert {c: r[c] for c in alone} == pytest.approx(alone, abs=1e-9)
+
+
+def test_only_rows_near_chosen_blocks_are_sorted(spark, monkeypatch):
+    """The whole table was sorted for the positions of a few blocks."""
+    from plumbline.operators import table as module
+    written = []
+    keep = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: written.append(keep(df, name)) or written[-1])
+    monkeypatch.setattr(module, "NEAR_ROWS", 0)
+    df = spark.range(4000).selectExpr("id", "case when id % 40 = 0 then null when id % 10 = 1 then 50.5D else pmod(id * 7919, 3989) / 4D end as o")
+    t = audit(df, ["id"])
+    chosen = F.col("__block").isin(0, 17, 49, 63)
+    found = module.ordinals_of_blocks(t, ["o"], 63, 64, [chosen], rows_per_range=300)
+    assert found.count() == 4000 == found.select("id").distinct().count() and written[-1].count() < 1200
+    known = {r["id"]: r["ordinal"] for r in found.where("ordinal is not null").collect()}
+    wanted = {r["id"]: r["ordinal"] for r in module.with_ordinal(t, ["o"])[0].collect()}
+    assert all(wanted[i] == at for i, at in known.items())
+    assert {i for i, at in wanted.items() if at // 63 in (0, 17, 49, 63)} <= set(known)
+    flat = audit(df.selectExpr("id", "1 as o"), ["id"])  # no two bounds: all rows are sorted
+    assert module.ordinals_of_blocks(flat, ["o"], 63, 64, [chosen]).where("ordinal is null").isEmpty()
+
+
+def test_membership_writes_the_rows_a_sample_may_hold(spark, monkeypatch):
+    """All rows were written, with a draw per method."""
+    from plumbline.plans import membership as module
+    written = {}
+    keep = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    t = audit(spark.range(5000).selectExpr("id", "if(id % 9 = 0, null, id % 31) as v"), ["id"], ["v"])
+    found = module.membership(t, ["random_uniform", "importance", "stratified_column", "cluster"], [0.02, 0.05], [1])
+    assert written["membership"].count() < 1500
+    assert [size for *_, size in found.conditions] == [100, 250] * 4
+    assert sorted(r["n_sampled"] for r in found.profile().collect()) == [100] * 4 + [250] * 4
+    assert {r["n_records"] for r in found.profile().collect()} == {5000}
+
+
+def test_a_dependency_apart_gives_the_same_rate(spark):
+    rows = spark.range(600).selectExpr("nullif(id % 7, 3) as a", "if(id % 14 = 1, id % 4, id % 7) as b", "id % 5 as c")
+    whole = profile(rows, ["a", "b", "c"], [("a", "b"), ("a", "c")]).first()
+    assert profile(rows, ["a", "b", "c"], [("a", "b"), ("a", "c")], apart=True).first() == whole and whole["inconsistency_rate"] > 0.5
