@@ -46,6 +46,7 @@ from .table import AuditTable
 UNIFORM, FORCED = "uniform", "forced"
 FORCED_SHARE = 0.2  # a forced batch is a quarter of a proposal: 1/4 : 1
 SEGMENT = 4096  # steps folded at a time
+CARRIED = "__row"
 DECISIONS = "stream string, chunk bigint, entry bigint"
 
 
@@ -194,13 +195,13 @@ def _chain(t: AuditTable, budget: float, seed: int, method: str, proposals: Prop
 
 
 def walk_chain(t: AuditTable, budget: float, seed: int, proposals: Proposals, rules: CellRules, lam: float | None,
-               batch_size: int, segment: int = SEGMENT, algorithm: str = "md5") -> Walk:
-    """Warm start and steps until the budget is reached; the last step may go beyond it."""
+               batch_size: int, segment: int = SEGMENT, algorithm: str = "md5", carry: bool = False) -> Walk:
+    """Warm start and steps until the budget is reached; the last step may go beyond it.  ``carry``: the rows bring their other columns along."""
     draws = Draws(seed, algorithm)
     cells = max(len(rules.columns), 1)
     keys = list(t.key_cols)
 
-    narrow = materialise(narrow_rows(t, proposals, rules, draws), "chain")
+    narrow = materialise(narrow_rows(t, proposals, rules, draws, carry), "chain")
     n, cut = smallest(narrow, F.col("start"), keys, lambda rows: min(batch_size, rows), spread=weight_spread)
     goal = chain_goal(n, budget, batch_size)
     in_start = cut.keeps(F.col("start"), keys)
@@ -211,13 +212,17 @@ def walk_chain(t: AuditTable, budget: float, seed: int, proposals: Proposals, ru
     return steps_to_goal(narrow.where(~in_start), warm, n, goal, state, keys, proposals, draws, lam, batch_size, cells, segment)
 
 
-def narrow_rows(t: AuditTable, proposals: Proposals, rules: CellRules, draws: Draws) -> DataFrame:
-    """Every draw and score once per row, in a narrow table that all later passes read: ``stream`` and ``u_chunk`` are those of the first round."""
+def narrow_rows(t: AuditTable, proposals: Proposals, rules: CellRules, draws: Draws, carry: bool = False) -> DataFrame:
+    """Every draw and score once per row, in a narrow table that all later passes read: ``stream`` and ``u_chunk`` are those of the first round.
+
+    ``carry`` adds the columns that are no keys, as the struct CARRIED, which only the passes that fetch sampled rows read.
+    """
     keys = list(t.key_cols)
+    others = [F.col(f"`{c}`") for c in t.df.columns if c not in keys]
     start = draws.exponential("start", *keys) / (rules.score() + EPSILON)
     return t.df.select(
         *keys, (rules.outlying_cells() + rules.missing_cells()).cast("bigint").alias("defects"), start.alias("start"),
-        proposals.stream.alias("home")).withColumns(_streamed(draws, "pool0", keys))
+        proposals.stream.alias("home"), *[F.struct(*others).alias(CARRIED)] * bool(carry and others)).withColumns(_streamed(draws, "pool0", keys))
 
 
 def _streamed(draws: Draws, tag: str, keys: Sequence[str]) -> dict[str, Column]:
@@ -228,7 +233,7 @@ def _streamed(draws: Draws, tag: str, keys: Sequence[str]) -> dict[str, Column]:
 def steps_to_goal(pool: DataFrame, warm: DataFrame, n: int, goal: int, state: ChainState, keys: list[str], proposals: Proposals, draws: Draws,
                   lam: float | None, batch_size: int, cells: int, segment: int = SEGMENT, first_round=None) -> Walk:
     """Rounds over the pool until the goal is reached; ``first_round(state)`` replaces the first one."""
-    columns = [*keys, "defects", "start", "home"]
+    columns = [*keys, "defects", "start", "home", *[c for c in warm.columns if c == CARRIED]]
     taken, left = [warm.select(*columns, F.lit(0).cast("bigint").alias("entry"))], n - state.rows
     round_no, rounds = 0, []
     while state.rows < goal and left > 0:

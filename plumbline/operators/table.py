@@ -130,6 +130,15 @@ def number_copies(df: DataFrame) -> DataFrame:
     return spread.withColumn(COPY, F.explode(F.sequence(first + 1, last))).drop("piece", "copies")
 
 
+def identified(t: AuditTable) -> bool:
+    """Whether no two rows have the same key (as far as 64 bits tell them apart); rows with a NULL in it do not count.  Found once per table."""
+    if "_identified" not in vars(t):
+        whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in t.key_cols])
+        hashed = t.df.where(whole).select(row_hashes(t.df, t.key_cols)[0].alias("h"))
+        vars(t)["_identified"] = hashed.groupBy("h").count().where("count > 1").isEmpty()
+    return vars(t)["_identified"]
+
+
 def with_ordinal(t: AuditTable, order_cols: Sequence[str], alias: str = "ordinal", rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
     """Global 0-based position in (order_cols, key) order, and the row count.
 

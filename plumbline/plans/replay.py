@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import Draws
-from ..operators.chains import Proposals, Walk, chain_goal, decile_proposals, guided_proposals, walk_chain
+from ..operators.chains import CARRIED, Proposals, Walk, chain_goal, decile_proposals, guided_proposals, walk_chain
 from ..operators.chunk_tree import plant, walk_tree
-from ..operators.profile import profile
-from ..operators.samplers import WEIGHT
-from ..operators.score import CellRules, clip_sweep_weights, score_counts
+from ..operators.profile import known, profile_held
+from ..operators.score import CellRules, clip_label, clipped_weight, score_counts
 from ..operators.selection import cutoffs
 from ..operators.storage import materialise, small_table
-from ..operators.table import AuditTable
+from ..operators.table import AuditTable, identified
 
 CONDITION = "condition int, method string, budget double, seed int, n_sampled bigint"
 LABEL = "__condition"
@@ -49,17 +48,15 @@ class Replay:
 
     def profile(self, clips: Sequence[float | None] = (0.95,)) -> DataFrame:
         """Rates per budget, seed and clip level of the inverse-score weights; ``dag_uniform`` has no weights to clip."""
-        t, rules, label = self.table, CellRules.of(self.table), F.col(LABEL)
+        t, rules, label, weights = self.table, CellRules.of(self.table), F.col(LABEL), {}
         if self.method == "dag_uniform":
-            even = [F.struct(F.lit("none").alias("clip_percentile"), F.lit(1.0).alias(WEIGHT))]
-            weights, clips = F.array(*even), (None,)
+            clips, weights = (None,), {(c[0], "none"): None for c in self.conditions}
         else:
-            weights = F.lit(None)
-            for k, counts in score_counts(self.rows, rules, label).items():
-                weights = F.when(label == k, clip_sweep_weights(rules.score(), counts, clips)).otherwise(weights)
-        weighted = self.rows.select(LABEL, *t.measured, F.inline(weights))
+            for k, counts in sorted(score_counts(self.rows, rules, label).items()):
+                weights |= {(k, clip_label(clip)): clipped_weight(rules.score(), counts, clip) for clip in clips}
         emitted = sum(c[4] for c in self.conditions) * len(clips)
-        p = profile(weighted, t.measured, t.rules, weight=WEIGHT, group=[LABEL, "clip_percentile"], rows=emitted).drop("sample_size")
+        held = {k: label == k for k, _ in weights}
+        p = profile_held(self.rows, t.measured, t.rules, held, weights, LABEL, "clip_percentile", emitted).drop("sample_size")
         listed = small_table(self.rows.sparkSession, self.conditions, self.schema)
         joined = p.join(F.broadcast(listed), p[LABEL] == listed["condition"]).drop(LABEL, "condition")
         return joined.withColumn("n_records", F.lit(self.n_total).cast("bigint"))
@@ -76,11 +73,12 @@ def replay(t: AuditTable, budgets: Sequence[float], seeds: Sequence[int], method
     rules, keys = CellRules.of(t), list(t.key_cols)
     budgets = sorted(dict.fromkeys(float(b) for b in budgets))
     parts, conditions, n, chains = [], [], 0, 0
+    carry = identified(t)
     for seed in dict.fromkeys(int(s) for s in seeds):
         proposals = propose(t, rules, Draws(seed), edges)
 
         def run(budget: float) -> Walk:
-            return walk_chain(t, budget, seed, proposals, rules, lam if by_score else None, batch_size, **options)
+            return walk_chain(t, budget, seed, proposals, rules, lam if by_score else None, batch_size, carry=carry, **options)
 
         walk, open_budgets, alone = run(budgets[-1]), list(budgets), {}
         chains, n = chains + 1, walk.n
@@ -121,10 +119,13 @@ def batch_sweep(t: AuditTable, batches: Sequence[int], budget: float, seeds: Seq
 
 
 def _fetched(t: AuditTable, parts: Sequence[DataFrame]) -> DataFrame:
-    """The sampled rows; keys are unique in the table and in every condition, so no key is hot."""
+    """The sampled rows.  They bring their columns along or fetch them by key; if keys repeat, all rows of a key come for each that is picked."""
     picked = parts[0]
     for part in parts[1:]:
         picked = picked.unionByName(part)
+    others = [c for c in t.df.columns if c not in t.key_cols]
+    if CARRIED in picked.columns:  # a row without its whole key is found by no key
+        return picked.where(known(t.key_cols)).select(*t.key_cols, *[F.col(f"{CARRIED}.`{c}`").alias(c) for c in others], LABEL)
     return materialise(t.df.join(picked, list(t.key_cols)), "replay")
 
 
@@ -146,9 +147,10 @@ def _cut(walk: Walk, budgets: Sequence[float], keys: Sequence[str], batch_size:
     goals = [chain_goal(walk.n, b, batch_size) for b in budgets]
     entry, draw, label = F.col("entry"), F.col("row_draw"), F.col(LABEL)
     held = F.filter(F.array(*[F.when(entry < F.lit(g), F.lit(first + i)) for i, g in enumerate(goals)]), lambda k: k.isNotNull())
-    rows = materialise(walk.rows.select(*keys, "row_draw", F.explode(held).alias(LABEL)), "log")
+    row = [c for c in walk.rows.columns if c == CARRIED]
+    rows = materialise(walk.rows.select(*keys, "row_draw", *row, F.explode(held).alias(LABEL)), "log")
     _, cuts = cutoffs(rows, draw, keys, lambda totals: {k: (k, min(goals[k - first], totals[k])) for k in sorted(totals)}, group=label)
     kept = F.lit(False)
     for cut in cuts.values():
         kept = kept | cut.keeps(draw, keys, label)
-    return rows.where(kept).select(*keys, LABEL), [cuts[first + i].size if first + i in cuts else 0 for i in range(len(goals))]
+    return rows.where(kept).select(*keys, *row, LABEL), [cuts[first + i].size if first + i in cuts else 0 for i in range(len(goals))]
